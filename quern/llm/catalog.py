@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quern.llm import queries_text
+from quern.llm import queries_tables, queries_text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (queries_text,):
+for _module in (queries_text, queries_tables):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
