@@ -31,12 +31,16 @@ _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: str.split() cuts at these as well, the tokenizer doesn't.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _NEVER = 1 << 60
+#: The tokenizer's word pattern, for lower-case printable ASCII without spaces.
+_ASCII_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: The normaliser and the pattern that those rules are derived from.
+_RULES = ["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordTrieBPE:
     """Encoder of whole texts with the ids of a BPE tokenizer file that has word-end suffixes."""
 
-    def __init__(self, path: str, remembered: int = 400_000) -> None:
+    def __init__(self, path: str, remembered: int = 700_000) -> None:
         library = Tokenizer.from_file(path)
         self.normalize, self.cut_words = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         with open(path, encoding="utf-8") as f:
@@ -46,6 +50,8 @@ class WordTrieBPE:
             raise ValueError("a BPE file with word-end suffix and without decoder is needed")
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("added tokens must be matched as they stand")
+        if ([n["type"] for n in spec["normalizer"]["normalizers"]], spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]) != _RULES:
+            raise ValueError("the file's normaliser or word pattern is another")
         self.suffix, self.ids = model["end_of_word_suffix"], model["vocab"]
         self.names = {i: s for s, i in self.ids.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -97,13 +103,17 @@ class WordTrieBPE:
         key = a << 32 | b
         found = self.known.get(key)
         if found is None:
-            if len(self.known) > 4_000_000:
+            if len(self.known) > 1_000_000:
                 self.known.clear()
             found = self.known[key] = self._apart(a, b)
         return found
 
     def encode_words(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of each distinct byte-level word, by one traversal of their trie."""
+        """Ids of each distinct byte-level word, by one depth-first traversal of their trie.
+
+        The state of a prefix (its last token, and where that begins) is found
+        when a word below asks for it, and stays for all words below.
+        """
         root: dict = {}
         for w in words:
             node = root
@@ -111,50 +121,73 @@ class WordTrieBPE:
                 node = node.setdefault(c, {})
             node[""] = w
         out: dict[str, tuple[int, ...]] = {}
-        # States along the current path: last token of the prefix and where that begins.
-        last, begin = [0], [0]
-        token, longest, fits, suffix = self.token, self.longest, self._fits, self.suffix
-        stack = [("", root, 0)]
+        # States along the current path: last token of the prefix of each length, or None so far, and where it begins.
+        last: list = [0]
+        begin: list = [0]
+        token, longest, known, suffix = self.token, self.longest, self.known, self.suffix
         path = ""
+
+        def settle(depth: int, tail: str) -> tuple[int, int]:
+            """The last token of the prefix of a length (``tail``: of the word that ends there), and its begin."""
+            for lo in range(depth - longest if depth > longest else 0, depth):
+                t = token.get(path[lo:depth] + tail)
+                if t is None:
+                    continue
+                if not lo:
+                    return t, 0
+                before = last[lo]
+                if before is None:
+                    before, begin[lo] = settle(lo, "")
+                    last[lo] = before
+                fits = known.get(before << 32 | t)
+                if fits is None:
+                    fits = self._fits(before, t)
+                if fits:
+                    return t, lo
+            raise ValueError(f"no encoding of {path[:depth]!r}")
+
+        stack = [("", root, 0)]
         while stack:
             c, node, depth = stack.pop()
             if depth:
                 path = path[: depth - 1] + c
                 del last[depth:], begin[depth:]
-                for lo in range(max(0, depth - longest), depth):
-                    t = token.get(path[lo:depth])
-                    if t is not None and (not lo or fits(last[lo], t)):
-                        break
-                else:
-                    raise ValueError(f"no encoding of {path!r}")
-                last.append(t)
-                begin.append(lo)
+                last.append(None)
+                begin.append(0)
                 if "" in node:
-                    for lo in range(max(0, depth - longest), depth):
-                        t = token.get(path[lo:depth] + suffix)
-                        if t is not None and (not lo or fits(last[lo], t)):
-                            break
-                    else:
-                        raise ValueError(f"no encoding of {path!r} as a word")
+                    t, lo = settle(depth, suffix)
                     ids = [t]
                     while lo:
+                        if last[lo] is None:
+                            last[lo], begin[lo] = settle(lo, "")
                         ids.append(last[lo])
                         lo = begin[lo]
-                    out[node[""]] = tuple(reversed(ids))
-            stack += [(k, v, depth + 1) for k, v in node.items() if k]
+                    ids.reverse()
+                    out[node[""]] = tuple(ids)
+            depth += 1
+            for k, v in node.items():
+                if k:
+                    stack.append((k, v, depth))
         return out
 
     def _learn_pieces(self, new: set[str]) -> None:
         if len(self.pieces) + len(new) > self.remembered:
             self.pieces.clear()
             self.words.clear()
-        cut = {p: [w for w, _ in self.cut_words(self.normalize(p))] for p in new}
+        cut = {p: self._words(p) for p in new}
         self.words |= self.encode_words({w for ws in cut.values() for w in ws}.difference(self.words))
         names = self.names
         for p, ws in cut.items():
             ids = [i for w in ws for i in self.words[w]]
             self.pieces[p] = " ".join(map(str, ids)), " ".join([names[i] for i in ids])
 
+    def _words(self, piece: str) -> list[str]:
+        """Byte-level words of a piece; for printable ASCII the tokenizer's rules come down to one pattern."""
+        if piece.isascii() and piece.isprintable():
+            piece = piece.lower()
+            return [piece] if piece.isalpha() else _ASCII_WORDS.findall(piece)
+        return [w for w, _ in self.cut_words(self.normalize(piece))]
+
     def _split(self, text: str) -> list[str]:
         return [p for p in _SPACE.split(text) if p] if _NOT_SPACE.search(text) else text.split()
 
@@ -191,7 +224,7 @@ def _encoder(path: str, remembered: int) -> WordTrieBPE:
     return WordTrieBPE(path, remembered)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 400_000) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 700_000) -> DataFrame:
     """``(id, ids array<int>, decoded string)`` for every row of ``docs``.
 
     ``tokenizer`` is the path of the tokenizer file, there on every machine.
@@ -211,7 +244,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     return _named(docs, id_col, text_col).mapInArrow(task, "id long, ids array<int>, decoded string")
 
 
-def encoding_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 400_000) -> DataFrame:
+def encoding_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 700_000) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)``: digests made where the ids are, which are not shipped."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
