@@ -15,10 +15,17 @@ all fingerprints there. A shard over ``tree_size`` fingerprints becomes
 several trees, each sent to every chunk of the shard's queries, so no task
 holds more than two chunks and no link is lost. Tasks return spanning links
 of what they found, at most one for each query, never all pairs.
+
+``similar_components`` takes a Jaccard similarity instead of a radius. Then
+the radius is a sixth of all bits or more and segments can't be kept whole, so
+shards are random choices of bits, as many as the wanted recall needs; and a
+pair that a tree finds is verified by three more fingerprints that its rows
+carry, since among many documents 64 bits come close by chance.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -35,23 +42,44 @@ from quern.llm._store import stored
 #: Bit j of byte value v, for sums of bits from byte histograms.
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _SEED = 42
+#: Fingerprints that verify a pair, besides the one that the trees hold.
+_MORE = 3
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The 64-bit fingerprint of a whole text; zero where it has no words."""
+    return _majority(_shingle_hashes(text, shingle))
+
+
+def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < shingle:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(_SEED)), np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(_SEED)), np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
     octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BITS for i in range(8)])
     return int(sum(1 << int(j) for j in np.flatnonzero(2 * ones > len(hashes))))
 
 
+def sketch(text: str | None, shingle: int) -> list[int]:
+    """The fingerprint and, from the same hashes mixed anew, ``_MORE`` others."""
+    hashes = _shingle_hashes(text, shingle)
+    out = [_majority(hashes)]
+    for _ in range(_MORE):
+        hashes = hashes ^ hashes >> np.uint64(31)
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15)
+        hashes = hashes ^ hashes >> np.uint64(29)
+        out.append(_majority(hashes))
+    return out
+
+
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``(id, fp)`` of every row; fp is the fingerprint as a signed long."""
 
@@ -123,8 +151,13 @@ def search_forest(fps: np.ndarray, forest: tuple, queries: np.ndarray, roots: np
             todo.append((q[some[follow]], kids[slot[follow]]))
 
 
-def _shard_links(radius: int):
-    """Task over rows (shard, tree, part, role, fp) sorted by the first three: role 0 is in the tree, role 1 queries it."""
+def _shard_links(radius: int, most: int | None = None):
+    """Task over rows (cut, shard, tree, part, role, fp) sorted in that order: role 0 is in the tree, role 1 queries it.
+
+    With ``most``, rows have a node and a sketch as well; fingerprints may
+    repeat, found pairs stand only with at most that many bits of difference
+    over all, and links are of nodes.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, ["cut", "shard", "tree", "part"]):
@@ -141,11 +174,20 @@ def _shard_links(radius: int):
             roots = root_of[group[asks]]
             asks, roots = asks[roots >= 0], roots[roots >= 0]
             label = None
+            names = fps.view(np.int64)
+            if most is not None:
+                names = table["node"].to_numpy()
+                wide = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(fps), _MORE)
             for q, node in search_forest(fps[trees], forest, fps[asks], roots, radius):
-                label = spanning(len(fps), asks[q], trees[node], label)
+                a, b = asks[q], trees[node]
+                if most is not None:
+                    a, b = a[a != b], b[a != b]
+                    near = _distance(fps[a], fps[b]) + np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int16) <= most
+                    a, b = a[near], b[near]
+                label = spanning(len(fps), a, b, label)
             if label is not None:
                 found = np.flatnonzero(label != np.arange(len(fps)))
-                yield pa.RecordBatch.from_arrays([pa.array(fps[found].view(np.int64)), pa.array(fps[label[found]].view(np.int64))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[found]), pa.array(names[label[found]])], ["a", "b"])
 
     return task
 
@@ -157,13 +199,69 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, tree_size: int = 2048) ->
     segments = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:])]
     masks = [F.lit(np.array([a | b], np.uint64).view(np.int64)[0].item()) for a, b in combinations(segments, 2)]
     dealt = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(m) for m in masks))).alias("cut", "shard"))
+    return _in_shards(dealt, ["fp"], tree_size).mapInArrow(_shard_links(radius), "a long, b long")
+
+
+def _in_shards(dealt: DataFrame, columns: list[str], tree_size: int) -> DataFrame:
+    """Rows (cut, shard, fp, ...) of shards with two rows or more, dealt to tasks by pairs of chunks."""
     sizes = dealt.groupBy("cut", "shard").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / tree_size)
-    dealt = dealt.join(sizes, ["cut", "shard"]).select("cut", "shard", "fp", chunks.alias("c"), F.pmod(F.xxhash64("fp"), chunks).alias("mine"))
-    dealt = dealt.select("cut", "shard", "fp", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("o"))
-    dealt = dealt.select("cut", "shard", F.least("mine", "o").alias("tree"), F.greatest("mine", "o").alias("part"), F.when(F.col("o") < F.col("mine"), 1).otherwise(0).alias("role"), "fp")
+    dealt = dealt.join(sizes, ["cut", "shard"]).select("cut", "shard", *columns, chunks.alias("c"), F.pmod(F.xxhash64(columns[-1]), chunks).alias("mine"))
+    dealt = dealt.select("cut", "shard", *columns, "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("o"))
+    dealt = dealt.select("cut", "shard", F.least("mine", "o").alias("tree"), F.greatest("mine", "o").alias("part"), F.when(F.col("o") < F.col("mine"), 1).otherwise(0).alias("role"), *columns)
     keys = ["cut", "shard", "tree", "part"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "role", "fp").mapInArrow(_shard_links(radius), "a long, b long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "role", "fp")
+
+
+def _bits_apart(similarity: float) -> float:
+    """Share of bits in which fingerprints of two shingle sets of a Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_links(nodes: DataFrame, n: int, similarity: float, recall: float = 0.95, tree_size: int = 2048, seed: int = 3) -> DataFrame:
+    """Spanning links (a, b) between the nodes (node, fp, sketch), ``n`` of them, that are as similar."""
+    apart = _bits_apart(similarity)
+    width = min(40, max(8, math.ceil(math.log2(max(2, n) / 32))))
+    cuts = math.ceil(math.log(1 - recall) / math.log1p(-((1 - apart) ** width)))
+    bits = (1 + _MORE) * 64
+    most = round(bits * apart + 1.25 * math.sqrt(bits * apart * (1 - apart)))
+    radius = round(64 * apart + 1.5 * math.sqrt(64 * apart * (1 - apart)))
+    rng = np.random.default_rng(seed)
+    masks = [sum(1 << int(j) for j in rng.choice(64, width, replace=False)) for _ in range(cuts)]
+    masks = [F.lit(np.array([m], np.uint64).view(np.int64)[0].item()) for m in masks]
+    dealt = nodes.select("fp", "sketch", "node", F.posexplode(F.array(*(F.col("fp").bitwiseAND(m) for m in masks))).alias("cut", "shard"))
+    return _in_shards(dealt, ["fp", "sketch", "node"], tree_size).mapInArrow(_shard_links(radius, most), "a long, b long")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(id, fp, component)`` as of :func:`simhash_components`, linking texts of a Jaccard similarity.
+
+    The similarity of two sets of ``shingle``-word shingles is estimated by
+    256 bits: the bound lies 1.25 standard deviations beyond what is expected
+    at ``similarity``. Texts with fewer words than a shingle are one shingle;
+    texts without words are equal.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([sketch(t.as_py(), shingle) for t in b.column(1)], np.uint64).reshape(b.num_rows, 1 + _MORE)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found[:, 0].copy().view(np.int64)), pa.array([r.tobytes() for r in found[:, 1:]], pa.binary())], ["id", "fp", "sketch"])
+
+    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    prints = ids.mapInArrow(task, "id long, fp long, sketch binary").withColumn("node", F.xxhash64("fp", "sketch"))
+    prints = stored(prints, "sketches")
+    nodes = stored(prints.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "nodes")
+    found = components(similar_links(nodes.select("node", "fp", "sketch"), nodes.count(), similarity))
+    return _named(prints, nodes.select("node", "least"), found)
+
+
+def _named(prints: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``(id, fp, component)`` of all rows, from each node's least id and each linked node's component."""
+    linked = found.join(nodes, "node")
+    tops = linked.groupBy("component").agg(F.min("least").alias("top"))
+    linked = linked.join(tops, "component").select("node", "top")
+    names = stored(nodes.join(linked, "node", "left").select("node", F.coalesce("top", "least").alias("component")), "names")
+    return prints.join(names, "node").select("id", "fp", "component")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, tree_size: int = 2048) -> DataFrame:
@@ -176,10 +274,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty table gives an empty result.
     """
     prints = stored(with_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    nodes = components(fingerprint_links(least.select("fp"), radius, tree_size))
-    linked = nodes.join(least, nodes["node"] == least["fp"]).select("fp", "component", "least")
-    tops = linked.groupBy("component").agg(F.min("least").alias("top"))
-    linked = stored(linked.join(tops, "component").select("fp", "top"), "linked")
-    named = least.join(linked, "fp", "left").select("fp", F.coalesce("top", "least").alias("component"))
-    return prints.join(named, "fp").select("id", "fp", "component")
+    prints = prints.select("id", "fp", F.col("fp").alias("node"))
+    nodes = stored(prints.groupBy("node").agg(F.min("id").alias("least")), "nodes")
+    found = components(fingerprint_links(nodes.select(F.col("node").alias("fp")), radius, tree_size))
+    return _named(prints, nodes, found)
