@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from quern.plans import queries_diff, queries_graph
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for _module in (queries_graph, queries_diff):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
