@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[str] = []
 
@@ -39,6 +40,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hinted(table: DataFrame, rows: int) -> DataFrame:
+    """A stored table with a broadcast hint if it has at most ``rows`` rows; beyond that joins shuffle it."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def mark() -> int:
     """A point in time for :func:`forget`."""
     return len(_written)

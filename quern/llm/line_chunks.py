@@ -18,10 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._store import stored
+from quern.llm._store import hinted, stored
 
 #: The rolling hash: hash of the line before, times this, plus the line's, modulo a prime.
 FACTOR, MODULUS = 1_000_003, 2_147_483_647
+#: Rows of repeated hashes, and of documents that lose chunks, up to which these narrow tables are broadcast
+#: (tens of MB) so that texts stay where they are; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def line_hash(line: Column) -> Column:
@@ -63,7 +66,8 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunks = chunks.select("_id", "_key", F.posexplode_outer("_chunks").alias("_place", "_c")).where("_c.n >= 2")
     chunks = chunks.select("_id", "_key", "_place", F.xxhash64("_c.chunk").alias("_hash"), F.col("_c.chunk").alias("_chunk"))
     marks = stored(chunks.select("_id", "_key", "_place", "_hash"), "chunk_hashes")
-    twice = marks.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash")
+    twice = stored(marks.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash"), "repeated_hashes")
+    twice = hinted(twice, BROADCAST_ROWS)
     again = stored(chunks.join(twice, "_hash", "left_semi"), "chunks_again")
     first = again.groupBy("_hash", "_chunk").agg(F.min(F.struct("_id", "_key", "_place")).alias("_first"), F.count("*").alias("n")).where("n > 1")
     first = stored(first.select("_hash", "_chunk", "_first"), "first_chunks")
@@ -82,7 +86,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     left empty. Columns that already have one of the two names are replaced.
     """
     docs = docs.drop("removed_chunks", "removed_lines")
-    gone = stored(repeated_chunks(docs, id_col, text_col, divisor), "gone_chunks")
+    gone = hinted(stored(repeated_chunks(docs, id_col, text_col, divisor), "gone_chunks"), BROADCAST_ROWS)
     gone = gone.select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), "_gone")
     rows = _keyed(docs, id_col, text_col)
     rows = rows.join(gone, (rows["_id"] == gone["_i"]) & (rows["_key"] == gone["_k"]), "left").drop("_id", "_key", "_i", "_k")
