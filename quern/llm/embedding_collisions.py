@@ -131,51 +131,81 @@ def _collisions(asked: np.ndarray, held: np.ndarray, half: float) -> np.ndarray:
     return counts
 
 
-def _block_links(cosine: float, seed: int):
-    """Task over rows of blocks sorted by (band, key, tree, part): role 0 is searched, role 1 asks."""
+def _pairs(lo: np.ndarray, hi: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) with j from lo[i] up to hi[i], in slices of about ``most``."""
+    counts = np.maximum(0, hi - lo)
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(lo):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        i = np.repeat(np.arange(at, to), counts[at:to])
+        j = np.arange(len(i)) - np.repeat(np.cumsum(counts[at:to]) - counts[at:to], counts[at:to]) + lo[i]
+        if len(i):
+            yield i, j
+        at = to
+
+
+def _block_links(cosine: float, seed: int, dense: int = 192):
+    """Task over rows of blocks sorted by (band, key, tree, part, role): role 0 is searched, role 1 asks.
+
+    Blocks of ``dense`` rows or more sort their projections and count by
+    ranks, a whole block at once; the pairs of many smaller blocks are tested
+    against the windows together.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, ["band", "key", "tree", "part"], 4096):
+        for table, starts in whole_groups(batches, ["band", "key", "tree", "part"], 16_384):
             node, size, role, band = (table[c].to_numpy() for c in ("node", "size", "role", "band"))
             keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
             raw = table["vec"].to_pylist()
-            for lo, hi in zip(starts, [*starts[1:], len(node)]):
-                for length in {len(r) for r in raw[lo:hi]}:
-                    own = np.array([i for i in range(lo, hi) if len(raw[i]) == length])
-                    held, ask = own[role[own] == 0], own[role[own] == 1]
-                    alone = not len(ask)
-                    ask = held if alone else ask
-                    if len(held) and len(own) > 1:
-                        yield from _verified(node, size, keys, raw, ask, held, alone, int(band[lo]), cosine, seed)
+            lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+            ends = np.repeat([*starts[1:], len(node)], np.diff([*starts, len(node)]))
+            begins = np.repeat(starts, np.diff([*starts, len(node)]))
+            asks = np.add.reduceat(role, starts)
+            split = np.repeat(asks > 0, np.diff([*starts, len(node)]))
+            first_ask = ends - np.repeat(asks, np.diff([*starts, len(node)]))
+            at = np.arange(len(node))
+            lo = np.where(split, first_ask, at + 1)
+            hi = np.where(split & (role == 1), lo, ends)
+            found = []
+            for length in np.unique(lengths):
+                own = np.flatnonzero(lengths == length)
+                x = np.zeros((len(node), length // 8))
+                x[own] = _unit([raw[i] for i in own])
+                m, half, least = _window(cosine, x.shape[1])
+                p = (x @ _directions(x.shape[1], m, seed)).astype(np.float32)
+                same = lengths == length
+                large = (ends - begins >= dense) & (np.repeat(np.add.reduceat(same.astype(np.int64), starts), np.diff([*starts, len(node)])) == ends - begins)
+                for i, j in _pairs(lo, np.where(large, lo, hi)):
+                    close = (np.abs(p[i] - p[j]) <= half).sum(1) >= least
+                    i, j = i[close], j[close]
+                    both = same[i] & same[j]
+                    found.append((i[both], j[both]))
+                for s, e in {(int(a), int(b)) for a, b in zip(begins[large], ends[large])}:
+                    mid = int(first_ask[s]) if split[s] else e
+                    ask = np.arange(mid, e) if split[s] else np.arange(s, e)
+                    hits = _collisions(p[ask], p[s:mid], half) >= least
+                    a, h = np.nonzero(hits if split[s] else np.triu(hits, 1))
+                    found.append((ask[a], h + s))
+                i, j = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+                near = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], x[j[k : k + 65536]]) for k in range(0, len(i), 65536)] or [np.zeros(0)]) >= cosine
+                i, j = i[near], j[near]
+                found = []
+                earlier = np.arange(keys.shape[1])[None] < band[i][:, None]
+                fresh = ~((keys[i] == keys[j]) & earlier).any(1)
+                i, j = i[fresh], j[fresh]
+                if not len(i):
+                    continue
+                local, where = np.unique(node, return_inverse=True)
+                a, b = where[i], where[j]
+                n = np.bincount(a, size[j], len(local)) + np.bincount(b, size[i], len(local))
+                label = spanning(len(local), a, b)
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(local[some]), pa.array(local[label[some]]), pa.array(n[some].astype(np.int64))], ["a", "b", "n"])
 
     return task
 
 
-def _verified(node, size, keys, raw, ask, held, alone, band, cosine, seed) -> Iterator[pa.RecordBatch]:
-    y = _unit([raw[i] for i in held])
-    x = y if alone else _unit([raw[i] for i in ask])
-    m, half, least = _window(cosine, y.shape[1])
-    turn = _directions(y.shape[1], m, seed)
-    hits = _collisions(x @ turn, y @ turn, half) >= least
-    if alone:
-        hits = np.triu(hits, 1)
-    i, j = np.nonzero(hits)
-    near = np.concatenate([np.einsum("ij,ij->i", x[i[s : s + 65536]], y[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0)]) >= cosine
-    i, j = ask[i[near]], held[j[near]]
-    first = ~(keys[i, :band] == keys[j, :band]).any(1)
-    i, j = i[first], j[first]
-    if not len(i):
-        return
-    both = np.concatenate([ask, held])
-    local = np.unique(both)
-    a, b = np.searchsorted(local, i), np.searchsorted(local, j)
-    n = np.bincount(a, size[j], len(local)) + np.bincount(b, size[i], len(local))
-    label = spanning(len(local), a, b)
-    some = np.flatnonzero(n)
-    ids = node[local]
-    yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]]), pa.array(n[some].astype(np.int64))], ["a", "b", "n"])
-
-
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, recall: float = 0.995, block: int = 1024, seed: int = 17) -> DataFrame:
     """``(id, n_links, component, kept)`` for every row of ``vectors``.
 
@@ -200,7 +230,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     places = places.select("band", "key", "node", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("o"))
     places = places.select("band", "key", "node", F.least("mine", "o").alias("tree"), F.greatest("mine", "o").alias("part"), F.when(F.col("o") < F.col("mine"), 1).otherwise(0).alias("role"))
     by = ["band", "key", "tree", "part"]
-    blocks = places.join(keyed, "node").repartition(*by).sortWithinPartitions(*by)
+    blocks = places.join(keyed, "node").repartition(*by).sortWithinPartitions(*by, "role")
     links = stored(blocks.mapInArrow(_block_links(cosine, seed), "a long, b long, n long"), "links")
     counts = links.groupBy("a").agg(F.sum("n").alias("n"))
     linked = components(links.select("a", "b"))
