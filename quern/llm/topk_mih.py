@@ -57,19 +57,20 @@ def nearest_codes(queries: DataFrame, codes: DataFrame, k: int = 10, segments: i
     cut = lambda c: F.array(*(F.shiftrightunsigned(c, width * s).bitwiseAND(every) for s in range(segments)))
     index = stored(ids.select("code").distinct().select("code", F.posexplode(cut(F.col("code"))).alias("seg", "val")), "index")
     away = lambda s: F.bit_count(F.shiftrightunsigned(F.col("code").bitwiseXOR(F.col("q")), width * s).bitwiseAND(every))
-    open_q = asks.select("q").distinct()
+    # With each open code the distance that a find must not exceed: the k-th so far of its queries.
+    open_q = asks.select("q", F.lit(64).alias("bound")).distinct()
     best: DataFrame | None = None
     order = W.partitionBy("query_id").orderBy("distance", "neighbor_id")
     for r in range(width + 1):
         masks = spark.createDataFrame([(m,) for m in _masks(width, r)], "mask long")
-        probes = open_q.select("q", F.posexplode(cut(F.col("q"))).alias("seg", "own")).crossJoin(F.broadcast(masks))
-        probes = probes.select("q", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val"))
+        probes = open_q.select("q", "bound", F.posexplode(cut(F.col("q"))).alias("seg", "own")).crossJoin(F.broadcast(masks))
+        probes = probes.select("q", "bound", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val"))
         met = probes.join(index, ["seg", "val"])
         # Only in the first of the segments that are nearest.
         nearest = F.lit(True)
         for s in range(segments):
             nearest = nearest & F.when(F.col("seg") > s, away(s) > r).otherwise(away(s) >= r)
-        met = met.where(nearest).select("q", "code", F.bit_count(F.col("code").bitwiseXOR(F.col("q"))).alias("distance"))
+        met = met.where(nearest & (F.bit_count(F.col("code").bitwiseXOR(F.col("q"))) <= F.col("bound"))).select("q", "code", F.bit_count(F.col("code").bitwiseXOR(F.col("q"))).alias("distance"))
         # No query needs more than the k + 1 nearest codes of a round (each has an id, one may be its own).
         met = met.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("distance", "code")))
         tied = met.withColumn("limit", F.max(F.when(F.col("r") <= k + 1, F.col("distance"))).over(W.partitionBy("q")))
@@ -78,8 +79,9 @@ def nearest_codes(queries: DataFrame, codes: DataFrame, k: int = 10, segments: i
         found = found if best is None else found.union(best)
         best = stored(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "best")
         covered = segments * (r + 1) - 1
-        done = best.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("d")).where((F.col("n") == k) & (F.col("d") <= covered))
-        open_q = stored(asks.join(done, "query_id", "left_anti").select("q").distinct(), "open")
+        so_far = best.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("d"))
+        so_far = asks.join(so_far, "query_id", "left").select("q", F.when(F.col("n") == k, F.col("d")).otherwise(64).alias("bound"))
+        open_q = stored(so_far.where(F.col("bound") > covered).groupBy("q").agg(F.max("bound").alias("bound")), "open")
         if open_q.isEmpty():
             break
     return best.select("query_id", F.row_number().over(order).cast("long").alias("rank"), "neighbor_id", F.col("distance").cast("long").alias("distance"))
