@@ -7,6 +7,9 @@ values are equal strings and can be compared, grouped and hashed.
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,9 +63,6 @@ def canonical_real_exact(real: Column) -> Column:
 
     No JVM function formats ``%.17g`` as C does, so this is an Arrow function.
     """
-    import math
-
-    import pyarrow as pa
 
     @F.arrow_udf("string")
     def text(values: pa.Array) -> pa.Array:

@@ -9,19 +9,29 @@ COMPASS = ("north", "northeast", "east", "southeast", "south", "southwest", "wes
 IDENTITY = tuple(float(i == j) for i in range(4) for j in range(4))
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def identity_matrix() -> Column:
     return F.array(*map(F.lit, IDENTITY))
 
 
 def matmul(a: Column, b: Column) -> Column:
     """Product of two row-major 4x4 arrays."""
-    return F.array(*(sum((a[4 * i + k] * b[4 * k + j] for k in range(1, 4)), a[4 * i] * b[j]) for i in range(4) for j in range(4)))
+    product = lambda x, y: F.array(*(sum((x[4 * i + k] * y[4 * k + j] for k in range(1, 4)), x[4 * i] * y[j]) for i in range(4) for j in range(4)))
+    return bound(a, lambda x: bound(b, lambda y: product(x, y)))
 
 
 def normalised(v: Column) -> Column:
     """Unit vector of three components; vectors under 1e-12 stay as they are."""
-    norm = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
-    return F.when(norm < 1e-12, v).otherwise(F.array(*(v[k] / norm for k in range(3))))
+
+    def scaled(x: Column) -> Column:
+        norm = F.sqrt(x[0] * x[0] + x[1] * x[1] + x[2] * x[2])
+        return F.when(norm < 1e-12, x).otherwise(F.array(*(x[k] / norm for k in range(3))))
+
+    return bound(v, scaled)
 
 
 def cross(a: Column, b: Column) -> Column:
@@ -36,16 +46,23 @@ def orthogonalised(x: Column, z: Column) -> Column:
 
 def axis_placement(location: Column, axis: Column, direction: Column) -> Column:
     """Matrix of a location, its z axis and the direction of x, each possibly null."""
-    z = normalised(F.coalesce(axis, F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))))
-    x = normalised(orthogonalised(F.coalesce(direction, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))), z))
-    y = cross(z, x)
     at = F.coalesce(location, F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
-    return F.array(*(c for i in range(3) for c in (x[i], y[i], z[i], at[i])), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    along = F.coalesce(direction, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)))
+
+    def rows(x: Column, y: Column, z: Column, p: Column) -> Column:
+        return F.array(*(c for i in range(3) for c in (x[i], y[i], z[i], p[i])), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+
+    def with_x(z: Column, x: Column) -> Column:
+        return bound(cross(z, x), lambda y: bound(at, lambda p: rows(x, y, z, p)))
+
+    up = normalised(F.coalesce(axis, F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))))
+    return bound(up, lambda z: bound(normalised(bound(along, lambda d: orthogonalised(d, z))), lambda x: with_x(z, x)))
 
 
 def transformed(m: Column, p: Column) -> Column:
     """A point under a matrix."""
-    return F.array(*(m[4 * i] * p[0] + m[4 * i + 1] * p[1] + m[4 * i + 2] * p[2] + m[4 * i + 3] for i in range(3)))
+    moved = lambda a, b: F.array(*(a[4 * i] * b[0] + a[4 * i + 1] * b[1] + a[4 * i + 2] * b[2] + a[4 * i + 3] for i in range(3)))
+    return bound(m, lambda a: bound(p, lambda b: moved(a, b)))
 
 
 def quantised_matrix(m: Column) -> Column:

@@ -285,10 +285,3 @@ def validated_policy(policy: dict | None) -> dict:
         if not isinstance(given[k], int) or given[k] <= 0:
             raise ValueError(f"Matcher policy {k} must be a positive integer")
     return SECONDARY | given
-
-
-def apply_matches(ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(step_id, entity_id, method) where a matched old entity takes the new one's id; ``pairs`` has new_id and method."""
-    taken = pairs.select(F.col("old_step").alias("step_id"), F.col("new_id"), F.col("method").alias("by"))
-    return ids.join(taken, "step_id", "left").select("step_id", F.coalesce("new_id", "entity_id").alias("entity_id"), F.coalesce("by", "method").alias("method"))
-

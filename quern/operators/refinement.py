@@ -43,8 +43,12 @@ def refine_once(colours: DataFrame, edges: DataFrame, round_hash: str = "auto")
     return rows.select("step_id", _hasher(round_hash)(F.concat_ws("\n", "colour", F.coalesce("around", F.lit("")))).alias("colour"))
 
 
-def refine(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None, round_hash: str = "auto") -> tuple[DataFrame, int]:
-    """Colours after refinement, and the rounds made; it stops once the number of colours stood still twice."""
+def refine(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None, round_hash: str = "auto", stop_early: bool = True) -> tuple[DataFrame, int]:
+    """Colours after refinement, and the rounds made; it stops once the number of colours stood still twice.
+
+    Colours of two graphs can be compared only after equally many rounds, for
+    which ``stop_early`` is to be False.
+    """
     colours = stored(seeds.select("step_id", "colour"), "colours")
     n, classes = colours.agg(F.count("*"), F.count_distinct("colour")).first()
     still = made = 0
@@ -54,7 +58,7 @@ def refine(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None, ro
         now = colours.agg(F.count_distinct("colour")).first()[0]
         still = still + 1 if now == classes else 0
         classes = now
-        if still == 2 or classes == n:
+        if stop_early and (still == 2 or classes == n):
             break
     return colours, made
 
