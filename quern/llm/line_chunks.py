@@ -32,10 +32,20 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
 
+def _settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that no optimiser rule merges into what reads them.
+
+    Filters and projections that use a column are otherwise moved below it and
+    repeat its whole expression, in a lambda for every element. They don't
+    pass a generator, which here makes one row of each.
+    """
+    return rows.select("*", F.inline_outer(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def _with_chunks(rows: DataFrame, text_col: str, divisor: int) -> DataFrame:
     """``rows`` with _chunks: array of structs (n lines, chunk text) in order; null for a null text."""
-    rows = rows.withColumn("_lines", F.split(F.col(text_col), "\n", -1))
-    rows = rows.withColumn("_hashes", F.transform("_lines", line_hash))
+    rows = _settled(rows, _lines=F.split(F.col(text_col), "\n", -1))
+    rows = _settled(rows, _hashes=F.transform("_lines", line_hash))
     last = F.size("_lines") - 1
 
     def end(h: Column, i: Column) -> Column:
@@ -43,13 +53,13 @@ def _with_chunks(rows: DataFrame, text_col: str, divisor: int) -> DataFrame:
         rolled = F.pmod(before * FACTOR + h, F.lit(MODULUS))
         return F.when((rolled % divisor == 0) | (i == last), i + 1)
 
-    rows = rows.withColumn("_ends", F.array_compact(F.transform("_hashes", end)))
+    rows = _settled(rows, _ends=F.array_compact(F.transform("_hashes", end)))
 
     def chunk(stop: Column, i: Column) -> Column:
         start = F.when(i > 0, F.get("_ends", i - 1)).otherwise(F.lit(0))
         return F.struct((stop - start).alias("n"), F.array_join(F.slice("_lines", start + 1, stop - start), "\n").alias("chunk"))
 
-    return rows.withColumn("_chunks", F.transform("_ends", chunk)).drop("_lines", "_hashes", "_ends")
+    return _settled(rows, _chunks=F.transform("_ends", chunk)).drop("_lines", "_hashes", "_ends")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,7 +72,6 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(_id, _key, _gone): for each document that loses chunks, the places of those, ascending."""
     rows = _keyed(docs.select(id_col, text_col), id_col, text_col).where(F.col(text_col).contains("\n"))
     chunks = _with_chunks(rows.select("_id", "_key", F.col(text_col).alias("_text")), "_text", divisor)
-    # Not posexplode: the filter that it infers would be pushed down and repeat the whole chain for every line.
     chunks = chunks.select("_id", "_key", F.posexplode_outer("_chunks").alias("_place", "_c")).where("_c.n >= 2")
     chunks = chunks.select("_id", "_key", "_place", F.xxhash64("_c.chunk").alias("_hash"), F.col("_c.chunk").alias("_chunk"))
     marks = stored(chunks.select("_id", "_key", "_place", "_hash"), "chunk_hashes")
@@ -94,7 +103,11 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = _with_chunks(rows.withColumn("_text", F.when(F.col("_gone").isNotNull(), F.col(text_col))), "_text", divisor)
     out = F.filter("_chunks", lambda c, i: F.array_contains("_gone", i))
     kept = F.filter("_chunks", lambda c, i: ~F.array_contains("_gone", i))
-    rows = rows.withColumn(text_col, F.when(F.col("_gone").isNotNull(), F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n")).otherwise(F.col(text_col)))
-    rows = rows.withColumn("removed_chunks", F.coalesce(F.size(F.col("_gone")), F.lit(0)).cast("long"))
     lines = F.aggregate(out, F.lit(0), lambda acc, c: acc + c["n"])
-    return rows.withColumn("removed_lines", F.coalesce(lines, F.lit(0)).cast("long")).drop("_text", "_chunks", "_gone")
+    rows = _settled(
+        rows,
+        _new=F.when(F.col("_gone").isNotNull(), F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n")).otherwise(F.col(text_col)),
+        removed_chunks=F.coalesce(F.size(F.col("_gone")), F.lit(0)).cast("long"),
+        removed_lines=F.coalesce(lines, F.lit(0)).cast("long"),
+    )
+    return rows.withColumn(text_col, F.col("_new")).drop("_text", "_chunks", "_gone", "_new")
