@@ -45,6 +45,17 @@ def hinted(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Let Arrow batches of whole texts end at ``most`` bytes, on this session, unless they already end sooner.
+
+    By rows alone, a batch of long documents could be larger than a task's memory.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+        spark.conf.set(key, str(most))
+
+
 def mark() -> int:
     """A point in time for :func:`forget`."""
     return len(_written)

@@ -20,19 +20,27 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quern.llm._store import small_batches
+
 #: Unicode's White_Space, at which the tokenizer's \s cuts.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: str.split() cuts at these as well, the tokenizer doesn't.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _NEVER = 1 << 60
-#: The tokenizer's word pattern, for lower-case printable ASCII without spaces.
-_ASCII_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Pieces of printable ASCII and Latin-1 letters, which composition leaves alone, and the word pattern for them in lower case.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: The characters that stand for bytes: printable ones for themselves, the others in order from 256.
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(_OTHERS)}
 #: The normaliser and the pattern that those rules are derived from.
 _RULES = ["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -40,7 +48,7 @@ _RULES = ["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p
 class WordTrieBPE:
     """Encoder of whole texts with the ids of a BPE tokenizer file that has word-end suffixes."""
 
-    def __init__(self, path: str, remembered: int = 700_000) -> None:
+    def __init__(self, path: str, remembered: int = 500_000) -> None:
         library = Tokenizer.from_file(path)
         self.normalize, self.cut_words = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         with open(path, encoding="utf-8") as f:
@@ -57,9 +65,9 @@ class WordTrieBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._learn_merges([tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]])
+        self.decimal = {i: str(i) for i in self.names}
         self.remembered = remembered
-        self.pieces: dict[str, tuple[str, str]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
 
     def _learn_merges(self, merges: list[tuple[str, str]]) -> None:
         ids = self.ids
@@ -103,7 +111,7 @@ class WordTrieBPE:
         key = a << 32 | b
         found = self.known.get(key)
         if found is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 300_000:
                 self.known.clear()
             found = self.known[key] = self._apart(a, b)
         return found
@@ -111,15 +119,12 @@ class WordTrieBPE:
     def encode_words(self, words: set[str]) -> dict[str, tuple[int, ...]]:
         """Ids of each distinct byte-level word, by one depth-first traversal of their trie.
 
-        The state of a prefix (its last token, and where that begins) is found
-        when a word below asks for it, and stays for all words below.
+        The trie is kept as its words in order, which is the order of the
+        traversal, with the length of the prefix that each shares with the
+        one before. The state of a prefix (its last token, and where that
+        begins) is found when a word below asks for it, and stays on the path
+        for all words that share the prefix.
         """
-        root: dict = {}
-        for w in words:
-            node = root
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
         out: dict[str, tuple[int, ...]] = {}
         # States along the current path: last token of the prefix of each length, or None so far, and where it begins.
         last: list = [0]
@@ -146,53 +151,57 @@ class WordTrieBPE:
                     return t, lo
             raise ValueError(f"no encoding of {path[:depth]!r}")
 
-        stack = [("", root, 0)]
-        while stack:
-            c, node, depth = stack.pop()
-            if depth:
-                path = path[: depth - 1] + c
-                del last[depth:], begin[depth:]
-                last.append(None)
-                begin.append(0)
-                if "" in node:
-                    t, lo = settle(depth, suffix)
-                    ids = [t]
-                    while lo:
-                        if last[lo] is None:
-                            last[lo], begin[lo] = settle(lo, "")
-                        ids.append(last[lo])
-                        lo = begin[lo]
-                    ids.reverse()
-                    out[node[""]] = tuple(ids)
-            depth += 1
-            for k, v in node.items():
-                if k:
-                    stack.append((k, v, depth))
+        for word in sorted(words):
+            shared = 0
+            for x, y in zip(path, word):
+                if x != y:
+                    break
+                shared += 1
+            path, depth = word, len(word)
+            last[shared + 1 :] = begin[shared + 1 :] = [None] * (depth - shared)
+            for lo in self._steps(depth):  # a very long word settles its prefixes in order
+                if last[lo] is None:
+                    last[lo], begin[lo] = settle(lo, "")
+            t, lo = settle(depth, suffix)
+            ids = [t]
+            while lo:
+                if last[lo] is None:
+                    last[lo], begin[lo] = settle(lo, "")
+                ids.append(last[lo])
+                lo = begin[lo]
+            ids.reverse()
+            out[word] = tuple(ids)
         return out
 
-    def _learn_pieces(self, new: set[str]) -> None:
+    @staticmethod
+    def _steps(depth: int, often: int = 64) -> range:
+        """Prefix lengths to settle beforehand, so that no demand nests deeper than ``often``."""
+        return range(1, depth) if depth > often else range(0)
+
+    def _learn_pieces(self, new: set[str], needed: list[list]) -> None:
+        """Add new pieces; when there are too many, only those that the texts at hand need stay."""
         if len(self.pieces) + len(new) > self.remembered:
-            self.pieces.clear()
-            self.words.clear()
+            stay = {p for ps in needed for p in ps if p.__class__ is str}.difference(new)
+            self.pieces = {p: self.pieces[p] for p in stay}
         cut = {p: self._words(p) for p in new}
-        self.words |= self.encode_words({w for ws in cut.values() for w in ws}.difference(self.words))
-        names = self.names
+        words = self.encode_words({w for ws in cut.values() for w in ws})
         for p, ws in cut.items():
-            ids = [i for w in ws for i in self.words[w]]
-            self.pieces[p] = " ".join(map(str, ids)), " ".join([names[i] for i in ids])
+            self.pieces[p] = words[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable([words[w] for w in ws]))
 
     def _words(self, piece: str) -> list[str]:
-        """Byte-level words of a piece; for printable ASCII the tokenizer's rules come down to one pattern."""
+        """Byte-level words of a piece; for plain letters and printable ASCII the rules come down to one pattern."""
         if piece.isascii() and piece.isprintable():
             piece = piece.lower()
-            return [piece] if piece.isalpha() else _ASCII_WORDS.findall(piece)
+            return [piece] if piece.isalpha() else _PLAIN_WORDS.findall(piece)
+        if _PLAIN.fullmatch(piece):
+            return [w.encode().decode("latin-1").translate(_BYTE_CHARS) for w in _PLAIN_WORDS.findall(piece.lower())]
         return [w for w, _ in self.cut_words(self.normalize(piece))]
 
     def _split(self, text: str) -> list[str]:
         return [p for p in _SPACE.split(text) if p] if _NOT_SPACE.search(text) else text.split()
 
-    def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, str]]:
-        """For each text its ids, as decimals joined by a space, and its decoded form."""
+    def encode_ids(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
         at = 0
         while at < len(texts):
             # As many texts as bring at most a bounded number of new pieces.
@@ -209,14 +218,21 @@ class WordTrieBPE:
                 parts.append(pieces)
                 new |= {p for p in pieces if p.__class__ is str}.difference(self.pieces)
             if new:
-                before = len(self.pieces)
-                self._learn_pieces(new)
-                if len(self.pieces) < before + len(new):  # it forgot: learn what these texts need
-                    self._learn_pieces({p for ps in parts for p in ps if p.__class__ is str}.difference(self.pieces))
+                self._learn_pieces(new, parts)
             known = self.pieces
             for ps in parts:
-                pairs = [known[p] if p.__class__ is str else (str(p), self.names[p]) for p in ps]
-                yield " ".join([a for a, _ in pairs if a]), " ".join([b for a, b in pairs if a])
+                try:
+                    yield list(chain.from_iterable(map(known.__getitem__, ps)))
+                except KeyError:  # special tokens stand as their ids
+                    yield list(chain.from_iterable(known[p] if p.__class__ is str else (p,) for p in ps))
+
+    def decode(self, ids: list[int]) -> str:
+        return " ".join(map(self.names.__getitem__, ids))
+
+    def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """For each text its ids, as decimals joined by a space, and its decoded form."""
+        for ids in self.encode_ids(texts):
+            yield " ".join(map(self.decimal.__getitem__, ids)), self.decode(ids)
 
 
 @lru_cache(2)
@@ -224,7 +240,7 @@ def _encoder(path: str, remembered: int) -> WordTrieBPE:
     return WordTrieBPE(path, remembered)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 700_000) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 500_000) -> DataFrame:
     """``(id, ids array<int>, decoded string)`` for every row of ``docs``.
 
     ``tokenizer`` is the path of the tokenizer file, there on every machine.
@@ -235,16 +251,18 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer, remembered)
         for b in _slices(batches):
-            ids, decoded = [], []
-            for i, d in encoder.encode_batch([t or "" for t in b.column(1).to_pylist()]):
-                ids.append([*map(int, i.split())])
-                decoded.append(d)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+            ids, ends, decoded = [], [0], []
+            for found in encoder.encode_ids([t or "" for t in b.column(1).to_pylist()]):
+                ids.append(np.array(found, np.int32))
+                ends.append(ends[-1] + len(found))
+                decoded.append(encoder.decode(found))
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), listed, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
 
     return _named(docs, id_col, text_col).mapInArrow(task, "id long, ids array<int>, decoded string")
 
 
-def encoding_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 700_000) -> DataFrame:
+def encoding_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 500_000) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)``: digests made where the ids are, which are not shipped."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,10 +276,11 @@ def encoding_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a slice's texts have about ``most`` bytes or are one row."""
     for b in batches:
         step = max(1, int(b.num_rows * most / max(most, b.nbytes)))
