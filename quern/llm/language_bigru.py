@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm._store import small_batches
+
 _SPAN = 48
 UNDETERMINED = "und"
 
@@ -224,6 +226,7 @@ def identify_languages(docs: DataFrame, model: ByteBiGRU | None, id_col: str = "
 
 def _predicted(docs: DataFrame, model: ByteBiGRU | None, text_col: str, remembered: int) -> DataFrame:
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     at = docs.columns.index(text_col)
     shared = spark.sparkContext.broadcast(model)

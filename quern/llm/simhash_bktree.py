@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quern.llm._components import components
 from quern.llm._runs import spanning, whole_groups
-from quern.llm._store import stored
+from quern.llm._store import small_batches, stored
 
 #: Bit j of byte value v, for sums of bits from byte histograms.
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
@@ -88,6 +88,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
+    small_batches(docs.sparkSession)
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return ids.mapInArrow(task, "id long, fp long")
 
@@ -247,6 +248,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             found = np.array([sketch(t.as_py(), shingle) for t in b.column(1)], np.uint64).reshape(b.num_rows, 1 + _MORE)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found[:, 0].copy().view(np.int64)), pa.array([r.tobytes() for r in found[:, 1:]], pa.binary())], ["id", "fp", "sketch"])
 
+    small_batches(docs.sparkSession)
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     prints = ids.mapInArrow(task, "id long, fp long, sketch binary").withColumn("node", F.xxhash64("fp", "sketch"))
     prints = stored(prints, "sketches")
