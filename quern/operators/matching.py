@@ -83,7 +83,69 @@ def root_remap(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame
     first = unique_pairs(*sides, key="hash").select("old_step", "new_step", F.lit(1).alias("stage"))
     rest = [s.join(first.select(F.col(c).alias("step_id")), "step_id", "left_anti").withColumn("both", F.concat_ws("|", "hash", "near")) for s, c in zip(sides, ("old_step", "new_step"))]
     second = unique_pairs(*rest, key="both").select("old_step", "new_step", F.lit(2).alias("stage"))
-    return stored(first.union(second), "remap")
+    left = [s.join(second.select(F.col(c).alias("step_id")), "step_id", "left_anti") for s, c in zip(rest, ("old_step", "new_step"))]
+    wide = [stored(s.select("step_id", "hash").join(_root_features(*g), "step_id"), "root_features") for s, g in zip(left, (old, new))]
+    third = best_in_buckets(_root_scores(*wide)).select("old_step", "new_step", F.lit(3).alias("stage"))
+    return stored(first.union(second).union(third), "remap")
+
+
+def _root_features(entities: DataFrame, refs: DataFrame) -> DataFrame:
+    hashes = structural_hashes(entities, refs).select(F.col("step_id").alias("target_step"), "hash")
+    token = F.concat_ws(FIELD, "path", F.coalesce("target_type", F.lit("")), F.coalesce("hash", F.lit("MISSING")))
+    near = refs.join(hashes, "target_step", "left").groupBy("source_step").agg(F.array_sort(F.collect_set(token)).alias("near"), F.array_sort(F.collect_list(token)).alias("all"), F.array_sort(F.collect_set(F.concat_ws(FIELD, "path", "target_type"))).alias("labels"), F.count("*").alias("degree"))
+    none = F.array().cast("array<string>")
+    rows = entities.where("global_id IS NOT NULL").join(near, F.col("step_id") == F.col("source_step"), "left")
+    return rows.select("step_id", "entity_type", F.map_keys("attributes").alias("paths"), F.array_distinct(F.transform(F.map_values("attributes"), literal_token)).alias("literals"), F.coalesce("labels", none).alias("labels"), F.coalesce("near", none).alias("near"), F.array_join(F.coalesce("all", none), SEP).alias("all"), F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def _root_scores(old: DataFrame, new: DataFrame, most: int = ROOT_MAX) -> DataFrame:
+    """(block, old_step, new_step, score) within buckets of one signature with at most ``most`` roots on a side."""
+    sizes = [s.groupBy("hash").agg(F.count("*").alias(n)).where(F.col(n) <= most) for s, n in ((old, "a"), (new, "b"))]
+    small = sizes[0].join(sizes[1], "hash").select("hash")
+    left, right = (s.join(small, "hash").select("hash", F.struct(*s.columns).alias(n)) for s, n in ((old, "o"), (new, "n")))
+    x, y = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"n.{c}"))
+    score = (
+        0.15 * (x("entity_type") == y("entity_type")).cast("double") + 0.15 * jaccard(x("paths"), y("paths")) + 0.20 * jaccard(x("literals"), y("literals")) + 0.10 * jaccard(x("labels"), y("labels"))
+        + 0.25 * jaccard(x("near"), y("near")) + 0.10 * (x("all") == y("all")).cast("double") + 0.05 * degree_similarity(x("degree"), y("degree"))
+    )
+    return left.join(right, "hash").select(F.col("hash").alias("block"), F.col("o.step_id").alias("old_step"), F.col("n.step_id").alias("new_step"), score.alias("score"))
+
+
+def two_best(scores: dict[tuple[int, int], float]) -> list[tuple[int, float, tuple]]:
+    """The two best assignments by count, total and pairs, each as (count, total, pairs).
+
+    Old rows are taken in turn. For each set of used new rows only the two
+    best beginnings are kept, as all that share the set can go on alike.
+    """
+    news = {n: 1 << i for i, n in enumerate(sorted({n for _, n in scores}))}
+    front: dict[int, list] = {0: [(0, 0.0, ())]}
+    for old in sorted({o for o, _ in scores}):
+        grown: dict[int, list] = {}
+        options = [(None, 0, 0.0), *((n, news[n], s) for (o, n), s in scores.items() if o == old)]
+        for used, kept in front.items():
+            for n, bit, s in options:
+                if not used & bit:
+                    grown.setdefault(used | bit, []).extend((k + 1, t + s, (*p, (old, n))) if n is not None else (k, t, p) for k, t, p in kept)
+        front = {u: sorted(c, key=_assignment_rank, reverse=True)[:2] for u, c in grown.items()}
+    return sorted((c for cs in front.values() for c in cs), key=_assignment_rank, reverse=True)[:2]
+
+
+def _assignment_rank(candidate: tuple[int, float, tuple]) -> tuple:
+    return candidate[0], round(candidate[1], 12), candidate[2]
+
+
+def best_in_buckets(scored: DataFrame, threshold: float = ROOT_THRESHOLD, margin: float = ROOT_MARGIN) -> DataFrame:
+    """(old_step, new_step) of the best assignment of each block, unless another of the same count comes within ``margin``."""
+    import pyarrow as pa
+
+    out = pa.schema([("old_step", pa.int64()), ("new_step", pa.int64())])
+
+    def solve(table: pa.Table) -> pa.Table:
+        best = two_best({(r["old_step"], r["new_step"]): r["score"] for r in table.to_pylist()})
+        close = len(best) > 1 and best[0][0] == best[1][0] and best[0][1] - best[1][1] < margin
+        return pa.Table.from_pylist([] if close else [{"old_step": o, "new_step": n} for o, n in best[0][2]], out)
+
+    return scored.where(F.col("score") >= threshold).groupBy("block").applyInArrow(solve, "old_step long, new_step long")
 
 
 # --- along references -----------------------------------------------------------

@@ -385,3 +385,57 @@ def test_field_operations_and_categories(spark):
     row = [(("A", {"x": "1", "y": "2"}, ["p"]), ("A", {"x": "1", "z": "3"}, ["p", "q"]))]
     ops = spark.createDataFrame(row, schema).select(changes.field_operations(F.col("o"), F.col("w")).alias("f")).first().f
     assert [(f.path, f.op) for f in ops] == [("/attributes/y", "remove"), ("/attributes/z", "add"), ("/refs/1", "add")]
+
+
+# --- building models ------------------------------------------------------------------------------
+
+
+def test_two_best_by_enumeration():
+    rng = random.Random(8)
+    for _ in range(40):
+        scores = {(o, 10 + n): round(rng.uniform(0.5, 1), 2) for o in range(4) for n in range(4) if rng.random() < 0.6}
+        if not scores:
+            continue
+        olds, news = sorted({o for o, _ in scores}), sorted({n for _, n in scores})
+        every = []
+        for choice in itertools.product([None, *news], repeat=len(olds)):
+            pairs_ = tuple((o, n) for o, n in zip(olds, choice) if n is not None)
+            if len({n for _, n in pairs_}) == len(pairs_) and all(p in scores for p in pairs_):
+                every.append((len(pairs_), round(sum(scores[p] for p in pairs_), 12), pairs_))
+        want = sorted(every, reverse=True)[:2]
+        assert [(k, round(t, 12), p) for k, t, p in matching.two_best(scores)] == want
+
+
+def test_edge_policy(spark):
+    from quern.operators.geometry import classified_edges, edge_stats
+
+    e, r = make(
+        spark,
+        [(1, "IfcWall", "W", {}), (2, "IfcBuildingStorey", "S", {}), (3, "IfcRelAggregates", "R1", {}), (4, "IfcWall", "W2", {}), (5, "IfcRelConnectsElements", "R2", {}), (6, "IfcLocalPlacement", None, {}), (7, "IfcRelAggregates", "R3", {}), (8, "IfcRelAssignsToGroup", "R4", {})],
+        [(1, "/ObjectPlacement", 6), (1, "/Other", 4), (3, "/RelatedObjects/0", 1), (3, "/RelatingObject", 2), (5, "/RelatingElement", 1), (5, "/RelatedElement", 4), (7, "/RelatedObjects/0", 1), (7, "/RelatingObject", 4), (8, "/RelatedObjects/0", 1)],
+    )
+    edges = classified_edges(e, r)
+    assert {(x.source_step, x.target_step, x.domain) for x in edges.collect()} == {(1, 6, "placement"), (1, 2, "spatial"), (1, 4, "topology"), (4, 1, "topology"), (1, 4, "geometry")}
+    assert dict(pairs(edge_stats(edges))) == {"include:placement": 1, "include:spatial": 1, "context:topology": 2, "include:geometry": 1}
+
+
+def test_placements_and_features(spark):
+    from quern.operators.geometry import placement_matrices, signature_rows, spatial_features
+
+    def shift(x):
+        return [1.0, 0, 0, x, 0, 1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0]
+
+    rows = [(1, None, shift(1.0)), (2, 1, shift(2.0)), (3, 2, shift(4.0)), (4, 3, shift(8.0)), (5, 6, shift(1.0)), (6, 5, shift(1.0)), (7, 6, shift(1.0)), (8, 99, shift(5.0))]
+    rows = [(a, b, [float(x) for x in m]) for a, b, m in rows]
+    got = {r.step_id: r.matrix[3] for r in placement_matrices(spark.createDataFrame(rows, "step_id long, parent long, local array<double>"), 8).collect()}
+    assert got == {1: 1.0, 2: 3.0, 3: 7.0, 4: 15.0, 8: 5.0}
+    e, _ = make(spark, [(20, "IfcWall", "W", {"Name": "a"}), (21, "IfcCartesianPoint", None, {"Coordinates": "x"}), (22, "IfcDoor", "D", {"Name": "b"})])
+    edges = spark.createDataFrame([(20, 21, "include", "geometry", "x")], "source_step long, target_step long, classification string, domain string, label string")
+    products = spark.createDataFrame([(20, 2), (22, 1)], "step_id long, placement_step long")
+    points = spark.createDataFrame([(21, [1.0, 2.0])], "point_step long, coordinates array<double>")
+    matrices = spark.createDataFrame([(1, [float(x) for x in shift(1.0)]), (2, [float(x) for x in shift(3.0)])], "step_id long, matrix array<double>")
+    found = spatial_features(products, edges, points, matrices)
+    by = {r.step_id: r for r in found.collect()}
+    assert by[20].centroid == [4.0, 2.0, 0.0] and by[22].centroid == [1.0, 0.0, 0.0] and by[22].aabb == [1.0, 0, 0, 1.0, 0, 0]
+    signed = {r.step_id: r for r in signature_rows(e, edges, found).collect()}
+    assert signed[20].guid == "W" and signed[20].vh_geometry != signed[22].vh_geometry and len(signed[20].placement) == 16
