@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import inf
 
 from pyspark.sql import Column, DataFrame
@@ -305,12 +306,21 @@ def assign_blocks(scored: DataFrame, threshold: float = SECONDARY["threshold"],
     return small.select("block", "old_step", "new_step", "score").groupBy("block").applyInArrow(solve, "block string, old_step long, new_step long, score double")
 
 
-def secondary_pairs(old: DataFrame, new: DataFrame, policy: dict | None = None) -> DataFrame:
-    """(block, old_step, new_step, score) for unresolved feature rows of two graphs, by block and then similarity.
+@dataclass
+class Secondary:
+    """``pairs`` (block, old_step, new_step, score), and the rows (block, side, step_id) of blocks left open because they are ambiguous."""
+
+    pairs: DataFrame
+    ambiguous: DataFrame
+
+
+def secondary_match(old: DataFrame, new: DataFrame, policy: dict | None = None) -> Secondary:
+    """Match unresolved feature rows of two graphs, by block and then similarity.
 
     Families of ``LARGE_FAMILY`` rows or more match by unique signature alone.
     The number of pairs is known from block sizes before any is made; beyond
-    the policy's limits nothing is matched.
+    the policy's limits nothing is matched. A block is ambiguous if some pair
+    is alike enough, but the assignment could as well be another.
     """
     rules = SECONDARY | (policy or {})
     sides = [stored(s.withColumn("block", blocking_key()), "blocked") for s in (old, new)]
@@ -319,7 +329,7 @@ def secondary_pairs(old: DataFrame, new: DataFrame, policy: dict | None = None)
     total = both.agg(F.sum(F.col("a") * F.col("b")), F.sum(F.greatest("a", "b"))).first()
     spark = old.sparkSession
     if (total[0] or 0) > rules["pair_limit"] or (total[1] or 0) > rules["unresolved_limit"]:
-        return spark.createDataFrame([], "block string, old_step long, new_step long, score double")
+        return Secondary(spark.createDataFrame([], "block string, old_step long, new_step long, score double"), spark.createDataFrame([], "block string, side string, step_id long"))
     large = both.groupBy("family").agg(F.sum(F.greatest("a", "b")).alias("n")).where(F.col("n") >= LARGE_FAMILY).select("family")
     unique = unique_pairs(*(s.join(large, "family", "left_semi") for s in sides), key="signature").select(F.lit("signature_unique").alias("block"), "old_step", "new_step", F.lit(1.0).alias("score"))
     most = rules["assignment_max"]
@@ -330,8 +340,17 @@ def secondary_pairs(old: DataFrame, new: DataFrame, policy: dict | None = None)
     first = stored(assign_blocks(scored.withColumn("score", F.col("s1")), rules["threshold"], rules["margin"], most), "assigned")
     # A small block that depth 1 leaves open is tried once more with the wider neighbourhood.
     again = scored.where(F.col("limit") <= rules["depth2_max"]).join(first.select("block").distinct(), "block", "left_anti").withColumn("score", F.col("s2"))
-    second = assign_blocks(again, rules["threshold"], rules["margin"], most)
-    return unique.union(first).union(second)
+    second = stored(assign_blocks(again, rules["threshold"], rules["margin"], most), "assigned")
+    alike = scored.where(F.greatest("s1", "s2") >= rules["threshold"]).select("block").distinct()
+    closed = first.select("block").union(second.select("block")).distinct()
+    open_blocks = stored(alike.join(closed, "block", "left_anti"), "open_blocks")
+    rows = [s.join(open_blocks, "block", "left_semi").select("block", F.lit(k).alias("side"), "step_id") for s, k in zip(sides, ("old", "new"))]
+    return Secondary(unique.union(first).union(second), rows[0].union(rows[1]))
+
+
+def ambiguous_ids(ambiguous: DataFrame, side: str) -> DataFrame:
+    """(step_id, class_id): one ``C:`` class for each ambiguous block, the same on both sides."""
+    return ambiguous.where(F.col("side") == side).select("step_id", F.concat(F.lit("C:"), F.sha2(F.concat(F.lit("ambiguous|"), "block"), 256)).alias("class_id"))
 
 
 def validated_policy(policy: dict | None) -> dict:

@@ -109,3 +109,18 @@ def precision_recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     sums = hits.crossJoin(found.agg(F.count("*").alias("f"))).crossJoin(truth.agg(F.count("*").alias("t")))
     p, r = F.when(F.col("f") == 0, 1.0).otherwise(F.col("tp") / F.col("f")), F.when(F.col("t") == 0, 1.0).otherwise(F.col("tp") / F.col("t"))
     return sums.select(p.alias("precision"), r.alias("recall"), F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)).alias("f1"))
+
+
+def timing_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, runs, min, max, mean, median, p95) of a measure; percentiles are interpolated."""
+    v = F.col(value)
+    return rows.groupBy(by).agg(F.count(v).alias("runs"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.95)).alias("p95"))
+
+
+def group_label(names: list[str]) -> str:
+    """What the file names of a group begin with, without a version suffix or separators at the end."""
+    import os
+    import re
+
+    common = os.path.commonprefix([os.path.splitext(n)[0] for n in names])
+    return re.sub(r"[-_ .]*(v(er(sion)?)?)?[-_ .]*$", "", common, flags=re.I) or (names[0] if names else "")

@@ -47,6 +47,16 @@ def assign_ids(graph: Graph, guid_policy: str, max_rounds: int = 3) -> DataFrame
     return stored(ids.select("step_id", F.coalesce("entity_id", "class_id", F.concat(F.lit("H:"), "colour")).alias("entity_id"), method.alias("method"), "hash"), "ids")
 
 
+def _unchanged(graph: Graph, guid_policy: str) -> GraphDiff:
+    """The comparison of a graph with itself: nothing changed, all matched; the identifier policy still holds."""
+    spark = graph[0].sparkSession
+    identity.identify(graph[0], guid_policy)
+    ids = graph[0].select("step_id", F.coalesce(F.concat(F.lit("G:"), "global_id"), F.concat(F.lit("H:"), F.col("step_id").cast("string"))).alias("entity_id"), F.lit("exact_hash").alias("method"), F.lit("").alias("hash"))
+    none = spark.createDataFrame([], f"op string, old_entity_id string, new_entity_id string, n int, old_step long, new_step long, entity_type string, field_ops {changes.FIELD_OPS}, change_id string, position long, change_categories array<string>, stability_tier string")
+    stats = ids.groupBy("method").agg(F.count("*").alias("matched"))
+    return GraphDiff(none, spark.createDataFrame([], "entity_id string, class_id string, old_count long, new_count long"), spark.createDataFrame([], "marker_type string, relation_type string, child_id string, old_parent_id string, new_parent_id string"), stats, ids, ids)
+
+
 def _with_new_ids(pairs: DataFrame, new_ids: DataFrame, method: str) -> DataFrame:
     return pairs.join(new_ids.select(F.col("step_id").alias("new_step"), F.col("entity_id").alias("new_id")), "new_step").select("old_step", "new_step", "new_id", F.lit(method).alias("method"))
 
@@ -64,6 +74,8 @@ def graph_diff(old: Graph, new: Graph, profile: str = "semantic_stable", guid_po
     matched roots, similarity within blocks; a later match overwrites.
     """
     changes.check_geometry_policy(geometry_policy)
+    if old is new:
+        return _unchanged(old, guid_policy)
     policy = matching.validated_policy(matcher_policy)
     if schemas:
         changes.check_schemas(*schemas)
@@ -82,8 +94,9 @@ def graph_diff(old: Graph, new: Graph, profile: str = "semantic_stable", guid_po
     ids = stored(changes_applied(ids, path), "ids")
     resolved = stored(found.union(same).union(path.select("old_step", "new_step")).distinct(), "resolved")
     rest = [matching.features(*g) for g in (_unresolved(old, resolved, "old_step"), _unresolved(new, resolved, "new_step"))]
-    second = _with_new_ids(matching.secondary_pairs(*rest, policy), new_ids, "secondary_match")
-    ids = stored(changes_applied(ids, second), "ids")
+    secondary = matching.secondary_match(*rest, policy)
+    ids = stored(changes_applied(ids, _with_new_ids(secondary.pairs, new_ids, "secondary_match")), "ids")
+    ids, new_ids = (stored(_as_classes(i, matching.ambiguous_ids(secondary.ambiguous, k)), "ids") for i, k in ((ids, "old"), (new_ids, "new")))
 
     deltas = stored(changes.class_deltas(ids, new_ids), "deltas")
     sides = []
@@ -100,6 +113,12 @@ def graph_diff(old: Graph, new: Graph, profile: str = "semantic_stable", guid_po
     return GraphDiff(feed, deltas, changes.reparented(*links), changes.match_stats(ordered, new_ids), ids, new_ids)
 
 
+def _as_classes(ids: DataFrame, classes: DataFrame) -> DataFrame:
+    """``ids`` where entities that the matching could not tell apart have their class instead."""
+    rows = ids.join(classes, "step_id", "left")
+    return rows.select("step_id", F.coalesce("class_id", "entity_id").alias("entity_id"), F.when(F.col("class_id").isNotNull(), "equivalence_class").otherwise(F.col("method")).alias("method"), "hash")
+
+
 def changes_applied(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """``ids`` with the new side's id and the method of each pair."""
     taken = pairs.select(F.col("old_step").alias("step_id"), "new_id", F.col("method").alias("by")).dropDuplicates(["step_id"])

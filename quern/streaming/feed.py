@@ -36,6 +36,31 @@ def ndjson(changes: DataFrame, markers: DataFrame, change: Column, marker: Colum
     return out.withColumn("rank", rank[F.col("section")])
 
 
+def serialized(rows: DataFrame, id_col: str, record: Column) -> DataFrame:
+    """(position, record): text records in order of tier (G, H, C, other) and id.
+
+    Tiers and the first characters of ids are ranges in that order; rows are
+    numbered within a range, after the rows of the ranges before.
+    """
+    from pyspark.sql import Window as W
+
+    tier = F.when(F.col(id_col).startswith("G:"), 0).when(F.col(id_col).startswith("H:"), 1).when(F.col(id_col).startswith("C:"), 2).otherwise(3)
+    keyed = rows.select(tier.alias("t"), F.col(id_col).alias("i"), record.alias("record")).withColumn("r", F.concat(F.col("t").cast("string"), F.substring("i", 1, 5)))
+    counts = keyed.groupBy("r").agg(F.count("*").alias("c"))
+    before = counts.select("r", (F.sum("c").over(W.orderBy("r")) - F.col("c")).alias("before"))
+    at = F.col("before") + F.row_number().over(W.partitionBy("r").orderBy("i", "record"))
+    return keyed.join(before, "r").select(at.cast("long").alias("position"), "record")
+
+
+def sections(report: DataFrame, item: Column) -> DataFrame:
+    """(section, position, value) of a signature report: added, deleted, modified, unchanged, each in order of class and steps."""
+    from pyspark.sql import Window as W
+
+    rank = F.create_map(*(F.lit(x) for kv in (("added", 0), ("deleted", 1), ("modified", 2), ("unchanged", 3)) for x in kv))[F.col("section")]
+    order = W.partitionBy("section", "canonical_class").orderBy("old_step", "new_step")
+    return report.select(rank.alias("rank"), "section", "canonical_class", F.row_number().over(order).alias("position"), F.to_json(item).alias("value"))
+
+
 def chunks(rows: DataFrame, position: str, item: Column, chunk_size: int = 1000, clamp: bool = False) -> DataFrame:
     """(offset, count, items): JSON arrays of ``chunk_size`` rows in order of ``position`` (from 1).
 

@@ -439,3 +439,28 @@ def test_placements_and_features(spark):
     assert by[20].centroid == [4.0, 2.0, 0.0] and by[22].centroid == [1.0, 0.0, 0.0] and by[22].aabb == [1.0, 0, 0, 1.0, 0, 0]
     signed = {r.step_id: r for r in signature_rows(e, edges, found).collect()}
     assert signed[20].guid == "W" and signed[20].vh_geometry != signed[22].vh_geometry and len(signed[20].placement) == 16
+
+
+def test_ambiguous_points_are_a_class(spark):
+    wall = (1, "IfcWall", "W", {})
+    old = make(spark, [wall, (2, "IfcPoint", None, {"c": "1"}), (3, "IfcPoint", None, {"c": "2"})], [(1, "/p", 2), (1, "/p", 3)])
+    new = make(spark, [wall, (2, "IfcPoint", None, {"c": "5"})], [(1, "/p", 2)])
+    found = graph_diff(old, new)
+    assert [(r.old_count, r.new_count, r.class_id[:2]) for r in found.class_deltas.collect()] == [(2, 1, "C:")]
+    assert not [r for r in found.changes.collect() if r.op != "MODIFY"]
+
+
+def test_same_graph_and_report(spark):
+    from quern.plans.report import environment_fingerprint, markdown_report, scene_summary
+
+    g = make(spark, [(1, "IfcWall", "A", {"Name": "x"})])
+    assert graph_diff(g, g).changes.count() == 0
+    with pytest.raises(ValueError):
+        bad = make(spark, [(1, "W", "A", {}), (2, "W", "A", {})])
+        graph_diff(bad, bad)
+    rows = spark.createDataFrame([("ADD", "IfcWall", None, "G:A", [], "chg-000001", 1)], f"op string, entity_type string, old_entity_id string, new_entity_id string, field_ops {changes.FIELD_OPS}, change_id string, position long")
+    text_ = markdown_report(rows, spark.createDataFrame([], "relation_type string, child_id string, old_parent_id string, new_parent_id string"), "T", 4)
+    assert "+1 added, 4 unchanged" in text_ and "| IfcWall | 1 |" in text_ and "chg-000001" in text_
+    assert scene_summary(spark.createDataFrame([("F0", "wall"), ("F0", "wall"), (None, "door")], "storey string, category string")) == ["(none): 1 door", "F0: 2 wall"]
+    assert environment_fingerprint().startswith('{"python"')
+    assert scenes.group_label(["house_v1.ifc", "house_v2.ifc"]) == "house"
