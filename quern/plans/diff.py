@@ -74,12 +74,13 @@ def graph_diff(old: Graph, new: Graph, profile: str = "semantic_stable", guid_po
     matched roots, similarity within blocks; a later match overwrites.
     """
     changes.check_geometry_policy(geometry_policy)
-    if old is new:
-        return _unchanged(old, guid_policy)
     policy = matching.validated_policy(matcher_policy)
     if schemas:
         changes.check_schemas(*schemas)
+    same = old is new
     old, new = hashing.profiled(*old, profile), hashing.profiled(*new, profile)
+    if same:
+        return _unchanged(old, guid_policy)
     ids, new_ids = assign_ids(old, guid_policy), assign_ids(new, guid_policy)
     remap = matching.root_remap(old, new).select("old_step", "new_step")
     ids = stored(changes_applied(ids, _with_new_ids(remap, new_ids, "root_remap")), "ids")
