@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.canonical import FIELD, SEP, rewritten_target
+from quern.plans.loops import stored
 
 #: Relations that place a child under a parent; priority of match methods.
 PARENT_RELATIONS = ("IfcRelContainedInSpatialStructure", "IfcRelAggregates", "IfcRelNests")
@@ -25,11 +26,8 @@ def check_geometry_policy(policy: str) -> None:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` with the occurrence of each entity_id in file order; ids that occur once pass no window."""
-    many = rows.groupBy("entity_id").agg(F.count("*").alias("c")).where("c > 1").select("entity_id")
-    once = rows.join(many, "entity_id", "left_anti").withColumn("n", F.lit(1))
-    more = rows.join(many, "entity_id", "left_semi").withColumn("n", F.row_number().over(W.partitionBy("entity_id").orderBy("ord")))
-    return once.unionByName(more)
+    """``rows`` with the occurrence of each entity_id in file order; a running count, which keeps no rows in memory."""
+    return rows.withColumn("n", F.row_number().over(W.partitionBy("entity_id").orderBy("ord")))
 
 
 def comparable(entities: DataFrame, refs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -127,6 +125,7 @@ def with_change_ids(changes: DataFrame) -> DataFrame:
     order into ranges, counted, and numbered within each, so no single task
     sorts the whole feed.
     """
+    changes = stored(changes, "changes")  # read twice below: to be counted and to be numbered
     rank = F.when(F.col("op").isin("MODIFY", "CLASS_DELTA"), 0).when(F.col("op") == "REMOVE", 1).otherwise(2)
     keyed = changes.withColumn("_id", F.coalesce("old_entity_id", "new_entity_id")).withColumn("_rank", rank)
     # Ids share a short alphabet; their first characters are ranges in order.

@@ -79,7 +79,7 @@ def fingerprint_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     for entities, refs in _sides(spark, sf_dir, _LINES):
         one = F.concat_ws(">", "path", F.col("target_step").cast("string"))
         near = refs.groupBy(F.col("source_step").alias("step_id")).agg(F.array_join(F.array_sort(F.collect_list(one)), "\x1f").alias("near"))
-        out.append(hashing.structural_hashes(entities, refs).join(near, "step_id"))
+        out.append(stored(hashing.structural_hashes(entities, refs).join(near, "step_id"), "hashes"))
     return matching.refined_pairs(*out)
 
 
@@ -346,7 +346,7 @@ def bulk_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(BOTH, _CMP, "k AS (SELECT op, coalesce(old_entity_id, new_entity_id) AS id FROM j)", select="""SELECT 'base_change' AS section, row_number() OVER (ORDER BY id) AS position, '{"event":"base_change","index":' || (row_number() OVER (ORDER BY id) - 1) || ',"data":{"op":"' || op || '","entity_id":"' || id || '"}}' AS value FROM k UNION ALL SELECT 'end', 0, '{"event":"end","op_counts":{' || string_agg('"' || op || '":' || n, ',' ORDER BY op) || '}}' FROM (SELECT op, count(*) AS n FROM k GROUP BY op)"""))
 def ndjson_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = changes.with_change_ids(_feed(spark, sf_dir))
+    numbered = stored(changes.with_change_ids(_feed(spark, sf_dir)), "numbered")
     body = F.struct("op", F.coalesce("old_entity_id", "new_entity_id").alias("entity_id"))
     return feed.event_lines("base_change", numbered, "position", body).union(feed.end_line(numbered))
 
