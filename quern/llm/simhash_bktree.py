@@ -32,12 +32,12 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._components import components
 from quern.llm._runs import spanning, whole_groups
-from quern.llm._store import small_batches, stored
+from quern.llm._store import hinted, small_batches, stored
 
 #: Bit j of byte value v, for sums of bits from byte histograms.
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
@@ -153,15 +153,20 @@ def search_forest(fps: np.ndarray, forest: tuple, queries: np.ndarray, roots: np
 
 
 def _shard_links(radius: int, most: int | None = None):
-    """Task over rows (cut, shard, tree, part, role, fp) sorted in that order: role 0 is in the tree, role 1 queries it.
+    """Task over rows (key, pair, role, fp) sorted in that order: role 0 is in the tree, role 1 queries it.
 
-    With ``most``, rows have a node and a sketch as well; fingerprints may
+    With ``most``, rows have a node and further fingerprints as well; fingerprints may
     repeat, found pairs stand only with at most that many bits of difference
     over all, and links are of nodes.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, ["cut", "shard", "tree", "part"]):
+        for table, starts in whole_groups(batches, ["key", "pair"]):
+            counts = np.diff(np.r_[starts, table.num_rows])
+            table = table.filter(pa.array(np.repeat(counts > 1, counts)))
+            if not table.num_rows:
+                continue
+            starts = np.r_[0, np.cumsum(counts[counts > 1])[:-1]]
             fps = table["fp"].to_numpy().view(np.uint64)
             role = table["role"].to_numpy()
             group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(fps)]))
@@ -178,7 +183,7 @@ def _shard_links(radius: int, most: int | None = None):
             names = fps.view(np.int64)
             if most is not None:
                 names = table["node"].to_numpy()
-                wide = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(fps), _MORE)
+                wide = np.column_stack([table[f"more{i}"].to_numpy().view(np.uint64) for i in range(_MORE)])
             for q, node in search_forest(fps[trees], forest, fps[asks], roots, radius):
                 a, b = asks[q], trees[node]
                 if most is not None:
@@ -199,19 +204,31 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, tree_size: int = 2048) ->
     cuts = [*(i * width for i in range(radius + 2)), 64]
     segments = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:])]
     masks = [F.lit(np.array([a | b], np.uint64).view(np.int64)[0].item()) for a, b in combinations(segments, 2)]
-    dealt = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(m) for m in masks))).alias("cut", "shard"))
-    return _in_shards(dealt, ["fp"], tree_size).mapInArrow(_shard_links(radius), "a long, b long")
+    return _in_shards(_dealt(fps.select("fp"), masks), ["fp"], tree_size).mapInArrow(_shard_links(radius), "a long, b long")
+
+
+def _dealt(rows: DataFrame, masks: list[Column]) -> DataFrame:
+    """``rows`` once for each mask, with the key of the shard: mask number and fingerprint under the mask.
+
+    The key is a hash of both. Should two keys meet, their shards are one; distances are compared anyway.
+    """
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(m)) for i, m in enumerate(masks)))
+    return rows.select("*", F.explode(keys).alias("key"))
 
 
 def _in_shards(dealt: DataFrame, columns: list[str], tree_size: int) -> DataFrame:
-    """Rows (cut, shard, fp, ...) of shards with two rows or more, dealt to tasks by pairs of chunks."""
-    sizes = dealt.groupBy("cut", "shard").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / tree_size)
-    dealt = dealt.join(sizes, ["cut", "shard"]).select("cut", "shard", *columns, chunks.alias("c"), F.pmod(F.xxhash64(columns[-1]), chunks).alias("mine"))
-    dealt = dealt.select("cut", "shard", *columns, "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("o"))
-    dealt = dealt.select("cut", "shard", F.least("mine", "o").alias("tree"), F.greatest("mine", "o").alias("part"), F.when(F.col("o") < F.col("mine"), 1).otherwise(0).alias("role"), *columns)
-    keys = ["cut", "shard", "tree", "part"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "role", "fp")
+    """Rows (key, pair, role, fp, ...) dealt to tasks by shard, or by pairs of chunks of a large one.
+
+    Only keys are counted beforehand; the rows themselves are shuffled once.
+    """
+    large = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tree_size)
+    large = hinted(stored(large.select("key", F.ceil(F.col("n") / tree_size).cast("long").alias("c")), "large_shards"), 500_000)
+    whole = F.coalesce("c", F.lit(1).cast("long"))
+    dealt = dealt.join(large, "key", "left").select("key", *columns, whole.alias("c"), F.pmod(F.xxhash64(columns[-1]), whole).alias("mine"))
+    dealt = dealt.select("key", *columns, "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("o"))
+    pair = F.least("mine", "o") * (1 << 31) + F.greatest("mine", "o")
+    dealt = dealt.select("key", pair.alias("pair"), F.when(F.col("o") < F.col("mine"), 1).otherwise(0).alias("role"), *columns)
+    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "role", "fp")
 
 
 def _bits_apart(similarity: float) -> float:
@@ -220,7 +237,7 @@ def _bits_apart(similarity: float) -> float:
 
 
 def similar_links(nodes: DataFrame, n: int, similarity: float, recall: float = 0.95, tree_size: int = 2048, seed: int = 3) -> DataFrame:
-    """Spanning links (a, b) between the nodes (node, fp, sketch), ``n`` of them, that are as similar."""
+    """Spanning links (a, b) between the nodes (node, fp, more0, ...), ``n`` of them, that are as similar."""
     apart = _bits_apart(similarity)
     width = min(40, max(8, math.ceil(math.log2(max(2, n) / 32))))
     cuts = math.ceil(math.log(1 - recall) / math.log1p(-((1 - apart) ** width)))
@@ -230,8 +247,8 @@ def similar_links(nodes: DataFrame, n: int, similarity: float, recall: float = 0
     rng = np.random.default_rng(seed)
     masks = [sum(1 << int(j) for j in rng.choice(64, width, replace=False)) for _ in range(cuts)]
     masks = [F.lit(np.array([m], np.uint64).view(np.int64)[0].item()) for m in masks]
-    dealt = nodes.select("fp", "sketch", "node", F.posexplode(F.array(*(F.col("fp").bitwiseAND(m) for m in masks))).alias("cut", "shard"))
-    return _in_shards(dealt, ["fp", "sketch", "node"], tree_size).mapInArrow(_shard_links(radius, most), "a long, b long")
+    columns = ["fp", *(f"more{i}" for i in range(_MORE)), "node"]
+    return _in_shards(_dealt(nodes.select(columns), masks), columns, tree_size).mapInArrow(_shard_links(radius, most), "a long, b long")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -242,18 +259,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     at ``similarity``. Texts with fewer words than a shingle are one shingle;
     texts without words are equal.
     """
+    more = [f"more{i}" for i in range(_MORE)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.array([sketch(t.as_py(), shingle) for t in b.column(1)], np.uint64).reshape(b.num_rows, 1 + _MORE)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found[:, 0].copy().view(np.int64)), pa.array([r.tobytes() for r in found[:, 1:]], pa.binary())], ["id", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c.copy().view(np.int64)) for c in found.T)], ["id", "fp", *more])
 
     small_batches(docs.sparkSession)
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = ids.mapInArrow(task, "id long, fp long, sketch binary").withColumn("node", F.xxhash64("fp", "sketch"))
+    prints = ids.mapInArrow(task, "id long, fp long, " + ", ".join(f"{m} long" for m in more)).withColumn("node", F.xxhash64("fp", *more))
     prints = stored(prints, "sketches")
-    nodes = stored(prints.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "nodes")
-    found = components(similar_links(nodes.select("node", "fp", "sketch"), nodes.count(), similarity))
+    nodes = stored(prints.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("fp", *more))), "nodes")
+    found = components(similar_links(nodes, nodes.count(), similarity))
     return _named(prints, nodes.select("node", "least"), found)
 
 
