@@ -104,7 +104,8 @@ def mixing_plan(cells: DataFrame, power: float = 0.7, keep: float = 0.5, rounds:
             shares[key[i]] = shares.get(key[i], 0.0) + t / tokens.sum()
         wanted.append((targets or {}).get(k) or tempered(shares, power))
     chance = rake(keys, tokens, wanted, keep, rounds) / tokens
-    return spark.createDataFrame([(*k, float(p)) for k, p in zip(keys, chance)], schema)
+    # Bounded by max_cells rows, so documents are not shuffled to meet it.
+    return F.broadcast(spark.createDataFrame([(*k, float(p)) for k, p in zip(keys, chance)], schema))
 
 
 def draw(id_col: Column, seed: str) -> Column:
