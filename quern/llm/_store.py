@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,11 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+def lean_memory() -> None:
+    """In a Python worker: let Arrow give freed buffers back to the system instead of keeping them."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def mark() -> int:
     """A point in time for :func:`forget`."""
     return len(_written)

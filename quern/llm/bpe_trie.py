@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quern.llm._store import small_batches
+from quern.llm._store import lean_memory, small_batches
 
 #: Unicode's White_Space, at which the tokenizer's \s cuts.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -48,7 +48,7 @@ _RULES = ["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p
 class WordTrieBPE:
     """Encoder of whole texts with the ids of a BPE tokenizer file that has word-end suffixes."""
 
-    def __init__(self, path: str, remembered: int = 500_000) -> None:
+    def __init__(self, path: str, remembered: int = 300_000) -> None:
         library = Tokenizer.from_file(path)
         self.normalize, self.cut_words = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         with open(path, encoding="utf-8") as f:
@@ -240,7 +240,7 @@ def _encoder(path: str, remembered: int) -> WordTrieBPE:
     return WordTrieBPE(path, remembered)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 500_000) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 300_000) -> DataFrame:
     """``(id, ids array<int>, decoded string)`` for every row of ``docs``.
 
     ``tokenizer`` is the path of the tokenizer file, there on every machine.
@@ -249,6 +249,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         encoder = _encoder(tokenizer, remembered)
         for b in _slices(batches):
             ids, ends, decoded = [], [0], []
@@ -262,10 +263,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     return _named(docs, id_col, text_col).mapInArrow(task, "id long, ids array<int>, decoded string")
 
 
-def encoding_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 500_000) -> DataFrame:
+def encoding_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 300_000) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)``: digests made where the ids are, which are not shipped."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         encoder = _encoder(tokenizer, remembered)
         for b in _slices(batches):
             rows = [(i.count(" ") + 1 if i else 0, hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest()) for i, d in encoder.encode_batch([t or "" for t in b.column(1).to_pylist()])]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm._store import small_batches
+from quern.llm._store import lean_memory, small_batches
 
 _SPAN = 48
 UNDETERMINED = "und"
@@ -133,7 +133,7 @@ class ByteBiGRU:
                     s += 0.01 * (v * v - s)
                     self.w[k] -= now * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
 
-    def word_sums(self, words: list[str], at_once: int = 4096) -> np.ndarray:
+    def word_sums(self, words: list[str], at_once: int = 1024) -> np.ndarray:
         """For each word the sum of its positions' distributions, and in the last column their number."""
         out = np.zeros((len(words), len(self.langs) + 1))
         xs, lengths, owner = _pieces(words)
@@ -154,25 +154,28 @@ class _Worker:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.sums = np.zeros((0, len(self.model.langs) + 2))
+        self.sums = np.zeros((1024, len(self.model.langs) + 2), np.float32)
 
     def learn(self, words: set[str]) -> None:
         new = [*words]
         if not new:
             return
         letters = np.fromiter((any(map(str.isalpha, w)) for w in new), float, len(new))
-        self.sums = np.concatenate([self.sums, np.column_stack([self.model.word_sums(new), letters])])
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+        known = len(self.index)
+        if known + len(new) > len(self.sums):
+            self.sums = np.concatenate([self.sums, np.zeros((max(len(new), len(self.sums)), self.sums.shape[1]), np.float32)])
+        self.sums[known : known + len(new)] = np.column_stack([self.model.word_sums(new), letters])
+        self.index.update(zip(new, range(known, known + len(new))))
 
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-        for lo in range(0, len(texts), 256):
-            split = [(t or "").split() for t in texts[lo : lo + 256]]
+        for lo in range(0, len(texts), 128):
+            split = [(t or "").split() for t in texts[lo : lo + 128]]
             if len(self.index) > self.remembered:
                 self.forget()
             self.learn({w for ws in split for w in ws}.difference(self.index))
             find = self.index.__getitem__
             for ws in split:
-                total = self.sums[np.fromiter(map(find, ws), np.int64, len(ws))].sum(0)
+                total = self.sums[np.fromiter(map(find, ws), np.int64, len(ws))].sum(0, dtype=np.float64)
                 if not total[-1]:
                     yield UNDETERMINED, 0.0
                 else:
@@ -212,7 +215,7 @@ def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return model
 
 
-def identify_languages(docs: DataFrame, model: ByteBiGRU | None, id_col: str = "doc_id", text_col: str = "text", remembered: int = 300_000) -> DataFrame:
+def identify_languages(docs: DataFrame, model: ByteBiGRU | None, id_col: str = "doc_id", text_col: str = "text", remembered: int = 200_000) -> DataFrame:
     """Every row and column of ``docs`` plus ``lang_pred`` and ``lang_score``.
 
     lang_pred is ``und`` with score 0 for a text that is null or has no
@@ -232,6 +235,7 @@ def _predicted(docs: DataFrame, model: ByteBiGRU | None, text_col: str, remember
     shared = spark.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         model = shared.value
         worker = _Worker(model, remembered) if model else None
         for b in batches:
