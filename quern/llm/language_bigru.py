@@ -184,22 +184,24 @@ class _Worker:
                     yield self.model.langs[best], float(min(1.0, p[best]))
 
 
-def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 4000, max_words: int = 24_000, hidden: int = 16, epochs: int = 4) -> ByteBiGRU | None:
+def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 4000, max_words: int = 24_000, max_langs: int = 256, hidden: int = 16, epochs: int = 4) -> ByteBiGRU | None:
     """A network trained on rows of ``docs`` with text and language; None where there are none.
 
     The sample: for each language the ``max_docs / languages`` documents (20 at
     least) with the least hash of id and text, whole; of their words, counted
     by language on the executors, the ``max_words`` with the least hash among
-    those of at most ``_SPAN`` bytes. Both bounds are independent of the
-    corpus, and only these word counts reach the driver.
+    those of at most ``_SPAN`` bytes. The ``max_langs`` languages with most
+    documents are learned. All bounds are independent of the corpus, and only
+    these word counts reach the driver.
     """
     spark = docs.sparkSession
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
-    langs = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]
-    if not langs:
+    found = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    if not found:
         return None
+    langs = [r.lang for r in found]
     each = max(20, max_docs // len(langs))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).limit(256)
+    sizes = spark.createDataFrame([(r.lang, r.n) for r in found], "lang string, n long")
     # The share of the hash range that holds about twice as many as needed of a language; the window then sees no more.
     near = known.join(F.broadcast(sizes), "lang").where(F.col("h").cast("double") / float(1 << 63) <= -1 + 2 * F.least(F.lit(1.0), (2.0 * each + 50) / F.col("n")))
     picked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= each)
