@@ -57,3 +57,18 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = No
                 break
             label = jumped
     return label
+
+
+def spanning_edges(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the edges a-b between ``n`` nodes are in their spanning forest that prefers earlier edges."""
+    label, chosen, live = np.arange(n), np.zeros(len(a), bool), np.arange(len(a))
+    while True:
+        live = live[label[a[live]] != label[b[live]]]
+        if not len(live):
+            return chosen
+        best = np.full(n, len(a))
+        np.minimum.at(best, label[a[live]], live)
+        np.minimum.at(best, label[b[live]], live)
+        best = np.unique(best[best < len(a)])
+        chosen[best] = True
+        label = spanning(n, a[best], b[best], label)

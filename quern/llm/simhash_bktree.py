@@ -18,9 +18,11 @@ of what they found, at most one for each query, never all pairs.
 
 ``similar_components`` takes a Jaccard similarity instead of a radius. Then
 the radius is a sixth of all bits or more and segments can't be kept whole, so
-shards are random choices of bits, as many as the wanted recall needs; and a
-pair that a tree finds is verified by three more fingerprints that its rows
-carry, since among many documents 64 bits come close by chance.
+shards are random choices of bits out of four fingerprints, as many as the
+wanted recall needs. Among many documents 64 bits come close by chance, so a
+pair that a tree finds must be close by all 256 bits as well. Each task then
+returns spanning forests, closest pairs first, and each of their pairs is held
+against the similarity of the two sets of shingles themselves.
 """
 
 from __future__ import annotations
@@ -36,14 +38,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._components import components
-from quern.llm._runs import spanning, whole_groups
+from quern.llm._runs import spanning, spanning_edges, whole_groups
 from quern.llm._store import hinted, small_batches, stored
 
 #: Bit j of byte value v, for sums of bits from byte histograms.
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _SEED = 42
-#: Fingerprints that verify a pair, besides the one that the trees hold.
+#: Fingerprints that tell pairs apart, besides the one that the trees hold.
 _MORE = 3
+#: Forests of found pairs that a task returns: a group holds together while fewer of its pairs than this fail.
+_FORESTS = 3
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -69,8 +73,8 @@ def _majority(hashes: np.ndarray) -> int:
 
 
 def sketch(text: str | None, shingle: int) -> list[int]:
-    """The fingerprint and, from the same hashes mixed anew, ``_MORE`` others."""
-    hashes = _shingle_hashes(text, shingle)
+    """The fingerprint of the set of shingles and, from the same hashes mixed anew, ``_MORE`` others."""
+    hashes = np.unique(_shingle_hashes(text, shingle))
     out = [_majority(hashes)]
     for _ in range(_MORE):
         hashes = hashes ^ hashes >> np.uint64(31)
@@ -156,8 +160,9 @@ def _shard_links(radius: int, most: int | None = None):
     """Task over rows (key, pair, role, fp) sorted in that order: role 0 is in the tree, role 1 queries it.
 
     With ``most``, rows have a node and further fingerprints as well; fingerprints may
-    repeat, found pairs stand only with at most that many bits of difference
-    over all, and links are of nodes.
+    repeat, pairs are found only with at most that many bits of difference
+    over all, and links are pairs of nodes found: ``_FORESTS`` forests, each
+    of what the earlier ones leave, with the closest pairs first.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +185,7 @@ def _shard_links(radius: int, most: int | None = None):
             roots = root_of[group[asks]]
             asks, roots = asks[roots >= 0], roots[roots >= 0]
             label = None
+            forests, held = [(np.zeros(0, np.int64),) * 3] * _FORESTS, []
             names = fps.view(np.int64)
             if most is not None:
                 names = table["node"].to_numpy()
@@ -188,9 +194,17 @@ def _shard_links(radius: int, most: int | None = None):
                 a, b = asks[q], trees[node]
                 if most is not None:
                     a, b = a[a != b], b[a != b]
-                    near = _distance(fps[a], fps[b]) + np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int16) <= most
-                    a, b = a[near], b[near]
+                    d = _distance(fps[a], fps[b]) + np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int16)
+                    near = d <= most
+                    held.append((np.minimum(a, b)[near], np.maximum(a, b)[near], d[near].astype(np.int64)))
+                    if sum(len(x[0]) for x in held) > 1 << 20:
+                        forests, held = _grown(len(fps), forests, held), []
+                    continue
                 label = spanning(len(fps), a, b, label)
+            if most is not None:
+                a, b, _ = (np.concatenate(c) for c in zip(*_grown(len(fps), forests, held)))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
             if label is not None:
                 found = np.flatnonzero(label != np.arange(len(fps)))
                 yield pa.RecordBatch.from_arrays([pa.array(names[found]), pa.array(names[label[found]])], ["a", "b"])
@@ -198,21 +212,37 @@ def _shard_links(radius: int, most: int | None = None):
     return task
 
 
+def _grown(n: int, forests: list[tuple], held: list[tuple]) -> list[tuple]:
+    """The forests of edges (a, b, distance), old and held: each the least that spans what those before it leave."""
+    out, left = [], held
+    for forest in forests:
+        a, b, d = (np.concatenate(c) for c in zip(forest, *left))
+        order = np.lexsort((b, a, d))
+        a, b, d = a[order], b[order], d[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+        a, b, d = a[new], b[new], d[new]
+        kept = spanning_edges(n, a, b)
+        out.append((a[kept], b[kept], d[kept]))
+        left = [(a[~kept], b[~kept], d[~kept])]
+    return out
+
+
 def fingerprint_links(fps: DataFrame, radius: int = 2, tree_size: int = 2048) -> DataFrame:
     """Spanning links (a, b) between the distinct longs of column ``fp`` within the radius."""
     width = 64 // (radius + 2)
     cuts = [*(i * width for i in range(radius + 2)), 64]
     segments = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:])]
-    masks = [F.lit(np.array([a | b], np.uint64).view(np.int64)[0].item()) for a, b in combinations(segments, 2)]
+    masks = [{"fp": a | b} for a, b in combinations(segments, 2)]
     return _in_shards(_dealt(fps.select("fp"), masks), ["fp"], tree_size).mapInArrow(_shard_links(radius), "a long, b long")
 
 
-def _dealt(rows: DataFrame, masks: list[Column]) -> DataFrame:
-    """``rows`` once for each mask, with the key of the shard: mask number and fingerprint under the mask.
+def _dealt(rows: DataFrame, masks: list[dict[str, int]]) -> DataFrame:
+    """``rows`` once for each mask, with the key of the shard: mask number and the columns' bits under the mask.
 
     The key is a hash of both. Should two keys meet, their shards are one; distances are compared anyway.
     """
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(m)) for i, m in enumerate(masks)))
+    signed = [{c: np.array([m], np.uint64).view(np.int64)[0].item() for c, m in mask.items() if m} for mask in masks]
+    keys = F.array(*(F.xxhash64(F.lit(i), *(F.col(c).bitwiseAND(F.lit(m)) for c, m in mask.items())) for i, mask in enumerate(signed)))
     return rows.select("*", F.explode(keys).alias("key"))
 
 
@@ -236,42 +266,83 @@ def _bits_apart(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def similar_links(nodes: DataFrame, n: int, similarity: float, recall: float = 0.95, tree_size: int = 2048, seed: int = 3) -> DataFrame:
-    """Spanning links (a, b) between the nodes (node, fp, more0, ...), ``n`` of them, that are as similar."""
-    apart = _bits_apart(similarity)
+def _chances(bits: int, apart: float) -> np.ndarray:
+    """Chance of each number of differing bits, from none to all."""
+    return np.array([math.comb(bits, d) * apart**d * (1 - apart) ** (bits - d) for d in range(bits + 1)])
+
+
+def _cuts(n: int, similarity: float, recall: float) -> tuple[int, int, int, int]:
+    """Bits of a mask, number of masks, and the bounds on the bits of difference in a tree and over all.
+
+    The bits in which a pair differs are the same under every mask, so the
+    chance that no mask misses them all is taken for each number of them. Each
+    bound may lose a tenth of what ``recall`` allows.
+    """
+    apart, bits = _bits_apart(similarity), (1 + _MORE) * 64
     width = min(40, max(8, math.ceil(math.log2(max(2, n) / 32))))
-    cuts = math.ceil(math.log(1 - recall) / math.log1p(-((1 - apart) ** width)))
-    bits = (1 + _MORE) * 64
-    most = round(bits * apart + 1.25 * math.sqrt(bits * apart * (1 - apart)))
-    radius = round(64 * apart + 1.5 * math.sqrt(64 * apart * (1 - apart)))
+    lost = (1 - recall) / 10
+    chance = _chances(bits, apart)
+    radius = int(np.searchsorted(np.cumsum(_chances(64, apart)), 1 - lost))
+    most = int(np.searchsorted(np.cumsum(chance), 1 - lost))
+    agree = np.array([math.comb(bits - d, width) / math.comb(bits, width) for d in range(most + 1)])
+    cuts = 1
+    while chance[: most + 1] @ (1 - (1 - agree) ** cuts) - lost < recall:
+        cuts += 1
+    return width, cuts, radius, most
+
+
+def similar_links(nodes: DataFrame, n: int, similarity: float, recall: float = 0.95, tree_size: int = 2048, seed: int = 3) -> DataFrame:
+    """Pairs (a, b) of the nodes (node, fp, more0, ...), ``n`` of them, that may be as similar."""
+    width, cuts, radius, most = _cuts(n, similarity, recall)
     rng = np.random.default_rng(seed)
-    masks = [sum(1 << int(j) for j in rng.choice(64, width, replace=False)) for _ in range(cuts)]
-    masks = [F.lit(np.array([m], np.uint64).view(np.int64)[0].item()) for m in masks]
-    columns = ["fp", *(f"more{i}" for i in range(_MORE)), "node"]
+    words = ["fp", *(f"more{i}" for i in range(_MORE))]
+    chosen = [rng.choice(64 * len(words), width, replace=False) for _ in range(cuts)]
+    masks = [{c: sum(1 << int(j) % 64 for j in some if j // 64 == i) for i, c in enumerate(words)} for some in chosen]
+    columns = [*words, "node"]
     return _in_shards(_dealt(nodes.select(columns), masks), columns, tree_size).mapInArrow(_shard_links(radius, most), "a long, b long")
 
 
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs whose sets of shingles have the similarity; only texts in a pair are read again."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(_shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
+
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = hinted(stored(nodes.select("node", "hash").join(wanted, "node", "left_semi"), "paired_nodes"), 500_000)
+    texts = texts.select(F.xxhash64("text").alias("hash"), "text").join(wanted, "hash").groupBy("node").agg(F.first("text").alias("text"))
+    sets = stored(texts.mapInArrow(task, "node long, grams array<long>"), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(id, fp, component)`` as of :func:`simhash_components`, linking texts of a Jaccard similarity.
 
-    The similarity of two sets of ``shingle``-word shingles is estimated by
-    256 bits: the bound lies 1.25 standard deviations beyond what is expected
-    at ``similarity``. Texts with fewer words than a shingle are one shingle;
-    texts without words are equal.
+    Every link is of two texts whose sets of ``shingle``-word shingles have
+    that similarity, exactly; 256 bits only tell which pairs to compare, so
+    that 95 % are found at the bound itself and more above it, at any number
+    of documents. Texts of equal 256 bits are one. Texts with fewer words than
+    a shingle are one shingle; texts without words are equal.
     """
     more = [f"more{i}" for i in range(_MORE)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.array([sketch(t.as_py(), shingle) for t in b.column(1)], np.uint64).reshape(b.num_rows, 1 + _MORE)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c.copy().view(np.int64)) for c in found.T)], ["id", "fp", *more])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c.copy().view(np.int64)) for c in found.T)], ["id", "hash", "fp", *more])
 
     small_batches(docs.sparkSession)
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = ids.mapInArrow(task, "id long, fp long, " + ", ".join(f"{m} long" for m in more)).withColumn("node", F.xxhash64("fp", *more))
+    prints = ids.select("id", "text", F.xxhash64("text").alias("hash")).mapInArrow(task, "id long, hash long, fp long, " + ", ".join(f"{m} long" for m in more)).withColumn("node", F.xxhash64("fp", *more))
     prints = stored(prints, "sketches")
-    nodes = stored(prints.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("fp", *more))), "nodes")
-    found = components(similar_links(nodes, nodes.count(), similarity))
+    nodes = stored(prints.groupBy("node").agg(F.min("id").alias("least"), F.min("hash").alias("hash"), *(F.first(c).alias(c) for c in ("fp", *more))), "nodes")
+    pairs = similar_links(nodes, nodes.count(), similarity)
+    found = components(_verified(pairs, nodes, ids.select("text"), shingle, similarity))
     return _named(prints, nodes.select("node", "least"), found)
 
 

@@ -13,7 +13,7 @@ from quern.llm.bpe_trie import WordTrieBPE, encode_documents
 from quern.llm.language_bigru import ByteBiGRU, identify_languages, train_language_model
 from quern.llm.quality_ranker import features, fit_pairs, score_quality, train_ranker
 from quern.llm.queries_text import tokenizer_path
-from quern.llm.simhash_bktree import fingerprint, grow_forest, search_forest, similar_components, simhash_components
+from quern.llm.simhash_bktree import _bits_apart, _cuts, fingerprint, grow_forest, search_forest, similar_components, simhash_components
 from quern.llm.token_count import CountingViterbi, count_tokens, vocabulary
 
 from ..conftest import DATA
@@ -106,6 +106,29 @@ def test_similar_texts_meet(spark):
     assert len({found[i] for i in range(30)}) == 30
 
 
+def test_similar_texts_meet_at_the_bound_and_none_below(spark):
+    """Pairs of Jaccard similarity just over 0.8 are joined, pairs of 0.7 are not."""
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(100_000)}" for _ in range(404)] for _ in range(400)]
+    same = [b[:361] + [f"v{rng.randrange(100_000)}" for _ in range(43)] for b in base[:300]]  # 357 of 443 shingles: 0.806
+    other = [b[:333] + [f"v{rng.randrange(100_000)}" for _ in range(71)] for b in base[300:]]  # 329 of 471 shingles: 0.699
+    texts = [" ".join(t) for t in base + same + other]
+    found = {r.id: r.component for r in similar_components(docs_of(spark, texts)).collect()}
+    assert sum(found[400 + i] == i for i in range(300)) >= 0.93 * 300
+    assert all(found[700 + i] == 700 + i for i in range(100))
+
+
+@pytest.mark.parametrize("n", [10_000, 1_000_000, 30_000_000])
+def test_similar_recall_holds_at_any_size(n):
+    """Pairs at the bound: some mask agrees, the tree's bits are within its radius and all bits within theirs."""
+    width, cuts, radius, most = _cuts(n, 0.8, 0.95)
+    rng = np.random.default_rng(4)
+    masks = np.array([np.isin(np.arange(256), rng.choice(256, width, replace=False)) for _ in range(cuts)])
+    differ = rng.random((4000, 256)) < _bits_apart(0.8)
+    agree = (differ.astype(np.int16) @ masks.T.astype(np.int16) == 0).any(1)
+    assert (agree & (differ[:, :64].sum(1) <= radius) & (differ.sum(1) <= most)).mean() >= 0.935
+
+
 # --- BPE ---------------------------------------------------------------------------------
 
 
