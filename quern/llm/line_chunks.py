@@ -11,6 +11,11 @@ Chunk hashes are counted with partial aggregation; texts of chunks are
 shuffled only for hashes that occur more than once, and there they are grouped
 by the bytes themselves, combined before the shuffle, so a passage of a third
 of all documents is one row from each task.
+
+A passage of a few lines seldom holds a whole chunk. ``drop_repeated_passages``
+therefore asks of every two lines in succession, instead of every chunk,
+whether they came before, and so covers each passage of two lines or more to
+its ends, at one narrow row for each line.
 """
 
 from __future__ import annotations
@@ -73,7 +78,11 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = _keyed(docs.select(id_col, text_col), id_col, text_col).where(F.col(text_col).contains("\n"))
     chunks = _with_chunks(rows.select("_id", "_key", F.col(text_col).alias("_text")), "_text", divisor)
     chunks = chunks.select("_id", "_key", F.posexplode_outer("_chunks").alias("_place", "_c")).where("_c.n >= 2")
-    chunks = chunks.select("_id", "_key", "_place", F.xxhash64("_c.chunk").alias("_hash"), F.col("_c.chunk").alias("_chunk"))
+    return _repeats(chunks.select("_id", "_key", "_place", F.xxhash64("_c.chunk").alias("_hash"), F.col("_c.chunk").alias("_chunk")))
+
+
+def _repeats(chunks: DataFrame) -> DataFrame:
+    """(_id, _key, _gone) from chunks (_id, _key, _place, _hash, _chunk): the places of all but the first of equal ones."""
     marks = stored(chunks.select("_id", "_key", "_place", "_hash"), "chunk_hashes")
     twice = stored(marks.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash"), "repeated_hashes")
     twice = hinted(twice, BROADCAST_ROWS)
@@ -111,3 +120,38 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
         removed_lines=F.coalesce(lines, F.lit(0)).cast("long"),
     )
     return rows.withColumn(text_col, F.col("_new")).drop("_text", "_chunks", "_gone", "_new")
+
+
+def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of ``docs`` without the lines of repeated passages, plus removed_lines.
+
+    Two lines in succession that came before, by (id, text hash, place), both
+    go; the first copy of any line stays. Two lines are told by 192 bits of
+    hashes. Null texts, single lines, repeated rows and equal texts are treated
+    as by :func:`drop_repeated_chunks`.
+    """
+    docs = docs.drop("removed_lines")
+    rows = _keyed(docs.select(id_col, text_col), id_col, text_col).where(F.col(text_col).contains("\n"))
+    rows = _settled(rows.select("_id", "_key", F.col(text_col).alias("_text")), _lines=F.split("_text", "\n", -1)).drop("_text")
+
+    def marked(line: Column, i: Column) -> Column:
+        two = F.concat(line, F.lit("\n"), F.get("_lines", i + 1))
+        return F.struct(F.xxhash64(two).alias("hash"), F.md5(two).alias("chunk"))
+
+    rows = _settled(rows, _pairs=F.transform(F.slice("_lines", F.lit(1), F.size("_lines") - 1), marked)).drop("_lines")
+    pairs = rows.select("_id", "_key", F.posexplode("_pairs").alias("_place", "_p"))
+    pairs = pairs.select("_id", "_key", "_place", F.col("_p.hash").alias("_hash"), F.col("_p.chunk").alias("_chunk"))
+    gone = hinted(stored(_repeats(pairs), "gone_pairs"), BROADCAST_ROWS)
+    gone = gone.select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), "_gone")
+    rows = _keyed(docs, id_col, text_col)
+    rows = rows.join(gone, (rows["_id"] == gone["_i"]) & (rows["_key"] == gone["_k"]), "left").drop("_id", "_key", "_i", "_k")
+    rows = _settled(rows, _lines=F.split(F.when(F.col("_gone").isNotNull(), F.col(text_col)), "\n", -1))
+    places = F.sequence(F.lit(0), F.size("_lines") - 1)
+    stay = F.array_except(places, F.concat("_gone", F.transform("_gone", lambda i: i + 1)))
+    rows = _settled(rows, _stay=F.when(F.col("_gone").isNotNull(), stay))
+    rows = _settled(
+        rows,
+        _new=F.when(F.col("_gone").isNotNull(), F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n")).otherwise(F.col(text_col)),
+        removed_lines=F.when(F.col("_gone").isNotNull(), F.size("_lines") - F.size("_stay")).otherwise(0).cast("long"),
+    )
+    return rows.withColumn(text_col, F.col("_new")).drop("_lines", "_stay", "_gone", "_new")

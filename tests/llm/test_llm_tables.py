@@ -12,7 +12,7 @@ import corpus_pipeline
 from quern.llm import catalog
 from quern.llm._components import components
 from quern.llm.embedding_collisions import near_duplicates
-from quern.llm.line_chunks import FACTOR, MODULUS, drop_repeated_chunks
+from quern.llm.line_chunks import FACTOR, MODULUS, drop_repeated_chunks, drop_repeated_passages
 from quern.llm.mixture_raking import MARGINALS, _rake_frame, mix, mixing_plan, n_words, rake, topic_of
 from quern.llm.sharding_hilbert import curve_index, curve_table, hilbert_shards, write_shards
 from quern.llm.topk_mih import nearest_codes, sign_code
@@ -226,6 +226,38 @@ def test_chunks_are_brute_force(spark):
     assert drop_repeated_chunks(docs.limit(0)).count() == 0
 
 
+def test_passages_are_brute_force(spark):
+    rng = random.Random(9)
+    texts = []
+    for i in range(60):
+        own = [f"own {i} {j}" for j in range(rng.randrange(1, 8))]
+        length = 2 + i % 5
+        passage = [f"passage of {length}, line {j}" for j in range(length)]
+        texts.append("\n".join(own + passage + [f"end {i}"]))
+    texts += [None, "", "\n\n\n", "single", "single", LONG, texts[0], "x\nx\nx\ny"]
+    docs = docs_of(spark, texts, [*range(len(texts))]).union(docs_of(spark, [texts[3], texts[66]], [3, None])).withColumn("removed_lines", F.lit("clash"))
+    seen, want = set(), {}
+    for i, t in enumerate([*texts, texts[66]]):
+        lines = (t or "").split("\n")
+        pairs, gone = [*zip(lines, lines[1:])], set()
+        for j, p in enumerate(pairs):
+            gone |= {j, j + 1} if p in seen else set()
+            seen.add(p)
+        want[i] = t if not gone else "\n".join(x for j, x in enumerate(lines) if j not in gone), len(gone)
+    rows = drop_repeated_passages(docs).collect()
+    assert len(rows) == docs.count()
+    assert all((r.text, r.removed_lines) == want[len(texts) if r.doc_id is None else r.doc_id] for r in rows)
+    assert drop_repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_stage_removes_short_passages(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    texts = [f"own {i}\n" + "\n".join(f"passage of {2 + i % 5}, line {j}" for j in range(2 + i % 5)) + f"\nend {i}" for i in range(50)]
+    rows = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)], docs.schema)
+    found = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, rows, "").collect()}
+    assert found == {i: t if i < 5 else f"own {i}\nend {i}" for i, t in enumerate(texts)}
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------
 
 
