@@ -97,13 +97,16 @@ def _window(cosine: float, dim: int) -> tuple[int, float, int]:
     return m, half, least
 
 
-def _band_keys(deep: int, bands: int, width: float, seed: int):
+def _band_keys(cuts: dict[int, tuple[int, int, float]], seed: int):
+    """Task that adds the keys of a vector's bands; ``cuts`` has :func:`_bands` for each length in bytes."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column(b.schema.get_field_index("vec")).to_pylist()
             keys: list = [None] * len(raw)
             for size in {len(r) for r in raw}:
                 own = [i for i, r in enumerate(raw) if len(r) == size]
+                deep, bands, width = cuts[size]
                 x = _unit([raw[i] for i in own])
                 rng = np.random.default_rng([seed, 1])
                 cells = np.floor(x @ _directions(x.shape[1], deep * bands, seed + 1) / width + rng.random(deep * bands)).astype(np.int64)
@@ -112,7 +115,7 @@ def _band_keys(deep: int, bands: int, width: float, seed: int):
                 for i, k in zip(own, (mixed ^ mixed >> 29).astype(np.int32)):
                     keys[i] = k
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int32), pa.int32())
-            held = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(raw) + 1, bands), pa.int32()), flat)
+            held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([*b.columns, held], [*b.schema.names, "keys"])
 
     return task
@@ -156,7 +159,10 @@ def _block_links(cosine: float, seed: int, dense: int = 192):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, ["band", "key", "tree", "part"], 16_384):
             node, size, role, band = (table[c].to_numpy() for c in ("node", "size", "role", "band"))
-            keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+            lists = table["keys"].combine_chunks()
+            filled = lists.value_lengths().to_numpy()
+            keys = np.zeros((len(node), filled.max()), np.int32)
+            keys[np.arange(keys.shape[1]) < filled[:, None]] = lists.flatten().to_numpy()
             raw = table["vec"].to_pylist()
             lengths = np.fromiter(map(len, raw), np.int64, len(raw))
             ends = np.repeat([*starts[1:], len(node)], np.diff([*starts, len(node)]))
@@ -219,10 +225,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"))
     rows = stored(named.mapInArrow(_nodes, "id long, node long, vec binary"), "vectors")
     nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("size"), F.first("vec").alias("vec")), "nodes")
-    n, dim = nodes.agg(F.count("*"), F.max(F.octet_length("vec")) / 8).first()
-    deep, bands, width = _bands(n, cosine, int(dim or 1), recall)
+    lengths = nodes.groupBy(F.octet_length("vec").alias("size")).agg(F.count("*").alias("n")).collect()
+    cuts = {r["size"]: _bands(r["n"], cosine, r["size"] // 8, recall) for r in lengths}
     schema = "node long, size long, vec binary, keys array<int>"
-    keyed = stored(nodes.select("node", "size", "vec").mapInArrow(_band_keys(deep, bands, width, seed), schema), "keyed")
+    keyed = stored(nodes.select("node", "size", "vec").mapInArrow(_band_keys(cuts, seed), schema), "keyed")
     places = keyed.select("node", F.posexplode("keys").alias("band", "key"))
     crowds = places.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / block)

@@ -80,6 +80,21 @@ def test_links_are_brute_force(spark, block):
     assert found[905].n_links == found[906].n_links == 1 and found[906].component == 905
 
 
+def test_longer_vectors_cost_the_others_no_links(spark):
+    """Vectors of other lengths never link, so links of the rest are the same with and without them."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1500, 64))
+    y = x + rng.normal(size=x.shape) * 0.45  # cosine about 0.91
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(np.concatenate([x, y]))]
+    strays = [(10_000, [float(c) for c in rng.normal(size=768)]), (10_001, [1.0, 2.0]), (10_002, [2.0, 4.0])]
+    u = np.concatenate([x, y])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum() - len(u)
+    found = near_duplicates(spark.createDataFrame(rows + strays, "vec_id long, embedding array<double>")).collect()
+    assert 0.98 * want <= sum(r.n_links for r in found if r.id < 10_000) <= want
+    assert {r.id: r.n_links for r in found if r.id >= 10_000} == {10_000: 0, 10_001: 1, 10_002: 1}
+
+
 def test_no_vectors(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
