@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,13 +32,34 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
+def _cut(b: bytes) -> Iterator[bytes]:
+    """A word's bytes in pieces of at most ``_SPAN``, which end between characters."""
+    lo = 0
+    while lo < len(b):
+        hi = lo + _SPAN
+        while hi < len(b) and b[hi] & 0xC0 == 0x80:
+            hi -= 1
+        yield b[lo:hi]
+        lo = hi
+
+
+def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, w) with longer words cut as the network sees them."""
+    for b in batches:
+        long = pc.greater(pc.binary_length(b.column(1)), _SPAN)
+        yield pa.RecordBatch.from_arrays(b.filter(pc.invert(long)).columns, ["lang", "w"])
+        cut = [(r["lang"], p.decode("utf-8", "surrogatepass")) for r in b.filter(long).to_pylist() for p in _cut(r["w"].encode("utf-8", "surrogatepass"))]
+        if cut:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*cut)], ["lang", "w"])
+
+
 def _pieces(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte matrix (zero-padded to the longest), lengths, and the word of each piece."""
     raw, owner = [], []
     for i, w in enumerate(words):
         b = w.encode("utf-8", "surrogatepass")
-        for lo in range(0, len(b), _SPAN):
-            raw.append(b[lo : lo + _SPAN])
+        for piece in _cut(b):
+            raw.append(piece)
             owner.append(i)
     lengths = np.fromiter(map(len, raw), np.int64, len(raw))
     width = int(lengths.max(initial=1))
@@ -188,9 +210,9 @@ def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """A network trained on rows of ``docs`` with text and language; None where there are none.
 
     The sample: for each language the ``max_docs / languages`` documents (20 at
-    least) with the least hash of id and text, whole; of their words, counted
-    by language on the executors, the ``max_words`` with the least hash among
-    those of at most ``_SPAN`` bytes. The ``max_langs`` languages with most
+    least) with the least hash of id and text, whole; of their words, cut to
+    pieces of at most ``_SPAN`` bytes as in prediction and counted by language
+    on the executors, the ``max_words`` with the least hash. The ``max_langs`` languages with most
     documents are learned. All bounds are independent of the corpus, and only
     these word counts reach the driver.
     """
@@ -205,7 +227,9 @@ def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # The share of the hash range that holds about twice as many as needed of a language; the window then sees no more.
     near = known.join(F.broadcast(sizes), "lang").where(F.col("h").cast("double") / float(1 << 63) <= -1 + 2 * F.least(F.lit(1.0), (2.0 * each + 50) / F.col("n")))
     picked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= each)
-    words = picked.select("lang", F.explode(F.split(F.trim("text"), r"\s+")).alias("w")).where((F.octet_length("w") > 0) & (F.octet_length("w") <= _SPAN))
+    words = picked.select("lang", F.explode(F.split(F.trim("text"), r"\s+")).alias("w")).where(F.octet_length("w") > 0)
+    small_batches(spark)
+    words = words.mapInArrow(_cut_words, "lang string, w string")
     counted = words.groupBy("w", "lang").agg(F.count("*").alias("n")).groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     rows = counted.orderBy(F.xxhash64("w"), "w").limit(max_words).collect()
     langs = sorted(langs)

@@ -222,6 +222,20 @@ def test_languages_of_held_out_rows(spark):
     assert n > 250 and right / n > 0.98
 
 
+def test_language_without_spaces(spark):
+    """Words of over 48 bytes are learned as well as predicted."""
+    rng = random.Random(5)
+    signs, words = [chr(0x4E00 + i) for i in range(60)], ["the", "house", "is", "near", "and", "dog"]
+
+    def rows(n, start):
+        zh = docs_of(spark, ["".join(rng.choice(signs) for _ in range(100)) for _ in range(n)], [*range(start, start + n)]).withColumn("lang", F.lit("zh"))
+        return docs_of(spark, [" ".join(rng.choice(words) for _ in range(30)) for _ in range(n)], [*range(start + n, start + 2 * n)]).withColumn("lang", F.lit("en")).union(zh)
+
+    model = train_language_model(rows(30, 0), epochs=30)
+    held_out = identify_languages(rows(10, 1000), model).collect()
+    assert [r.lang_pred for r in held_out] == [r.lang for r in held_out]
+
+
 def test_language_of_odd_rows(spark):
     train = docs_of(spark, ["the cat and dog " * 5, "the house is near " * 5]).withColumn("lang", F.lit("en")).union(docs_of(spark, ["der hund und katze " * 5, "das haus ist nahe " * 5], [8, 9]).withColumn("lang", F.lit("de")))
     model = train_language_model(train, epochs=30)
