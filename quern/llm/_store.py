@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,23 @@ def hinted(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
+def veiled(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str], Callable[..., list]]:
+    """``docs`` with columns named c0, c1, ... so that no name clashes with those of an operator, which begin with ``_``.
+
+    Also the new names of the ``wanted`` columns, and a function that gives
+    the select list of the old names; keywords put something else in a column's place.
+    """
+    names = docs.columns
+    low = [n.lower() for n in names]
+    hidden = [f"c{i}" for i in range(len(names))]
+    at = [hidden[names.index(w) if w in names else low.index(w.lower())] for w in wanted]
+
+    def restored(**instead) -> list:
+        return [F.col(instead.get(h, h)).alias(n) for h, n in zip(hidden, names)]
+
+    return docs.toDF(*hidden), at, restored
+
+
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Let Arrow batches of whole texts end at ``most`` bytes, on this session, unless they already end sooner.
 

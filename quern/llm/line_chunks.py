@@ -1,8 +1,7 @@
 """Removal of repeated multi-line chunks, by column expressions only.
 
 A text is cut into lines and each line hashed. A rolling hash over the hashes
-of ``window`` lines chooses, by its value alone, after which lines a chunk
-ends; so lines put in or taken out elsewhere move no other boundary, and a
+of two lines chooses, by its value alone, after which lines a chunk ends; so lines put in or taken out elsewhere move no other boundary, and a
 passage shared by two documents is cut alike in both. Of all chunks of two or
 more lines that are equal byte for byte, the first by (id, text hash, place)
 stays and every other is removed.
@@ -23,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._store import hinted, stored
+from quern.llm._store import hinted, stored, veiled
 
 #: The rolling hash: hash of the line before, times this, plus the line's, modulo a prime.
 FACTOR, MODULUS = 1_000_003, 2_147_483_647
@@ -83,8 +82,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _repeats(chunks: DataFrame) -> DataFrame:
     """(_id, _key, _gone) from chunks (_id, _key, _place, _hash, _chunk): the places of all but the first of equal ones."""
-    marks = stored(chunks.select("_id", "_key", "_place", "_hash"), "chunk_hashes")
-    twice = stored(marks.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash"), "repeated_hashes")
+    twice = stored(chunks.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash"), "repeated_hashes")
     twice = hinted(twice, BROADCAST_ROWS)
     again = stored(chunks.join(twice, "_hash", "left_semi"), "chunks_again")
     first = again.groupBy("_hash", "_chunk").agg(F.min(F.struct("_id", "_key", "_place")).alias("_first"), F.count("*").alias("n")).where("n > 1")
@@ -101,9 +99,11 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     are one document: they keep or lose the same chunks. Documents with equal
     texts and other ids are different documents, of which the smallest id
     keeps the chunks (null ids come last). A text all of whose chunks go is
-    left empty. Columns that already have one of the two names are replaced.
+    left empty. A text of any length is cut whole, and an empty table stays
+    empty. Columns that already have one of the two names are replaced, others
+    pass through whatever their names.
     """
-    docs = docs.drop("removed_chunks", "removed_lines")
+    docs, (id_col, text_col), restored = veiled(docs.drop("removed_chunks", "removed_lines"), id_col, text_col)
     gone = hinted(stored(repeated_chunks(docs, id_col, text_col, divisor), "gone_chunks"), BROADCAST_ROWS)
     gone = gone.select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), "_gone")
     rows = _keyed(docs, id_col, text_col)
@@ -119,7 +119,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
         removed_chunks=F.coalesce(F.size(F.col("_gone")), F.lit(0)).cast("long"),
         removed_lines=F.coalesce(lines, F.lit(0)).cast("long"),
     )
-    return rows.withColumn(text_col, F.col("_new")).drop("_text", "_chunks", "_gone", "_new")
+    return rows.select(*restored(**{text_col: "_new"}), "removed_chunks", "removed_lines")
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,10 +127,10 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Two lines in succession that came before, by (id, text hash, place), both
     go; the first copy of any line stays. Two lines are told by 192 bits of
-    hashes. Null texts, single lines, repeated rows and equal texts are treated
-    as by :func:`drop_repeated_chunks`.
+    hashes. Null texts, single lines, repeated rows, equal texts, long texts,
+    empty tables and other columns are treated as by :func:`drop_repeated_chunks`.
     """
-    docs = docs.drop("removed_lines")
+    docs, (id_col, text_col), restored = veiled(docs.drop("removed_lines"), id_col, text_col)
     rows = _keyed(docs.select(id_col, text_col), id_col, text_col).where(F.col(text_col).contains("\n"))
     rows = _settled(rows.select("_id", "_key", F.col(text_col).alias("_text")), _lines=F.split("_text", "\n", -1)).drop("_text")
 
@@ -154,4 +154,4 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
         _new=F.when(F.col("_gone").isNotNull(), F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n")).otherwise(F.col(text_col)),
         removed_lines=F.when(F.col("_gone").isNotNull(), F.size("_lines") - F.size("_stay")).otherwise(0).cast("long"),
     )
-    return rows.withColumn(text_col, F.col("_new")).drop("_lines", "_stay", "_gone", "_new")
+    return rows.select(*restored(**{text_col: "_new"}), "removed_lines")

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from quern.llm._components import components
 from quern.llm._runs import spanning, spanning_edges, whole_groups
-from quern.llm._store import hinted, small_batches, stored
+from quern.llm._store import hinted, lean_memory, small_batches, stored
 
 #: Bit j of byte value v, for sums of bits from byte histograms.
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
@@ -88,6 +88,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``(id, fp)`` of every row; fp is the fingerprint as a signed long."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
@@ -131,23 +132,26 @@ def grow_forest(fps: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndar
     return first, kids, edge[kids], begins
 
 
-def search_forest(fps: np.ndarray, forest: tuple, queries: np.ndarray, roots: np.ndarray, radius: int, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (query, node) within the radius, in slices; ``roots`` is each query's tree."""
+def search_forest(fps: np.ndarray, forest: tuple, queries: np.ndarray, roots: np.ndarray, radius: int, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (query, node) within the radius, in slices; ``roots`` is each query's tree.
+
+    About ``at_once`` edges are looked at together, those of one node at least.
+    """
     _, kids, edges, begins = forest
     step = 4096
     for lo in range(0, len(queries), step):
         todo = [(np.arange(lo, min(lo + step, len(queries))), roots[lo : lo + step])]
         while todo:
             q, node = todo.pop()
-            if len(q) > at_once:
+            count = begins[node + 1] - begins[node]
+            if len(q) > 1 and len(q) + count.sum() > at_once:
                 half = len(q) // 2
-                todo += [(q[half:], node[half:])]
-                q, node = q[:half], node[:half]
+                todo += [(q[half:], node[half:]), (q[:half], node[:half])]
+                continue
             d = _distance(queries[q], fps[node])
             near = d <= radius
             if near.any():
                 yield q[near], node[near]
-            count = begins[node + 1] - begins[node]
             some = np.repeat(np.arange(len(q)), count)
             if not len(some):
                 continue
@@ -166,6 +170,7 @@ def _shard_links(radius: int, most: int | None = None):
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for table, starts in whole_groups(batches, ["key", "pair"]):
             counts = np.diff(np.r_[starts, table.num_rows])
             table = table.filter(pa.array(np.repeat(counts > 1, counts)))
@@ -306,6 +311,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     """Those of the pairs whose sets of shingles have the similarity; only texts in a pair are read again."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for b in batches:
             sets = [np.unique(_shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
@@ -321,17 +327,24 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(id, fp, component)`` as of :func:`simhash_components`, linking texts of a Jaccard similarity.
+    """``(id, hash, fp, component, component_hash)``, linking texts of a Jaccard similarity.
 
     Every link is of two texts whose sets of ``shingle``-word shingles have
     that similarity, exactly; 256 bits only tell which pairs to compare, so
     that 95 % are found at the bound itself and more above it, at any number
     of documents. Texts of equal 256 bits are one. Texts with fewer words than
-    a shingle are one shingle; texts without words are equal.
+    a shingle are one shingle; null texts and those without words are equal.
+
+    hash is that of the text; (component, component_hash) is the least (id,
+    hash) that links reach, null ids first, so rows that repeat an id or have
+    none are told apart by their texts. Repeated rows get the same result.
+    Texts of any length are whole, other columns are ignored, and an empty
+    table gives an empty result.
     """
     more = [f"more{i}" for i in range(_MORE)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for b in batches:
             found = np.array([sketch(t.as_py(), shingle) for t in b.column(1)], np.uint64).reshape(b.num_rows, 1 + _MORE)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c.copy().view(np.int64)) for c in found.T)], ["id", "hash", "fp", *more])
@@ -340,19 +353,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     prints = ids.select("id", "text", F.xxhash64("text").alias("hash")).mapInArrow(task, "id long, hash long, fp long, " + ", ".join(f"{m} long" for m in more)).withColumn("node", F.xxhash64("fp", *more))
     prints = stored(prints, "sketches")
-    nodes = stored(prints.groupBy("node").agg(F.min("id").alias("least"), F.min("hash").alias("hash"), *(F.first(c).alias(c) for c in ("fp", *more))), "nodes")
+    nodes = stored(prints.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("least"), F.min("hash").alias("hash"), *(F.first(c).alias(c) for c in ("fp", *more))), "nodes")
     pairs = similar_links(nodes, nodes.count(), similarity)
     found = components(_verified(pairs, nodes, ids.select("text"), shingle, similarity))
-    return _named(prints, nodes.select("node", "least"), found)
+    named = _named(prints, nodes.select("node", "least"), found)
+    return named.select("id", "hash", "fp", F.col("component.id").alias("component"), F.col("component.hash").alias("component_hash"))
 
 
 def _named(prints: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """``(id, fp, component)`` of all rows, from each node's least id and each linked node's component."""
+    """The rows of ``prints`` with component, the smallest of the nodes' ``least`` that links reach."""
     linked = found.join(nodes, "node")
     tops = linked.groupBy("component").agg(F.min("least").alias("top"))
     linked = linked.join(tops, "component").select("node", "top")
     names = stored(nodes.join(linked, "node", "left").select("node", F.coalesce("top", "least").alias("component")), "names")
-    return prints.join(names, "node").select("id", "fp", "component")
+    return prints.join(names, "node")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, tree_size: int = 2048) -> DataFrame:
@@ -361,11 +375,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component is the smallest id that can be reached by links. A null or blank
     text has fingerprint zero and links like any other; a null id gets a row,
     and never names a component unless all its ids are null. Repeated rows
-    are kept, each with the same result. Other columns are ignored, and an
-    empty table gives an empty result.
+    are kept, each with the same result. Texts of any length are whole, other
+    columns are ignored, and an empty table gives an empty result.
     """
     prints = stored(with_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     prints = prints.select("id", "fp", F.col("fp").alias("node"))
     nodes = stored(prints.groupBy("node").agg(F.min("id").alias("least")), "nodes")
     found = components(fingerprint_links(nodes.select(F.col("node").alias("fp")), radius, tree_size))
-    return _named(prints, nodes, found)
+    return _named(prints, nodes, found).select("id", "fp", "component")
