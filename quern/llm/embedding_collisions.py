@@ -5,17 +5,22 @@ directions. In each projection the values are sorted, and a query collides
 with what lies in the window centred on it. A pair at the least cosine would
 collide in a binomial number of projections; pairs with at least the count
 that all but a thousandth of such pairs reach are verified by cosine in
-double precision, others are not.
+double precision, others are not. The first projections have a count of their
+own, so most pairs are done after a few of them.
 
 Windows of one projection hold a fixed share of all vectors, so counting over
-the whole table would be quadratic. Vectors first meet in blocks: a block is
-a band (of ``_bands``) and a cell of a grid over several other projections.
-Width and number of bands are set from the number of distinct vectors so
-that a pair at the least cosine shares a block with the wanted recall. A pair
-counts only in the first band in which it shares a block, so links are
+the whole table would be quadratic. Vectors first meet at the ends of other
+sorted projections: out of a group of projections a vector goes to the end,
+low or high, at which it lies furthest out, and a block is one end of each of
+a few groups. :func:`_plan` chooses their number and size for the number of
+distinct vectors, and as many bands of blocks as a pair at the least cosine
+needs to share a block with the wanted recall; the chance of a shared end is
+simulated. The copies of a vector that are shuffled grow with the logarithm of
+the table (9 at 51,000 vectors of 64 dimensions, 19 at 10 ** 6, 52 at 10 ** 9).
+
+A pair counts only in the first band in which it shares a block, so links are
 counted where they are found and pairs are not shuffled. A block of more than
 ``block`` vectors is split into chunks, every pair of chunks being a task.
-
 Equal vectors are one node with a multiplicity from the start.
 """
 
@@ -23,100 +28,132 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm._components import components
 from quern.llm._runs import spanning, whole_groups
-from quern.llm._store import stored
+from quern.llm._store import hinted, lean_memory, small_batches, stored
 
-_COUNTED = 64
-#: Chance that a pair at the least cosine falls short of the collision count.
+#: Projections counted over, and how many of them are looked at first.
+_COUNTED, _FIRST = 64, 16
+#: Chance that a pair at the least cosine falls short of the collision counts.
 _LOST = 1e-3
+#: Microseconds that a row costs to shuffle, a block to begin, a pair to count; they only choose between plans.
+_ROW_COST, _BLOCK_COST, _PAIR_COST = 15.0, 1000.0, 0.05
 
 
-def _vectors(b: pa.Array) -> list[np.ndarray | None]:
-    """Each vector in double precision, or None where it is null, zero, or holds a null or non-finite value."""
-    out = []
-    for v in b:
-        x = None if not v.is_valid or v.values.null_count else v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        out.append(x + 0.0 if x is not None and len(x) and np.isfinite(x).all() and x.any() else None)
-    return out
+def _nodes(kind: str):
+    """Task that gives each vector two hashes and its bytes, or nulls where it is null, zero, or holds a null or non-finite value."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
+        for b in batches:
+            raw = []
+            for v in b.column(1):
+                x = None if not v.is_valid or v.values.null_count else v.values.to_numpy(zero_copy_only=False).astype(kind) + 0.0
+                raw.append(x.tobytes() if x is not None and len(x) and np.isfinite(x).all() and x.any() else None)
+            hashes = [(None, None) if r is None else divmod(xxhash.xxh3_128_intdigest(r), 1 << 64) for r in raw]
+            h1, h2 = ([None if h is None else h - (1 << 63) for h in hs] for hs in (zip(*hashes) if hashes else ((), ())))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(raw, pa.binary())], ["id", "h1", "h2", "vec"])
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        raw = [None if x is None else x.tobytes() for x in _vectors(b.column(1))]
-        node = [None if r is None else xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raw]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(raw, pa.binary())], ["id", "node", "vec"])
+    return task
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+@lru_cache(16)
 def _directions(dim: int, n: int, seed: int) -> np.ndarray:
     """``n`` directions (dim, n): as many orthonormal ones as there are dimensions, then others again."""
     rng = np.random.default_rng([seed, dim])
-    return np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-n // dim))], 1)[:, :n]
-
-
-def _same_cell(sd: float, width: float) -> float:
-    """Chance that two values whose difference is normal with ``sd`` fall in one cell of a shifted grid."""
-    x = np.linspace(0, width, 2001)
-    density = np.exp(-((x / sd) ** 2) / 2) * 2 / (sd * math.sqrt(2 * math.pi))
-    return float(((1 - x / width) * density).sum() * (x[1] - x[0]))
-
-
-def _bands(n: int, cosine: float, dim: int, recall: float, crowd: int = 128) -> tuple[int, int, float]:
-    """Projections in a band, number of bands, cell width, for ``n`` vectors of ``dim`` dimensions."""
-    near, far = math.sqrt(2 * (1 - cosine) / dim), math.sqrt(2 / dim)
-    width = 4.4 * near
-    p, q = min(0.999, _same_cell(near, width)), min(0.98, _same_cell(far, width))
-    deep = max(2, math.ceil(math.log(max(1, n / crowd)) / -math.log(q)))
-    return deep, max(1, math.ceil(math.log(1 - recall) / math.log1p(-(p**deep)))), width
-
-
-def _window(cosine: float, dim: int) -> tuple[int, float, int]:
-    """Projections to count over, half-width of the window, least count."""
-    m = min(_COUNTED, dim)
-    half = 1.8 * math.sqrt(2 * (1 - cosine) / dim)
+    return np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(max(1, -(-n // dim)))], 1)[:, :n]
+
+
+@lru_cache(256)
+def _shared_end(dim: int, group: int, cosine: float) -> float:
+    """Chance that two vectors at the cosine lie furthest out at the same end of ``group`` orthonormal projections."""
+    rng = np.random.default_rng([3, dim, group])
+    x, y = rng.normal(size=(2, max(256, (1 << 20) // dim), dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = cosine * x + math.sqrt(1 - cosine**2) * y / np.maximum(1e-12, np.linalg.norm(y, axis=1, keepdims=True))
+    same = [(_ends(x[:, k : k + group]) == _ends(y[:, k : k + group])).mean() for k in range(0, dim - group + 1, group)]
+    return max(0.01, float(np.mean(same)) - 0.005 - (len(same) * len(x)) ** -0.5)  # less two deviations of the estimate
+
+
+def _ends(values: np.ndarray) -> np.ndarray:
+    """The end at which each row lies furthest out: twice the column, and one more at the low end."""
+    at = np.abs(values).argmax(1)
+    return 2 * at + (values[np.arange(len(values)), at] < 0)
+
+
+@lru_cache(4096)
+def _plan(n: int, cosine: float, dim: int, recall: float) -> tuple[int, int, int]:
+    """Groups in a block's key, projections in a group and number of bands, for ``n`` vectors of ``dim`` dimensions."""
+    best = (1 * (_ROW_COST + _BLOCK_COST / n + n / 2 * _PAIR_COST), 0, 1, 1)
+    groups = {max(1, dim >> k) for k in range(dim.bit_length())}
+    for group in sorted(groups):
+        p = _shared_end(dim, group, cosine)
+        for deep in range(1, 2 + math.ceil(math.log2(max(2, n)))):
+            size = max(1.0, n / (2.0 * group) ** deep)
+            bands = max(1, math.ceil(math.log(1 - recall) / math.log1p(-(p**deep))))
+            best = min(best, (bands * (_ROW_COST + _BLOCK_COST / size + size / 2 * _PAIR_COST), deep, group, bands))
+            if size == 1:
+                break
+    return best[1:]
+
+
+def _least(m: int, lost: float) -> int:
+    """The count of collisions in ``m`` projections that all but ``lost`` of the pairs at the least cosine reach."""
     p = math.erf(1.8 / math.sqrt(2))
     tail, least = 0.0, 0
     for c in range(m + 1):
         tail += math.comb(m, c) * p**c * (1 - p) ** (m - c)
-        if tail > _LOST:
+        if tail > lost:
             break
         least = c + 1
-    return m, half, least
+    return least
+
 
+def _window(cosine: float, dim: int) -> tuple[int, int, float, int, int]:
+    """Projections to count over first and in all, half-width of the window, least count of each."""
+    m = min(_COUNTED, dim)
+    first = min(_FIRST, m)
+    return first, m, 1.8 * math.sqrt(2 * (1 - cosine) / dim), _least(first, _LOST / 2), _least(m, _LOST / 2)
 
-def _band_keys(cuts: dict[int, tuple[int, int, float]], seed: int):
-    """Task that adds the keys of a vector's bands; ``cuts`` has :func:`_bands` for each length in bytes."""
+
+def _band_keys(cosine: float, recall: float, kind: str, seed: int):
+    """Task that adds the keys of a vector's bands to (node, size, vec, length, n)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for b in batches:
-            raw = b.column(b.schema.get_field_index("vec")).to_pylist()
+            raw, n = b.column(2).to_pylist(), b.column(4).to_pylist()
             keys: list = [None] * len(raw)
-            for size in {len(r) for r in raw}:
-                own = [i for i, r in enumerate(raw) if len(r) == size]
-                deep, bands, width = cuts[size]
-                x = _unit([raw[i] for i in own])
-                rng = np.random.default_rng([seed, 1])
-                cells = np.floor(x @ _directions(x.shape[1], deep * bands, seed + 1) / width + rng.random(deep * bands)).astype(np.int64)
-                odd = rng.integers(1, 1 << 62, deep * bands) * 2 + 1
-                mixed = (cells * odd).reshape(len(own), bands, deep).sum(2) + size
-                for i, k in zip(own, (mixed ^ mixed >> 29).astype(np.int32)):
+            for length, many in {(len(r), k) for r, k in zip(raw, n)}:
+                own = [i for i, r in enumerate(raw) if len(r) == length]
+                x = _unit([raw[i] for i in own], kind)
+                deep, group, bands = _plan(many, cosine, x.shape[1], recall)
+                key = np.zeros((len(own), bands), np.int64)
+                if deep:
+                    values = x @ _directions(x.shape[1], bands * deep * group, seed + 1)
+                    for k in range(bands * deep):
+                        key[:, k // deep] = key[:, k // deep] * 2 * group + _ends(values[:, k * group : (k + 1) * group])
+                for i, k in zip(own, key):
                     keys[i] = k
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int32), pa.int32())
+            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
             held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*b.columns, held], [*b.schema.names, "keys"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], held], ["node", "size", "vec", "length", "keys"])
 
     return task
 
@@ -124,126 +161,112 @@ def _band_keys(cuts: dict[int, tuple[int, int, float]], seed: int):
 def _collisions(asked: np.ndarray, held: np.ndarray, half: float) -> np.ndarray:
     """For each pair (asked, held) in how many columns held lies in the window centred on asked."""
     counts = np.zeros((len(asked), len(held)), np.uint8)
+    kind = np.uint8 if len(held) < 256 else np.uint16 if len(held) < 65_536 else np.uint32
     for a, h in zip(asked.T, held.T):
         order = np.argsort(h)
-        rank = np.empty(len(h), np.uint16)
+        rank = np.empty(len(h), kind)
         rank[order] = np.arange(len(h))
-        lo = np.searchsorted(h[order], a - half, "left").astype(np.uint16)
-        hi = np.searchsorted(h[order], a + half, "right").astype(np.uint16)
+        lo = np.searchsorted(h[order], a - half, "left").astype(kind)
+        hi = np.searchsorted(h[order], a + half, "right").astype(kind)
         counts += (rank[None] - lo[:, None]) < (hi - lo)[:, None]
     return counts
 
 
-def _pairs(lo: np.ndarray, hi: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) with j from lo[i] up to hi[i], in slices of about ``most``."""
-    counts = np.maximum(0, hi - lo)
-    ends = np.cumsum(counts)
-    at = 0
-    while at < len(lo):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-        i = np.repeat(np.arange(at, to), counts[at:to])
-        j = np.arange(len(i)) - np.repeat(np.cumsum(counts[at:to]) - counts[at:to], counts[at:to]) + lo[i]
-        if len(i):
-            yield i, j
-        at = to
-
-
-def _block_links(cosine: float, seed: int, dense: int = 192):
-    """Task over rows of blocks sorted by (band, key, tree, part, role): role 0 is searched, role 1 asks.
-
-    Blocks of ``dense`` rows or more sort their projections and count by
-    ranks, a whole block at once; the pairs of many smaller blocks are tested
-    against the windows together.
-    """
+def _pairs_of(x: np.ndarray, asks: int, keys: np.ndarray, cosine: float, seed: int, at_once: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs (i, j) of one block that share none of the earlier ``keys``: the last ``asks`` rows with the others, or all with all."""
+    first, m, half, least_first, least = _window(cosine, x.shape[1])
+    p = (x @ _directions(x.shape[1], m, seed)).astype(np.float32)
+    held = len(x) - asks
+    for s in range(held if asks else 0, len(x), at_once):
+        e = min(s + at_once, len(x))
+        base = 0 if asks else s
+        i, j = np.nonzero(_collisions(p[s:e, :first], p[base : held if asks else len(x), :first], half) >= least_first)
+        i, j = i + s, j + base
+        if not asks:
+            i, j = i[j > i], j[j > i]
+        for k in range(0, len(i), 1 << 15):
+            a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+            fresh = ~(keys[a] == keys[b]).any(1)
+            a, b = a[fresh], b[fresh]
+            close = (np.abs(p[a] - p[b]) <= half).sum(1) >= least
+            a, b = a[close], b[close]
+            near = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
+            if near.any():
+                yield a[near], b[near]
+
+
+def _block_links(cosine: float, kind: str, seed: int):
+    """Task over rows of blocks sorted by (length, band, key, tree, part, role): role 0 is searched, role 1 asks."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, ["band", "key", "tree", "part"], 16_384):
-            node, size, role, band = (table[c].to_numpy() for c in ("node", "size", "role", "band"))
-            lists = table["keys"].combine_chunks()
-            filled = lists.value_lengths().to_numpy()
-            keys = np.zeros((len(node), filled.max()), np.int32)
-            keys[np.arange(keys.shape[1]) < filled[:, None]] = lists.flatten().to_numpy()
-            raw = table["vec"].to_pylist()
-            lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-            ends = np.repeat([*starts[1:], len(node)], np.diff([*starts, len(node)]))
-            begins = np.repeat(starts, np.diff([*starts, len(node)]))
-            asks = np.add.reduceat(role, starts)
-            split = np.repeat(asks > 0, np.diff([*starts, len(node)]))
-            first_ask = ends - np.repeat(asks, np.diff([*starts, len(node)]))
-            at = np.arange(len(node))
-            lo = np.where(split, first_ask, at + 1)
-            hi = np.where(split & (role == 1), lo, ends)
-            found = []
-            for length in np.unique(lengths):
-                own = np.flatnonzero(lengths == length)
-                x = np.zeros((len(node), length // 8))
-                x[own] = _unit([raw[i] for i in own])
-                m, half, least = _window(cosine, x.shape[1])
-                p = (x @ _directions(x.shape[1], m, seed)).astype(np.float32)
-                same = lengths == length
-                large = (ends - begins >= dense) & (np.repeat(np.add.reduceat(same.astype(np.int64), starts), np.diff([*starts, len(node)])) == ends - begins)
-                for i, j in _pairs(lo, np.where(large, lo, hi)):
-                    close = (np.abs(p[i] - p[j]) <= half).sum(1) >= least
-                    i, j = i[close], j[close]
-                    both = same[i] & same[j]
-                    found.append((i[both], j[both]))
-                for s, e in {(int(a), int(b)) for a, b in zip(begins[large], ends[large])}:
-                    mid = int(first_ask[s]) if split[s] else e
-                    ask = np.arange(mid, e) if split[s] else np.arange(s, e)
-                    hits = _collisions(p[ask], p[s:mid], half) >= least
-                    a, h = np.nonzero(hits if split[s] else np.triu(hits, 1))
-                    found.append((ask[a], h + s))
-                i, j = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-                near = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], x[j[k : k + 65536]]) for k in range(0, len(i), 65536)] or [np.zeros(0)]) >= cosine
-                i, j = i[near], j[near]
-                found = []
-                earlier = np.arange(keys.shape[1])[None] < band[i][:, None]
-                fresh = ~((keys[i] == keys[j]) & earlier).any(1)
-                i, j = i[fresh], j[fresh]
-                if not len(i):
+        lean_memory()
+        for table, starts in whole_groups(batches, ["length", "band", "key", "tree", "part"], 8192):
+            node, size, role = (table[c].to_numpy() for c in ("node", "size", "role"))
+            bounds = [*starts, len(node)]
+            out: list[tuple] = []
+            for s, e in zip(bounds, bounds[1:]):
+                asks = int(role[s:e].sum())
+                if e - s < 2 or asks == e - s:
                     continue
-                local, where = np.unique(node, return_inverse=True)
-                a, b = where[i], where[j]
-                n = np.bincount(a, size[j], len(local)) + np.bincount(b, size[i], len(local))
-                label = spanning(len(local), a, b)
-                some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(local[some]), pa.array(local[label[some]]), pa.array(n[some].astype(np.int64))], ["a", "b", "n"])
+                lists = table["earlier"].slice(s, e - s).combine_chunks()
+                keys = lists.flatten().to_numpy().reshape(e - s, -1)
+                x = _unit(table["vec"].slice(s, e - s).to_pylist(), kind)
+                label, n = None, np.zeros(e - s, np.int64)
+                for a, b in _pairs_of(x, asks, keys, cosine, seed):
+                    n += np.bincount(a, size[s:e][b], e - s).astype(np.int64) + np.bincount(b, size[s:e][a], e - s).astype(np.int64)
+                    label = spanning(e - s, a, b, label)
+                if label is not None:
+                    some = np.flatnonzero(n)
+                    out.append((node[s:e][some], node[s:e][label[some]], n[some]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b", "n"])
 
     return task
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, recall: float = 0.995, block: int = 1024, seed: int = 17) -> DataFrame:
+def _blocks(keyed: DataFrame, block: int) -> DataFrame:
+    """A row for each vector and band, dealt by block, or by pairs of chunks of a large one; only keys are counted beforehand."""
+    places = keyed.select("length", F.posexplode("keys").alias("band", "key"))
+    large = places.groupBy("length", "band", "key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    large = hinted(stored(large.select("length", "band", "key", F.ceil(F.col("n") / block).cast("long").alias("c")), "large_blocks"), 500_000)
+    rows = keyed.select("*", F.posexplode("keys").alias("band", "key")).withColumn("earlier", F.slice("keys", F.lit(1), F.col("band"))).drop("keys")
+    whole = F.coalesce("c", F.lit(1).cast("long"))
+    rows = rows.join(large, ["length", "band", "key"], "left").withColumns({"c": whole, "mine": F.pmod(F.xxhash64("node"), whole)})
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("o"))
+    rows = rows.withColumns({"tree": F.least("mine", "o"), "part": F.greatest("mine", "o"), "role": F.when(F.col("o") < F.col("mine"), 1).otherwise(0)})
+    by = ["length", "band", "key", "tree", "part"]
+    return rows.select(*by, "role", "node", "size", "vec", "earlier").repartition(*by).sortWithinPartitions(*by, "role")
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, recall: float = 0.995, block: int = 4096, seed: int = 17) -> DataFrame:
     """``(id, n_links, component, kept)`` for every row of ``vectors``.
 
     n_links counts the other rows at ``cosine`` or more, component is the
     smallest id that links reach, and kept marks the row whose id that is.
     Vectors that are null, zero, or hold null or non-finite values have no
     links and are their own component. Vectors of different lengths never
-    link. Repeated rows are other rows, and link. Null ids never name a
-    component that has another id. Other columns are ignored.
+    link; any length will do. Repeated rows are other rows, and link. Null ids
+    never name a component that has another id. Other columns are ignored,
+    whatever their names, and an empty table gives an empty result. ``recall``
+    is that of pairs at the cosine itself; closer ones are found more often.
     """
-    named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"))
-    rows = stored(named.mapInArrow(_nodes, "id long, node long, vec binary"), "vectors")
-    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("size"), F.first("vec").alias("vec")), "nodes")
-    lengths = nodes.groupBy(F.octet_length("vec").alias("size")).agg(F.count("*").alias("n")).collect()
-    cuts = {r["size"]: _bands(r["n"], cosine, r["size"] // 8, recall) for r in lengths}
-    schema = "node long, size long, vec binary, keys array<int>"
-    keyed = stored(nodes.select("node", "size", "vec").mapInArrow(_band_keys(cuts, seed), schema), "keyed")
-    places = keyed.select("node", F.posexplode("keys").alias("band", "key"))
-    crowds = places.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / block)
-    places = places.join(crowds, ["band", "key"]).select("band", "key", "node", chunks.alias("c"), F.pmod(F.xxhash64("node"), chunks).alias("mine"))
-    places = places.select("band", "key", "node", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("o"))
-    places = places.select("band", "key", "node", F.least("mine", "o").alias("tree"), F.greatest("mine", "o").alias("part"), F.when(F.col("o") < F.col("mine"), 1).otherwise(0).alias("role"))
-    by = ["band", "key", "tree", "part"]
-    blocks = places.join(keyed, "node").repartition(*by).sortWithinPartitions(*by, "role")
-    links = stored(blocks.mapInArrow(_block_links(cosine, seed), "a long, b long, n long"), "links")
+    spark = vectors.sparkSession
+    single = isinstance(getattr(vectors.schema[vector_col].dataType, "elementType", None), T.FloatType)
+    kind = "<f4" if single else "<f8"
+    small_batches(spark)
+    named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("vec"))
+    rows = stored(named.mapInArrow(_nodes(kind), "id long, h1 long, h2 long, vec binary"), "vectors")
+    nodes = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("size"), F.first("vec").alias("vec"))
+    nodes = stored(nodes.select("*", F.octet_length("vec").alias("length"), F.monotonically_increasing_id().alias("node")), "nodes")
+    lengths = hinted(stored(nodes.groupBy("length").agg(F.count("*").alias("n")), "lengths"), 10_000)
+    keyed = nodes.join(lengths, "length").select("node", "size", "vec", "length", "n").mapInArrow(_band_keys(cosine, recall, kind, seed), "node long, size long, vec binary, length int, keys array<long>")
+    links = stored(_blocks(stored(keyed, "keyed"), block).mapInArrow(_block_links(cosine, kind, seed), "a long, b long, n long"), "links")
     counts = links.groupBy("a").agg(F.sum("n").alias("n"))
     linked = components(links.select("a", "b"))
-    named = nodes.select("node", "least", "size").join(linked, "node", "left").select("node", "least", "size", F.coalesce("component", "node").alias("component"))
+    named = nodes.select("h1", "h2", "node", "least", "size").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tops = named.groupBy("component").agg(F.min("least").alias("top"))
     named = named.join(tops, "component").join(counts, F.col("node") == F.col("a"), "left")
-    named = stored(named.select("node", "top", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links")), "named")
-    out = rows.select("id", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("top"))
+    named = stored(named.select("h1", "h2", "top", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links")), "named")
+    out = rows.select("id", "h1", "h2").join(named, ["h1", "h2"], "left")
+    component = F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("top"))
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
