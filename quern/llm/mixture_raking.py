@@ -5,17 +5,16 @@ cells until their sums meet the targets of all three marginals at once, a
 share ``keep`` of all tokens being wanted; no cell can give more than it has,
 so weights are cut there in each step and the others of its marginals rise. A
 document is kept with probability raked weight / tokens of its cell. The draw
-is a hash of the seed and the id, so a lost task draws the same again.
+is a hash of the seed, the id and the text, so a lost task draws the same again.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm._store import stored
+from quern.llm._store import stored, veiled
 
 MARGINALS = ("source", "lang", "topic")
 _WORDS = "[^ \\t\\n\\x0B\\f\\r]+"
@@ -64,17 +63,28 @@ def rake(cells: list[tuple], tokens: np.ndarray, targets: list[dict], keep: floa
     return w
 
 
-def _rake_frame(cells: DataFrame, power: float, keep: float, rounds: int) -> DataFrame:
-    """The same for more cells than the driver should hold; a table is written each round."""
-    shares = cells.withColumn("all", F.sum("tokens").over(W.partitionBy()))
+def _rake_frame(cells: DataFrame, power: float, keep: float, rounds: int, targets: dict[str, dict] | None = None) -> DataFrame:
+    """The same for more cells than the driver should hold; a table is written each round.
+
+    Sums of a marginal are aggregates that come back by a join, so a value
+    with most of the cells is one row of each task.
+    """
+    spark = cells.sparkSession
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    shares = cells.withColumn("w", F.col("tokens") * keep)
+    goals = {}
     for k in MARGINALS:
-        goal = shares.groupBy(k).agg(F.pow(F.sum(F.col("tokens") / F.col("all")), F.lit(power)).alias("g"))
-        goal = goal.select(F.col(k).alias("v"), (F.col("g") / F.sum("g").over(W.partitionBy())).alias(f"goal_{k}"))
-        shares = shares.join(goal, shares[k].eqNullSafe(goal["v"])).drop("v")
-    shares = shares.withColumn("w", F.col("tokens") * keep)
+        if targets and k in targets:
+            goal = spark.createDataFrame([(v, float(x)) for v, x in targets[k].items()], "v string, g double")
+        else:
+            goal = shares.groupBy(F.col(k).alias("v")).agg(F.pow(F.sum("tokens") / total, F.lit(power)).alias("g"))
+            goal = goal.withColumn("g", F.col("g") / goal.agg(F.sum("g")).first()[0]) if total else goal
+        goals[k] = stored(goal, f"goal_{k}")
     for _ in range(rounds):
         for k in MARGINALS:
-            shares = shares.withColumn("w", F.least("tokens", F.col("w") * F.col(f"goal_{k}") * keep * F.col("all") / F.sum("w").over(W.partitionBy(k))))
+            have = shares.groupBy(F.col(k).alias("v")).agg(F.sum("w").alias("have")).alias("h")
+            scale = have.join(goals[k].alias("g"), F.col("h.v").eqNullSafe(F.col("g.v")), "left").select(F.col("h.v").alias("v"), F.when(F.col("have") > 0, F.coalesce("g", F.lit(0.0)) * (keep * total) / F.col("have")).otherwise(0.0).alias("scale"))
+            shares = shares.join(scale, shares[k].eqNullSafe(scale["v"])).withColumn("w", F.least("tokens", F.col("w") * F.col("scale"))).select(*MARGINALS, "tokens", "w")
         shares = stored(shares, "raked")
     return shares.select(*MARGINALS, (F.col("w") / F.col("tokens")).alias("probability"))
 
@@ -83,17 +93,16 @@ def mixing_plan(cells: DataFrame, power: float = 0.7, keep: float = 0.5, rounds:
     """``(source, lang, topic, probability)`` for every cell with tokens.
 
     ``targets``: wanted shares for each marginal by value; without, the
-    shares that the corpus has, raised to ``power`` and scaled to one. With
-    more than ``max_cells`` cells the same rounds run as DataFrame windows.
+    shares that the corpus has, raised to ``power`` and scaled to one. Cells
+    that the driver should not hold, more than ``max_cells``, are raked by the
+    same rounds as joins and aggregates, with the same result.
     """
     spark = cells.sparkSession
     schema = "source string, lang string, topic string, probability double"
     cells = cells.where("tokens > 0")
     rows = cells.limit(max_cells + 1).collect()
     if len(rows) > max_cells:
-        if targets:
-            raise ValueError("targets can be given only for a cell table that the driver may hold")
-        return _rake_frame(stored(cells, "cells"), power, keep, rounds)
+        return _rake_frame(stored(cells, "cells"), power, keep, rounds, targets)
     keys, tokens = [tuple(r[k] for k in MARGINALS) for r in rows], np.array([r.tokens for r in rows], float)
     if not rows:
         return spark.createDataFrame([], schema)
@@ -108,24 +117,27 @@ def mixing_plan(cells: DataFrame, power: float = 0.7, keep: float = 0.5, rounds:
     return F.broadcast(spark.createDataFrame([(*k, float(p)) for k, p in zip(keys, chance)], schema))
 
 
-def draw(id_col: Column, seed: str) -> Column:
-    """A number in [0, 1) that depends on the seed and the id alone."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(16**13)
+def draw(id_col: Column, text_col: Column, seed: str) -> Column:
+    """A number in [0, 1) that depends on the seed, the id and the text alone."""
+    of = F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text_col.cast("string"), F.lit(""))))
+    return F.conv(F.substring(F.md5(of), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", power: float = 0.7, keep: float = 0.5, rounds: int = 20, seed: str = "mix", max_cells: int = 100_000, targets: dict[str, dict] | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", power: float = 0.7, keep: float = 0.5, rounds: int = 20, seed: str = "mix", targets: dict[str, dict] | None = None, max_cells: int = 100_000) -> DataFrame:
     """The sampled rows of ``docs``, whole, with mix_tokens, mix_topic and mix_probability.
 
     Null sources and languages are values of their own. Documents without
-    words have no token weight: they say nothing about the mixture and are
-    left out. Repeated rows are drawn alike, and an empty table stays empty.
-    Columns that already have one of the three names are replaced.
+    words (null, empty or blank texts) have no token weight: they say nothing
+    about the mixture and are left out. Texts of any length count whole. Rows
+    that repeat id and text are drawn alike; null ids are drawn by their
+    texts. An empty table stays empty. Columns that already have one of the
+    three names are replaced, others pass through whatever their names.
     """
-    docs = docs.drop("mix_tokens", "mix_topic", "mix_probability")
+    docs, (id_col, text_col, source_col, lang_col), restored = veiled(docs.drop("mix_tokens", "mix_topic", "mix_probability"), id_col, text_col, source_col, lang_col)
     keys = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": topic_of(F.col(text_col))}
     plan = mixing_plan(cells_of(docs, n_words(F.col(text_col)), keys), power, keep, rounds, max_cells, targets)
     plan = plan.select(*(F.col(k).alias(f"_{k}") for k in MARGINALS), F.col("probability").alias("mix_probability"))
     rows = docs.withColumn("mix_tokens", n_words(F.col(text_col))).withColumn("mix_topic", keys["topic"])
     on = rows[source_col].cast("string").eqNullSafe(plan["_source"]) & rows[lang_col].cast("string").eqNullSafe(plan["_lang"]) & rows["mix_topic"].eqNullSafe(plan["_topic"])
     kept = rows.where("mix_tokens > 0").join(plan, on)
-    return kept.where(draw(F.col(id_col), seed) < F.col("mix_probability")).drop("_source", "_lang", "_topic")
+    return kept.where(draw(F.col(id_col), F.col(text_col), seed) < F.col("mix_probability")).select(*restored(), "mix_tokens", "mix_topic", "mix_probability")

@@ -49,7 +49,7 @@ def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op4_sql(power: float = 0.7, keep: float = 0.5, rounds: int = 20) -> str:
     parts = [
-        f"d AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '{_NOT_BLANK}+')) AS n, CASE WHEN NOT regexp_matches(coalesce(text, ''), '{_NOT_BLANK}') THEN 'blank' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!! ') THEN 'loud' WHEN regexp_matches(text, '[0-9]{{4}}') THEN 'numeric' WHEN regexp_matches(text, '[$%&#*]{{3}}') THEN 'noisy' ELSE 'prose' END AS topic FROM documents)",
+        f"d AS (SELECT doc_id, text, source, lang, len(regexp_extract_all(coalesce(text, ''), '{_NOT_BLANK}+')) AS n, CASE WHEN NOT regexp_matches(coalesce(text, ''), '{_NOT_BLANK}') THEN 'blank' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!! ') THEN 'loud' WHEN regexp_matches(text, '[0-9]{{4}}') THEN 'numeric' WHEN regexp_matches(text, '[$%&#*]{{3}}') THEN 'noisy' ELSE 'prose' END AS topic FROM documents)",
         "c AS (SELECT source, lang, topic, sum(n)::DOUBLE AS t FROM d GROUP BY ALL HAVING sum(n) > 0)",
     ]
     for k in mixture_raking.MARGINALS:
@@ -62,7 +62,7 @@ def _op4_sql(power: float = 0.7, keep: float = 0.5, rounds: int = 20) -> str:
         parts.append(f"r{i + 1} AS MATERIALIZED (SELECT * REPLACE (least(t, w * goal_{k} * {keep} * total / sum(w) OVER (PARTITION BY {k})) AS w) FROM r{i})")
     return (
         "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, d.source, d.lang, d.topic, n::BIGINT AS n_tokens, round(w / t, 9) AS probability FROM d JOIN r{len(steps)} r ON d.source IS NOT DISTINCT FROM r.source AND d.lang IS NOT DISTINCT FROM r.lang AND d.topic = r.topic"
-        " WHERE n > 0 AND ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < w / t"
+        " WHERE n > 0 AND ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT / 4503599627370496.0 < w / t"
     )
 
 
@@ -110,9 +110,9 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OP7_SQL = """
 WITH v AS (
   SELECT DISTINCT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) BETWEEN 1 AND 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
+  WHERE embedding IS NOT NULL AND len(embedding) >= 1 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
 ), p AS (
-  SELECT q.id AS query_id, c.id AS neighbor_id, len(list_filter(range(64), lambda i: coalesce(q.s[i + 1], false) <> coalesce(c.s[i + 1], false))) AS distance
+  SELECT q.id AS query_id, c.id AS neighbor_id, len(list_filter(range(greatest(len(q.s), len(c.s))), lambda i: coalesce(q.s[i + 1], false) <> coalesce(c.s[i + 1], false))) AS distance
   FROM v q JOIN v c ON q.id % 100 = 0 AND q.id <> c.id
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM p)
 SELECT query_id, rank::BIGINT AS rank, neighbor_id, distance::BIGINT AS distance FROM r WHERE rank <= 10
