@@ -1,4 +1,4 @@
-"""``python -m quern OLD NEW``: the change feed between two STEP files on standard output."""
+"""``python -m quern OLD NEW``: what changed between two STEP files, on standard output."""
 
 from __future__ import annotations
 
@@ -7,11 +7,13 @@ import json
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from quern.functions.ship import ship
-from quern.plans.diff import graph_diff
-from quern.sources.step import read_step
+from quern.operators.signatures import RADIUS_M
+from quern.plans.diff import diff_files
+from quern.plans.model import model_diff_files, section_lines
+from quern.plans.report import change_summary, markdown_report
+from quern.sources.schema import express_schema
 from quern.streaming import feed
 
 
@@ -19,37 +21,45 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quern", description=__doc__)
     parser.add_argument("old")
     parser.add_argument("new")
+    parser.add_argument("--engine", choices=("graph", "model"), default="graph", help="compare graphs, or the signatures of products")
     parser.add_argument("--stream", choices=("none", "ndjson", "chunked_json"), default="none")
     parser.add_argument("--chunk-size", type=int, default=1000)
+    parser.add_argument("--matcher-radius-m", type=float, default=RADIUS_M, help="engine model: how far a product may have moved")
+    parser.add_argument("--profile", choices=("semantic_stable", "raw_exact"), default="semantic_stable")
     parser.add_argument("--guid-policy", choices=("fail_fast", "disambiguate"), default="fail_fast")
-    parser.add_argument("--attribute-names", help="JSON file: type to names of its attributes")
+    parser.add_argument("--geometry-policy", choices=("strict_syntax", "invariant_probe"), default="strict_syntax")
+    parser.add_argument("--schema", help="EXPRESS text of the files' schema")
+    parser.add_argument("--report", choices=("summary", "markdown"), default="summary", help="form of the result without --stream")
+    parser.add_argument("--timings", action="store_true")
     args = parser.parse_args(argv)
     try:
-        names = json.load(open(args.attribute_names)) if args.attribute_names else None
+        schema = express_schema(open(args.schema).read()) if args.schema else None
         spark = SparkSession.builder.appName("quern").getOrCreate()
         ship(spark)
-        found = graph_diff(read_step(spark, args.old, names), read_step(spark, args.new, names), guid_policy=args.guid_policy)
-        body = F.struct("change_id", "op", "old_entity_id", "new_entity_id", "field_ops", "change_categories")
-        if args.stream == "chunked_json":
-            rows = feed.chunks(found.changes, "position", F.to_json(body), args.chunk_size, clamp=True).orderBy("offset")
-            lines = rows.select(F.to_json(F.struct("offset", "count", "items")).alias("value"))
+        if args.engine == "model":
+            report, diagnostics = model_diff_files(spark, args.old, args.new, args.matcher_radius_m, schema)
+            if args.stream == "none":
+                print(json.dumps(diagnostics, sort_keys=True))
+                return 0
+            lines = section_lines(report)
+            if args.stream == "chunked_json":
+                lines = feed.chunks(lines, "position", lines["value"], args.chunk_size, clamp=True).selectExpr("offset AS position", "to_json(struct(offset, count, items)) AS value")
+            for row in lines.orderBy("position").select("value").toLocalIterator():
+                print(row.value)
+            return 0
+        found = diff_files(spark, args.old, args.new, schema=schema, profile=args.profile, guid_policy=args.guid_policy, geometry_policy=args.geometry_policy, snapshots=args.stream == "none")
+        if args.stream == "none":
+            print(markdown_report(found.changes, found.markers, f"{args.old} to {args.new}") if args.report == "markdown" else "\n".join(change_summary(found.changes)))
         else:
-            markers = found.markers.withColumn("position", F.row_number().over(_order()).cast("long"))
-            lines = feed.ndjson(found.changes, markers, body, F.struct("marker_type", "relation_type", "child_id", "old_parent_id", "new_parent_id")).orderBy("rank", "position")
-            lines = lines.where("section <> 'header'") if args.stream == "none" else lines
-        for row in lines.select("value").toLocalIterator():
-            print(row.value)
+            for row in feed.replay(found, args.stream, args.chunk_size).orderBy("rank", "position").select("value").toLocalIterator():
+                print(row.value)
+        if args.timings:
+            print(json.dumps(found.timings, sort_keys=True), file=sys.stderr)
     except Exception as e:  # noqa: BLE001
         print(f"error: {e}", file=sys.stderr)
         return 1
     return 0
 
 
-def _order():
-    from pyspark.sql import Window as W
-
-    return W.orderBy("relation_type", "child_id")
-
-
 if __name__ == "__main__":
     sys.exit(main())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.canonical import canonical_class, provenance
+from quern.functions.canonical import REAL_SCALE, canonical_class, provenance
 from quern.functions.spatial import axis_placement, identity_matrix, matmul, padded, quantised_matrix, transformed
 from quern.operators.hashing import merkle_hashes, topology_hashes
 from quern.plans.loops import stored
@@ -65,18 +65,19 @@ def inverted_links(refs: DataFrame) -> DataFrame:
     return refs.select("target_step", "source_step", "path")
 
 
-def placement_matrices(placements: DataFrame, max_rounds: int = 24) -> DataFrame:
+def placement_matrices(placements: DataFrame) -> DataFrame:
     """(step_id, matrix) of placements(step_id, parent, local): the local matrix under those of all ancestors.
 
     Each round joins every chain with the chain of the placement it has
-    reached, so depths double. A placement on or under a cycle has no matrix;
-    an unknown parent counts as none.
+    reached, so depths double, and after log2 of their number all chains have
+    ended. A placement on or under a cycle has no matrix; an unknown parent
+    counts as none.
     """
     known = placements.select("step_id")
     rows = placements.join(known.select(F.col("step_id").alias("parent")), "parent", "left_semi").select("step_id", "parent", "local")
     rows = rows.union(placements.join(known.select(F.col("step_id").alias("parent")), "parent", "left_anti").select("step_id", F.lit(None).cast("long").alias("parent"), "local"))
     state = stored(rows.select("step_id", "parent", F.col("local").alias("matrix")), "placements")
-    for _ in range(max_rounds):
+    for _ in range(rows.count().bit_length() + 1):
         if state.where("parent IS NOT NULL").isEmpty():
             break
         up = state.select(F.col("step_id").alias("parent"), F.col("parent").alias("next"), F.col("matrix").alias("above"))
@@ -87,11 +88,11 @@ def placement_matrices(placements: DataFrame, max_rounds: int = 24) -> DataFrame
     return state.where("parent IS NULL").select("step_id", "matrix")
 
 
-def reachable(starts: DataFrame, edges: DataFrame, max_hops: int = 64) -> DataFrame:
+def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """(step_id, at): what each of ``starts(step_id)`` reaches along edges (source_step, target_step), itself included."""
     links = edges.select(F.col("source_step").alias("at"), F.col("target_step").alias("to")).distinct()
     seen = front = stored(starts.select("step_id", F.col("step_id").alias("at")).distinct(), "seen")
-    for _ in range(max_hops):
+    while True:
         front = front.join(links, "at").select("step_id", F.col("to").alias("at")).distinct()
         front = stored(front.join(seen, ["step_id", "at"], "left_anti"), "front")
         if front.isEmpty():
@@ -100,6 +101,14 @@ def reachable(starts: DataFrame, edges: DataFrame, max_hops: int = 64) -> DataFr
     return seen
 
 
+def cartesian_points(entities: DataFrame) -> DataFrame:
+    """(point_step, x, y, z) of point entities, from their canonical coordinates; missing ones are 0."""
+    items = F.from_json(F.col("attributes")["Coordinates"], "struct<items:array<struct<kind:string,value:string>>>")["items"]
+    number = F.transform(items, lambda i: F.when(i["kind"] == "real_q", i["value"].cast("double") / REAL_SCALE).otherwise(i["value"].cast("double")))
+    rows = entities.where("entity_type = 'IfcCartesianPoint'").select(F.col("step_id").alias("point_step"), padded(number).alias("p")).where("p IS NOT NULL")
+    return rows.select("point_step", *(F.col("p")[k].alias(c) for k, c in enumerate("xyz")))
+
+
 def spatial_features(products: DataFrame, edges: DataFrame, points: DataFrame, matrices: DataFrame) -> DataFrame:
     """(step_id, placement, centroid, aabb) of products(step_id, placement_step).
 

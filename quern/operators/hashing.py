@@ -55,13 +55,13 @@ def semantic_signatures(entities: DataFrame) -> DataFrame:
     return entities.select("graph_id", "step_id", F.sha2(text, 256).alias("signature"))
 
 
-def merkle_hashes(entities: DataFrame, edges: DataFrame, max_levels: int = 64) -> DataFrame:
+def merkle_hashes(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """(step_id, hash) of an acyclic part graph: each digest covers the digests of the parts.
 
     ``edges(source_step, label, target_step)`` lead to parts. Level by level,
     an entity is hashed once all its parts are. A part that is no entity
-    counts as missing. What is left after ``max_levels``, or when a level adds
-    nothing, lies on or above a cycle and counts as cyclic by its step.
+    counts as missing. What is left when a level adds nothing lies on or above
+    a cycle and counts as cyclic by its step.
     """
     from quern.plans.loops import stored
 
@@ -73,7 +73,7 @@ def merkle_hashes(entities: DataFrame, edges: DataFrame, max_levels: int = 64) -
     pending = own.join(fan.withColumnRenamed("source_step", "step_id"), "step_id", "left").fillna(0, ["parts"])
     leaves = pending.where("parts = 0").select("step_id", F.sha2("own", 256).alias("hash"))
     done, pending = stored(done.union(leaves), "merkle"), stored(pending.where("parts > 0"), "pending")
-    for _ in range(max_levels):
+    while True:
         known = links.join(done.select(F.col("step_id").alias("target_step"), "hash"), "target_step")
         known = known.join(pending.select(F.col("step_id").alias("source_step")), "source_step", "left_semi")
         entry = F.concat(F.lit("edge="), "label", F.lit(":"), "hash")
@@ -83,7 +83,7 @@ def merkle_hashes(entities: DataFrame, edges: DataFrame, max_levels: int = 64) -
         if level.isEmpty():
             break
         done = done.union(level)
-        pending = pending.join(level, "step_id", "left_anti")
+        pending = stored(pending.join(level, "step_id", "left_anti"), "pending")
     cyclic = pending.select("step_id", F.sha2(F.concat(F.lit("cycle:"), F.col("step_id").cast("string")), 256).alias("hash"))
     return done.union(cyclic).join(entities.select("step_id"), "step_id", "left_semi")
 

@@ -109,6 +109,10 @@ def dangling(entities: DataFrame, refs: DataFrame) -> DataFrame:
     return refs.join(entities.select("graph_id", F.col("step_id").alias("target_step")), ["graph_id", "target_step"], "left_anti")
 
 
+def dangling_count(entities: DataFrame, refs: DataFrame) -> int:
+    return dangling(entities, refs).count()
+
+
 def dangling_report(entities: DataFrame, refs: DataFrame, sample: int = 10) -> DataFrame:
     """The first dangling references by source, path, target and type, each with the number of all."""
     lost = dangling(entities, refs)

@@ -152,56 +152,62 @@ def best_in_buckets(scored: DataFrame, threshold: float = ROOT_THRESHOLD, margin
 # --- along references -----------------------------------------------------------
 
 
-def propagate(pairs: DataFrame, old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame], max_hops: int = 32) -> DataFrame:
+def propagate(pairs: DataFrame, old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame], taken: DataFrame | None = None) -> DataFrame:
     """(old_step, new_step, hop) of entities without identifier, found from matched pairs along references.
 
     From a matched pair, targets match that are the only ones of their path
-    and type on both sides. All pairs of one hop are handled at once; where
-    two would claim an entity, the one with the smallest old source, path and
-    type has it. Entities already matched stay matched.
+    and type on both sides, among targets that are not matched yet; those with
+    an identifier count but never match. All pairs of one hop are handled at
+    once, and counts are taken anew in the next; where two would claim an
+    entity, the one with the smallest old source, path and type has it.
+    ``taken(old_step, new_step)`` are matched already, besides ``pairs``. It
+    ends when a hop finds nothing.
     """
     from pyspark.sql import Window as W
 
+    pairs = pairs.select("old_step", "new_step")
+    used = stored(pairs.union(taken.select("old_step", "new_step")) if taken is not None else pairs, "used")
+    front, found, hop = stored(pairs, "pairs"), None, 0
+
     def targets(side: tuple[DataFrame, DataFrame], name: str) -> DataFrame:
+        """The only open target of each path and type from an entity of the front."""
         entities, refs = side
-        plain = entities.where("global_id IS NULL").select(F.col("step_id").alias("target_step"))
-        edges = refs.join(plain, "target_step", "left_semi")
-        one = edges.groupBy("source_step", "path", "target_type").agg(F.count("*").alias("n"), F.min("target_step").alias(name)).where("n = 1").drop("n")
-        return stored(one.withColumnRenamed("source_step", f"{name}_source"), name)
-
-    a, b = targets(old, "old_to"), targets(new, "new_to")
-    found = front = stored(pairs.select("old_step", "new_step", F.lit(0).alias("hop")), "pairs")
-    for hop in range(1, max_hops + 1):
-        met = front.join(a, F.col("old_step") == F.col("old_to_source")).join(b, (F.col("new_step") == F.col("new_to_source")) & (a["path"] == b["path"]) & a["target_type"].eqNullSafe(b["target_type"]))
-        met = met.select(F.col("old_to").alias("old_step"), F.col("new_to").alias("new_step"), F.struct(F.col("old_to_source"), a["path"], a["target_type"]).alias("by"))
-        met = met.join(found.select("old_step"), "old_step", "left_anti").join(found.select("new_step"), "new_step", "left_anti")
-        met = met.withColumn("x", F.row_number().over(W.partitionBy("old_step").orderBy("by", "new_step"))).where("x = 1").withColumn("y", F.row_number().over(W.partitionBy("new_step").orderBy("by", "old_step"))).where("y = 1")
-        front = stored(met.select("old_step", "new_step", F.lit(hop).alias("hop")), "hop")
+        step, known = f"{name}_step", entities.select(F.col("step_id").alias("target_step"), F.col("global_id").isNotNull().alias("root"))
+        open_refs = refs.join(front.select(F.col(step).alias("source_step")).distinct(), "source_step", "left_semi").join(used.select(F.col(step).alias("target_step")), "target_step", "left_anti")
+        one = open_refs.join(known, "target_step").groupBy("source_step", "path", "target_type").agg(F.count("*").alias("n"), F.min("target_step").alias("to"), F.min("root").alias("root"))
+        return one.where("n = 1").select(F.col("source_step").alias(step), "path", F.coalesce("target_type", F.lit("")).alias("type"), F.col("to").alias(f"{name}_to"), F.col("root").alias(f"{name}_root"))
+
+    while True:
+        hop += 1
+        met = front.join(targets(old, "old"), "old_step").join(targets(new, "new"), ["new_step", "path", "type"]).where("NOT old_root AND NOT new_root")
+        met = met.select(F.col("old_to").alias("to_old"), F.col("new_to").alias("to_new"), F.struct("old_step", "path", "type").alias("by"))
+        met = met.withColumn("x", F.row_number().over(W.partitionBy("to_old").orderBy("by", "to_new"))).where("x = 1").withColumn("y", F.row_number().over(W.partitionBy("to_new").orderBy("by", "to_old"))).where("y = 1")
+        front = stored(met.select(F.col("to_old").alias("old_step"), F.col("to_new").alias("new_step"), F.lit(hop).alias("hop")), "hop")
         if front.isEmpty():
-            break
-        found = found.union(front)
-    return found.where("hop > 0")
+            return front if found is None else found
+        found = front if found is None else found.union(front)
+        front = front.select("old_step", "new_step")
+        used = used.union(front)
 
 
 # --- features and blocks -----------------------------------------------------------
 
 
-def features(entities: DataFrame, refs: DataFrame) -> DataFrame:
-    """One wide row for each entity without identifier: what similarity and blocking need."""
-    labels = refs.groupBy("source_step").agg(F.array_sort(F.collect_set(F.concat_ws(FIELD, "path", type_family(F.col("target_type"))))).alias("edge_labels"), F.count("*").alias("degree"))
-    counted = refs.groupBy("source_step", "path", type_family(F.col("target_type")).alias("t")).agg(F.count("*").alias("n"))
-    digests = counted.groupBy("source_step").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(FIELD, "path", "t", F.col("n").cast("string")))), SEP), 256).alias("digest"))
-    sources = entities.select(F.col("step_id").alias("source_step"), type_family(F.col("entity_type")).alias("source_type"))
-    up = refs.join(sources, "source_step").select("source_step", F.col("target_step").alias("at"), F.concat_ws(FIELD, "path", "source_type").alias("token"))
-    d1 = up.groupBy("at").agg(F.array_sort(F.collect_set("token")).alias("ancestry1"))
-    above = up.select(F.col("at").alias("source_step"), F.col("token").alias("token2"))
-    d2 = up.join(above, "source_step").groupBy("at").agg(F.array_sort(F.collect_set(F.concat_ws(SEP, "token", "token2"))).alias("ancestry2"))
-    deeper = refs.select("source_step", "path", "target_step", type_family(F.col("target_type")).alias("t"))
-    below = deeper.select(F.col("source_step").alias("target_step"), F.concat_ws(FIELD, F.lit("2"), "path", "t").alias("label"))
-    near = deeper.select("source_step", F.concat_ws(FIELD, F.lit("1"), "path", "t").alias("label")).union(deeper.join(below, "target_step").select("source_step", "label"))
-    depth2 = near.groupBy("source_step").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("label")), SEP), 256).alias("depth2"))
-    rows = entities.where("global_id IS NULL").join(semantic_signatures(entities).select("step_id", "signature"), "step_id")
-    for side, by in ((labels, "source_step"), (digests, "source_step"), (depth2, "source_step"), (d1, "at"), (d2, "at")):
+def features(entities: DataFrame, refs: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """One wide row for each entity without identifier, or each of ``steps(step_id)``: what blocking and likeness at depth 1 need."""
+    wanted = entities.where("global_id IS NULL")
+    if steps is not None:
+        wanted = wanted.join(steps.select("step_id"), "step_id", "left_semi")
+    own = refs.join(wanted.select(F.col("step_id").alias("source_step")), "source_step", "left_semi")
+    counted = own.groupBy("source_step", "path", type_family(F.col("target_type")).alias("t")).agg(F.count("*").alias("n"))
+    ahead = counted.groupBy("source_step").agg(
+        F.array_sort(F.collect_list(F.concat_ws(FIELD, "path", "t"))).alias("edge_labels"), F.sum("n").alias("degree"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(FIELD, "path", "t", F.col("n").cast("string")))), SEP), 256).alias("digest"),
+    )
+    back = _upward(entities, refs.join(wanted.select(F.col("step_id").alias("target_step")), "target_step", "left_semi"))
+    d1 = back.groupBy("at").agg(F.array_sort(F.collect_set("token")).alias("ancestry1"))
+    rows = wanted.join(semantic_signatures(wanted).select("step_id", "signature"), "step_id")
+    for side, by in ((ahead, "source_step"), (d1, "at")):
         rows = rows.join(side.withColumnRenamed(by, "step_id"), "step_id", "left")
     none = F.array().cast("array<string>")
     return rows.select(
@@ -209,8 +215,40 @@ def features(entities: DataFrame, refs: DataFrame) -> DataFrame:
         F.array_sort(F.map_keys("attributes")).alias("paths"),
         F.array_sort(F.array_distinct(F.transform(F.map_values("attributes"), literal_token))).alias("literals"),
         F.coalesce("edge_labels", none).alias("edge_labels"), F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("digest", F.lit("0" * 64)).alias("digest"),
-        F.coalesce("ancestry1", none).alias("ancestry1"), F.coalesce("ancestry2", none).alias("ancestry2"), F.coalesce("depth2", F.lit("0" * 64)).alias("depth2"),
-    )
+        F.coalesce("ancestry1", none).alias("ancestry1"),
+    )
+
+
+def _upward(entities: DataFrame, refs: DataFrame) -> DataFrame:
+    """(at, source_step, token) for each reference to ``at``: its path and the family it comes from."""
+    sources = entities.select(F.col("step_id").alias("source_step"), type_family(F.col("entity_type")).alias("source_type"))
+    return refs.join(sources, "source_step").select(F.col("target_step").alias("at"), "source_step", F.concat_ws(FIELD, "path", "source_type").alias("token"))
+
+
+def deep_features(entities: DataFrame, refs: DataFrame, steps: DataFrame) -> DataFrame:
+    """(step_id, ancestry2, depth2, depth3) of ``steps(step_id)``: who refers to those that refer to it, and its surroundings.
+
+    The digests of depth 2 and 3 are of the references that lie so many steps
+    away, each from the entity's first visit, with their types.
+    """
+    edges = refs.join(entities.select(F.col("step_id").alias("target_step")), "target_step", "left_semi").select(F.col("source_step").alias("node"), "path", type_family(F.col("target_type")).alias("t"), "target_step")
+    kinds = entities.select(F.col("step_id").alias("node"), type_family(F.col("entity_type")).alias("kind"))
+    level = stored(steps.select("step_id", F.col("step_id").alias("node")).distinct(), "level")
+    seen, labels = level, None
+    for depth in (1, 2, 3):
+        out = level.join(edges, "node").join(kinds, "node")
+        found = out.select("step_id", F.lit(depth).alias("depth"), F.concat_ws(FIELD, F.lit(str(depth)), "path", F.coalesce("t", F.lit("")), "kind").alias("label"))
+        labels = found if labels is None else labels.union(found)
+        level = stored(out.select("step_id", F.col("target_step").alias("node")).distinct().join(seen, ["step_id", "node"], "left_anti"), "level")
+        seen = seen.union(level)
+    around = lambda k: F.sha2(F.array_join(F.array_sort(F.collect_list(F.when(F.col("depth") <= k, F.col("label")))), SEP), 256)
+    digests = labels.groupBy("step_id").agg(around(2).alias("depth2"), around(3).alias("depth3"))
+    first = _upward(entities, refs.join(steps.select(F.col("step_id").alias("target_step")), "target_step", "left_semi"))
+    above = _upward(entities, refs.join(first.select(F.col("source_step").alias("target_step")).distinct(), "target_step", "left_semi"))
+    second = first.select("at", "source_step", "token").join(above.select(F.col("at").alias("source_step"), F.col("token").alias("over")), "source_step")
+    ancestry = second.groupBy(F.col("at").alias("step_id")).agg(F.array_sort(F.collect_set(F.concat_ws(SEP, "token", "over"))).alias("ancestry2"))
+    rows = steps.select("step_id").distinct().join(digests, "step_id", "left").join(ancestry, "step_id", "left")
+    return rows.select("step_id", F.coalesce("ancestry2", F.array().cast("array<string>")).alias("ancestry2"), F.coalesce("depth2", F.lit("")).alias("depth2"), F.coalesce("depth3", F.lit("")).alias("depth3"))
 
 
 def blocking_key() -> Column:
@@ -221,7 +259,7 @@ def blocking_key() -> Column:
 
 
 def similarity(a: str, b: str, depth: int = 1) -> Column:
-    """Weighted likeness of two feature structs named ``a`` and ``b``."""
+    """Weighted likeness of two feature structs named ``a`` and ``b``; beyond depth 1 they have the deep features too."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     equal = lambda c: (x(c) == y(c)).cast("double")
     total = (
@@ -231,6 +269,8 @@ def similarity(a: str, b: str, depth: int = 1) -> Column:
     )
     if depth >= 2:
         total = total + 0.14 * jaccard(x("ancestry2"), y("ancestry2")) + 0.03 * equal("depth2")
+    if depth >= 3:
+        total = total + 0.03 * equal("depth3")
     return F.least(F.lit(1.0), total)
 
 
@@ -285,67 +325,105 @@ def assign(scores: dict[tuple[int, int], float], threshold: float, margin: float
     return chosen, close
 
 
-def assign_blocks(scored: DataFrame, threshold: float = SECONDARY["threshold"], margin: float = SECONDARY["margin"], most: int = SECONDARY["assignment_max"]) -> DataFrame:
+def assign_blocks(scored: DataFrame, threshold: float = SECONDARY["threshold"], margin: float = SECONDARY["margin"]) -> DataFrame:
     """(block, old_step, new_step, score) by :func:`assign` within each block of rows (block, old_step, new_step, score).
 
-    Blocks with more than ``most`` rows on a side, and ambiguous ones, match
-    nothing: their pairs stay unresolved as the policy asks for.
+    An ambiguous block has one row, without steps.
     """
     import pyarrow as pa
 
     out = pa.schema([("block", pa.string()), ("old_step", pa.int64()), ("new_step", pa.int64()), ("score", pa.float64())])
-    sizes = scored.groupBy("block").agg(F.count_distinct("old_step").alias("a"), F.count_distinct("new_step").alias("b")).where((F.col("a") <= most) & (F.col("b") <= most))
-    small = scored.where(F.col("score") >= threshold).join(sizes.select("block"), "block", "left_semi")
 
     def solve(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         scores = {(r["old_step"], r["new_step"]): r["score"] for r in rows}
         chosen, close = assign(scores, threshold, margin)
-        return pa.Table.from_pylist([] if close else [{"block": rows[0]["block"], "old_step": o, "new_step": n, "score": scores[o, n]} for o, n in sorted(chosen.items())], out)
+        block = rows[0]["block"]
+        if close:
+            return pa.Table.from_pylist([{"block": block, "old_step": None, "new_step": None, "score": None}], out)
+        return pa.Table.from_pylist([{"block": block, "old_step": o, "new_step": n, "score": scores[o, n]} for o, n in sorted(chosen.items())], out)
 
-    return small.select("block", "old_step", "new_step", "score").groupBy("block").applyInArrow(solve, "block string, old_step long, new_step long, score double")
+    alike = scored.where(F.col("score") >= threshold).select("block", "old_step", "new_step", "score")
+    return alike.groupBy("block").applyInArrow(solve, "block string, old_step long, new_step long, score double")
 
 
 @dataclass
 class Secondary:
-    """``pairs`` (block, old_step, new_step, score), and the rows (block, side, step_id) of blocks left open because they are ambiguous."""
+    """``pairs`` (block, old_step, new_step, score, depth), the rows (block, side, step_id) of blocks left open because they are ambiguous, and how many matches those could have been."""
 
     pairs: DataFrame
     ambiguous: DataFrame
-
-
-def secondary_match(old: DataFrame, new: DataFrame, policy: dict | None = None) -> Secondary:
-    """Match unresolved feature rows of two graphs, by block and then similarity.
-
-    Families of ``LARGE_FAMILY`` rows or more match by unique signature alone.
-    The number of pairs is known from block sizes before any is made; beyond
-    the policy's limits nothing is matched. A block is ambiguous if some pair
-    is alike enough, but the assignment could as well be another.
+    ambiguous_count: int
+
+
+def _placed_in_blocks(old: DataFrame, new: DataFrame) -> list[DataFrame]:
+    """Both sides with ``block``: the whole family where it is large, else the blocking key, or the rest of the family where the other side lacks that key."""
+    sides = [s.withColumn("key", blocking_key()) for s in (old, new)]
+    families = [s.groupBy("family").agg(F.count("*").alias(n)) for s, n in zip(sides, "ab")]
+    both = families[0].join(families[1], "family")
+    large = stored(both.select("family", (F.greatest("a", "b") >= LARGE_FAMILY).alias("large")), "families")
+    shared = stored(sides[0].select("key").distinct().join(sides[1].select("key").distinct(), "key").withColumn("shared", F.lit(True)), "shared_keys")
+    block = F.when(F.col("large"), F.concat("family", F.lit("|large"))).when(F.col("shared"), F.col("key")).otherwise(F.concat("family", F.lit("|residual")))
+    return [stored(s.join(large, "family").join(shared, "key", "left").withColumn("block", block).drop("key", "shared"), "blocked") for s in sides]
+
+
+def secondary_match(old: DataFrame, new: DataFrame, policy: dict | None = None, graphs: tuple | None = None) -> Secondary:
+    """Match unresolved feature rows of two graphs, by block and then likeness.
+
+    Families of ``LARGE_FAMILY`` rows or more, and blocks over the policy's
+    size, match by unique signature alone. Other blocks are assigned by
+    likeness at depth 1; small ones that stay ambiguous again at depth 2 and
+    then 3, which read ``graphs`` (both as entities and references; without
+    them only depth 1 is tried). Rows whose key the other side lacks are one
+    block of their family. The number of rows and pairs is known before any
+    pair is made; beyond the policy's limits nothing is matched.
     """
     rules = SECONDARY | (policy or {})
-    sides = [stored(s.withColumn("block", blocking_key()), "blocked") for s in (old, new)]
-    sizes = [s.groupBy("block", "family").agg(F.count("*").alias(n)) for s, n in zip(sides, "ab")]
-    both = stored(sizes[0].join(sizes[1].drop("family"), "block"), "sizes")
-    total = both.agg(F.sum(F.col("a") * F.col("b")), F.sum(F.greatest("a", "b"))).first()
     spark = old.sparkSession
-    if (total[0] or 0) > rules["pair_limit"] or (total[1] or 0) > rules["unresolved_limit"]:
-        return Secondary(spark.createDataFrame([], "block string, old_step long, new_step long, score double"), spark.createDataFrame([], "block string, side string, step_id long"))
-    large = both.groupBy("family").agg(F.sum(F.greatest("a", "b")).alias("n")).where(F.col("n") >= LARGE_FAMILY).select("family")
-    unique = unique_pairs(*(s.join(large, "family", "left_semi") for s in sides), key="signature").select(F.lit("signature_unique").alias("block"), "old_step", "new_step", F.lit(1.0).alias("score"))
+    old, new = stored(old, "features"), stored(new, "features")
+    a, b = old.count(), new.count()
+    none = spark.createDataFrame([], "block string, old_step long, new_step long, score double, depth int"), spark.createDataFrame([], "block string, side string, step_id long")
+    if max(a, b) > rules["unresolved_limit"] or a * b > rules["pair_limit"]:
+        return Secondary(*none, min(a, b))
+    if not a or not b:
+        return Secondary(*none, 0)
+    sides = _placed_in_blocks(old, new)
+    sizes = [s.groupBy("block").agg(F.count("*").alias(n), F.max("large").alias("large")) for s, n in zip(sides, "ab")]
     most = rules["assignment_max"]
-    small = both.join(large, "family", "left_anti").where((F.col("a") <= most) & (F.col("b") <= most)).select("block", F.least("a", "b").alias("limit"))
-    left, right = (s.join(small.select("block", *(["limit"] if k == "o" else [])), "block").select("block", *(["limit"] if k == "o" else []), F.struct(*s.columns).alias(k)) for s, k in zip(sides, "on"))
-    scored = left.join(right, "block").select("block", F.col("o.step_id").alias("old_step"), F.col("n.step_id").alias("new_step"), "limit", *(similarity("o", "n", d).alias(f"s{d}") for d in (1, 2)))
-    scored = stored(scored, "scored")
-    first = stored(assign_blocks(scored.withColumn("score", F.col("s1")), rules["threshold"], rules["margin"], most), "assigned")
-    # A small block that depth 1 leaves open is tried once more with the wider neighbourhood.
-    again = scored.where(F.col("limit") <= rules["depth2_max"]).join(first.select("block").distinct(), "block", "left_anti").withColumn("score", F.col("s2"))
-    second = stored(assign_blocks(again, rules["threshold"], rules["margin"], most), "assigned")
-    alike = scored.where(F.greatest("s1", "s2") >= rules["threshold"]).select("block").distinct()
-    closed = first.select("block").union(second.select("block")).distinct()
-    open_blocks = stored(alike.join(closed, "block", "left_anti"), "open_blocks")
-    rows = [s.join(open_blocks, "block", "left_semi").select("block", F.lit(k).alias("side"), "step_id") for s, k in zip(sides, ("old", "new"))]
-    return Secondary(unique.union(first).union(second), rows[0].union(rows[1]))
+    blocks = sizes[0].join(sizes[1].drop("large"), "block").withColumn("signed", F.col("large") | (F.greatest("a", "b") > most)).withColumn("limit", F.least("a", "b"))
+    blocks = stored(blocks, "blocks")
+    # By signature: unique on both sides within the block.
+    signed = blocks.where("signed").select("block")
+    counts = [s.join(signed, "block", "left_semi").groupBy("block", "signature").agg(F.count("*").alias(n), F.min("step_id").alias(step)) for s, n, step in zip(sides, "ab", ("old_step", "new_step"))]
+    met = stored(counts[0].join(counts[1], ["block", "signature"]), "signatures")
+    found = [met.where("a = 1 AND b = 1").select("block", "old_step", "new_step", F.lit(1.0).alias("score"), F.lit(1).alias("depth"))]
+    left_open = met.where("a > 1 OR b > 1").groupBy("block").agg(F.sum(F.least("a", "b")).alias("n"))
+    # By assignment, deeper where it stays ambiguous.
+    rest = blocks.where("NOT signed").select("block", "limit")
+    for depth in (1, 2, 3):
+        if depth > 1:
+            rest = stored(rest.where(F.col("limit") <= rules[f"depth{depth}_max"]), "deepened")
+            if graphs is None or rest.isEmpty():
+                break
+            more = [s.join(rest, "block", "left_semi").select("block", F.struct(*s.columns).alias(k)) for s, k in zip(sides, "on")]
+            deep = [deep_features(*g, m.select(F.col(f"{k}.step_id").alias("step_id"))).withColumnRenamed("step_id", "at") for g, m, k in zip(graphs, more, "on")]
+            ends = [m.join(d, F.col(f"{k}.step_id") == F.col("at")).select("block", F.struct(f"{k}.*", "ancestry2", "depth2", "depth3").alias(k)) for m, d, k in zip(more, deep, "on")]
+        else:
+            ends = [s.join(rest, "block", "left_semi").select("block", F.struct(*s.columns).alias(k)) for s, k in zip(sides, "on")]
+        scored = ends[0].join(ends[1], "block").select("block", F.col("o.step_id").alias("old_step"), F.col("n.step_id").alias("new_step"), similarity("o", "n", depth).alias("score"))
+        tried = stored(assign_blocks(scored, rules["threshold"], rules["margin"]), "assigned")
+        found.append(tried.where("old_step IS NOT NULL").withColumn("depth", F.lit(depth)))
+        close = stored(rest.join(tried.where("old_step IS NULL").select("block"), "block"), "ambiguous")
+        # Those that no deeper round takes up stay ambiguous.
+        last = close if depth == 3 or graphs is None else close.where(F.col("limit") > rules[f"depth{depth + 1}_max"])
+        left_open = left_open.union(last.select("block", F.col("limit").cast("long")))
+        rest = close
+    pairs = found[0]
+    for f in found[1:]:
+        pairs = pairs.union(f)
+    pairs, left_open = stored(pairs, "secondary"), stored(left_open, "open_blocks")
+    rows = [s.join(left_open, "block", "left_semi").join(pairs.select(F.col(step).alias("step_id")), "step_id", "left_anti").select("block", F.lit(k).alias("side"), "step_id") for s, k, step in zip(sides, ("old", "new"), ("old_step", "new_step"))]
+    return Secondary(pairs, rows[0].union(rows[1]), left_open.agg(F.sum("n")).first()[0] or 0)
 
 
 def ambiguous_ids(ambiguous: DataFrame, side: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.canonical import FIELD, SEP
-from quern.plans.loops import least_reachable, stored
+from quern.plans.loops import least_reachable, placed, stored
 
 ROUND_HASHES = ("auto", "sha256", "md5", "xxhash64")
 #: Rounds, and fewer for large graphs (least entities, rounds).
@@ -46,8 +46,8 @@ def refine_once(colours: DataFrame, edges: DataFrame, round_hash: str = "auto")
 def refine(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None, round_hash: str = "auto", stop_early: bool = True) -> tuple[DataFrame, int]:
     """Colours after refinement, and the rounds made; it stops once the number of colours stood still twice.
 
-    Colours of two graphs can be compared only after equally many rounds, for
-    which ``stop_early`` is to be False.
+    Colours of two graphs can be compared only after equally many rounds, so
+    they are refined as one graph, or with ``stop_early`` False.
     """
     colours = stored(seeds.select("step_id", "colour"), "colours")
     n, classes = colours.agg(F.count("*"), F.count_distinct("colour")).first()
@@ -55,10 +55,12 @@ def refine(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None, ro
     for _ in range(max_rounds or round_limit(n)):
         colours = stored(refine_once(colours, edges, round_hash), "colours")
         made += 1
+        if not stop_early:
+            continue
         now = colours.agg(F.count_distinct("colour")).first()[0]
         still = still + 1 if now == classes else 0
         classes = now
-        if stop_early and (still == 2 or classes == n):
+        if still == 2 or classes == n:
             break
     return colours, made
 
@@ -68,37 +70,51 @@ def partition_summary(colours: DataFrame) -> DataFrame:
     return colours.groupBy("colour").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("classes"))
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def _trimmed(edges: DataFrame, pays: float = 0.05) -> DataFrame:
+    """``edges`` without those at nodes that no edge enters or leaves, layer by layer while a layer is worth its table."""
+    n = edges.count()
+    while n:
+        entered, left = edges.select(F.col("b").alias("a")).distinct(), edges.select(F.col("a").alias("b")).distinct()
+        edges = stored(edges.join(entered, "a", "left_semi").join(left, "b", "left_semi").select("a", "b"), "trimmed")
+        before, n = n, edges.count()
+        if n > (1 - pays) * before:
+            break
+    return edges
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) of the directed edges (a, b); component is the least node of each.
 
     Nodes without a way in or out are components of their own and are trimmed
-    first. In what is left, nodes that reach the same least node and are
-    reached by it form a component, which leaves the graph; and so on.
+    first. What is left is numbered at random. Nodes that reach the same least
+    number, and are reached by it, form a component, which leaves the graph;
+    and so on until none is left. With random numbers a chain or tree falls
+    apart in about as many rounds as its length has digits.
     """
-    nodes, edges = stored(nodes.select("node").distinct(), "nodes"), stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    out = None
-    for _ in range(max_rounds):
-        while True:  # trim
-            ends = edges.select(F.col("a").alias("node")).distinct().join(edges.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
-            kept = stored(nodes.join(ends, "node", "left_semi"), "core")
-            single = nodes.join(kept, "node", "left_anti").select("node", F.col("node").alias("component"))
-            out = single if out is None else out.union(single)
-            smaller = kept.count() < nodes.count()
-            nodes = kept
-            edges = stored(edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b"), "edges")
-            if not smaller:
-                break
-        if nodes.isEmpty():
-            break
-        down = least_reachable(nodes, edges)
-        up = least_reachable(nodes, edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # A node whose least reachable node also reaches it is in that node's component.
-        both = down.join(up.select("node", F.col("least").alias("from")), "node").where(F.col("least") == F.col("from"))
-        found = stored(both.select("node", F.col("least").alias("component")), "components")
-        out = out.union(found)
-        nodes = stored(nodes.join(found, "node", "left_anti"), "nodes")
-        edges = stored(edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b"), "edges")
-    return out
+    nodes, edges = nodes.select("node").distinct(), stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    edges = _trimmed(edges)
+    core = stored(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "core")
+    out = nodes.join(core, "node", "left_anti").select("node", F.col("node").alias("component"))
+    if core.isEmpty():
+        return out
+    numbers = placed(core.withColumn("mixed", F.xxhash64("node")), "mixed", "node").select("node", F.col("position").alias("at"))
+    ends = [numbers.select(F.col("node").alias(c), F.col("at").alias(f"{c}_at")) for c in "ab"]
+    edges = stored(edges.join(ends[0], "a").join(ends[1], "b").select(F.col("a_at").alias("a"), F.col("b_at").alias("b")), "edges")
+    left, found = numbers.select(F.col("at").alias("node")), None
+    while not left.isEmpty():
+        up = least_reachable(left, edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # Only edges between nodes that the same least number reaches can lie in its component.
+        tops = [up.select(F.col("node").alias(c), F.col("least").alias(f"{c}_top")) for c in "ab"]
+        inner = stored(edges.join(tops[0], "a").join(tops[1], "b").where("a_top = b_top").select("a", "b"), "edges")
+        both = least_reachable(left, inner).join(up.select("node", F.col("least").alias("from")), "node").where(F.col("least") == F.col("from"))
+        one = stored(both.select("node", F.col("least").alias("component")), "components")
+        found = one if found is None else found.union(one)
+        left = stored(left.join(one, "node", "left_anti"), "nodes")
+        edges = inner.join(one.select(F.col("node").alias("a")), "a", "left_anti").join(one.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b")
+        edges = stored(edges, "edges")
+    named = found.join(numbers.select(F.col("at").alias("at"), F.col("node").alias("is")), F.col("node") == F.col("at")).select("component", F.col("is").alias("node"))
+    least = named.groupBy("component").agg(F.min("node").alias("least"))
+    return out.union(named.join(least, "component").select("node", F.col("least").alias("component")))
 
 
 def ambiguous_classes(colours: DataFrame, members: DataFrame, edges: DataFrame, types: DataFrame, most: int = 128) -> DataFrame:
@@ -120,22 +136,25 @@ def ambiguous_classes(colours: DataFrame, members: DataFrame, edges: DataFrame,
     return rows.select("step_id", F.concat(F.lit("C:"), F.sha2(text, 256)).alias("class_id"))
 
 
-def rooted_owners(entities: DataFrame, refs: DataFrame, steps: DataFrame, max_hops: int = 32) -> DataFrame:
+def rooted_owners(entities: DataFrame, refs: DataFrame, steps: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(step_id, owner): the identified entities from which each of ``steps`` is reached along references.
 
     The search goes backwards, starts at the steps asked for only, and ends
-    when a round adds nothing. An entity with an identifier owns itself.
+    when a round adds nothing, at any depth. An entity with an identifier owns
+    itself. Owners go by ``ids(step_id, entity_id)`` where given.
     """
     back = refs.select(F.col("target_step").alias("at"), "source_step").distinct()
     seen = stored(steps.select("step_id", F.col("step_id").alias("at")).distinct(), "seen")
     front = seen
-    for _ in range(max_hops):
+    while True:
         front = front.join(back, "at").select("step_id", F.col("source_step").alias("at")).distinct()
         front = stored(front.join(seen, ["step_id", "at"], "left_anti"), "front")
         if front.isEmpty():
             break
         seen = seen.union(front)
     named = entities.where("global_id IS NOT NULL AND global_id <> ''").select(F.col("step_id").alias("at"), F.concat(F.lit("G:"), "global_id").alias("owner"))
+    if ids is not None:
+        named = named.join(ids.select(F.col("step_id").alias("at"), "entity_id"), "at").select("at", F.col("entity_id").alias("owner"))
     return seen.join(named, "at").select("step_id", "owner").distinct()
 
 

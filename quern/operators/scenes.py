@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.plans.loops import connected
+from quern.plans.loops import connected, stored
 
 #: Least overlap of identifiers, and of contents, of files of one group; least distance of a neighbour in mm.
 GUID_OVERLAP, CONTENT_OVERLAP, LEAST_MM = 0.5, 0.6, 100.0
@@ -19,46 +19,48 @@ def hosting(voids: DataFrame, fills: DataFrame) -> DataFrame:
 
 
 def storeys_of(contained: DataFrame, parts: DataFrame) -> DataFrame:
-    """(element, storey): by containment, else through the whole that an element is part of.
+    """(element, storey): by containment, else through the whole that an element is part of, at any depth.
 
-    contained(element, storey), parts(whole, part).
+    contained(element, storey), parts(whole, part). It ends when a round adds nothing.
     """
-    through = parts.join(contained.withColumnRenamed("element", "whole"), "whole").select(F.col("part").alias("element"), "storey")
-    return contained.select("element", "storey").union(through.join(contained.select("element"), "element", "left_anti")).groupBy("element").agg(F.min("storey").alias("storey"))
+    found = front = stored(contained.groupBy("element").agg(F.min("storey").alias("storey")), "storeys")
+    while True:
+        through = parts.join(front.withColumnRenamed("element", "whole"), "whole").groupBy(F.col("part").alias("element")).agg(F.min("storey").alias("storey"))
+        front = stored(through.join(found.select("element"), "element", "left_anti"), "storeys")
+        if front.isEmpty():
+            return found
+        found = found.union(front)
 
 
-def nearest_named(points: DataFrame, named: DataFrame, least_mm: float = LEAST_MM, cell_mm: float = 1000.0, max_ring: int = 3) -> DataFrame:
+def nearest_named(points: DataFrame, named: DataFrame, least_mm: float = LEAST_MM, cell_mm: float = 1000.0) -> DataFrame:
     """(id, name) of the nearest of ``named(name, ord, x, y, z)`` at least ``least_mm`` from each of ``points(id, x, y, z)``.
 
-    Space is cut into cells; the cells around a point are searched in growing
-    cubes, and a name found within the searched distance is settled. Points
-    that find none in ``max_ring`` cubes, each twice as wide, are compared
-    with all names in blocks. Ties go to the first name in order.
+    Space is cut into cells; the cells around a point are searched, and a name
+    found within the searched distance is settled. Points that find none are
+    searched for again with cells twice as wide, until the cells are as wide
+    as all points and names lie apart. Ties go to the first name in order.
     """
-    from quern.plans.loops import stored
-
     names = named.where("name IS NOT NULL AND name <> ''").where(~F.col("name").rlike("^.+#[0-9]+$"))
     left, settled = points.select("id", "x", "y", "z"), None
     away = F.sqrt(sum((F.col(c) - F.col(f"n{c}")) * (F.col(c) - F.col(f"n{c}")) for c in "xyz"))
     renamed = names.select("name", "ord", *(F.col(c).alias(f"n{c}") for c in "xyz"))
-    size = cell_mm
-    for _ in range(max_ring):
+    ends = points.select("x", "y", "z").union(names.select("x", "y", "z")).agg(*(F.max(c) - F.min(c) for c in "xyz")).first()
+    size, span = cell_mm, max((e or 0.0 for e in ends), default=0.0)
+    while True:
         grid = renamed.select("*", *(F.floor(F.col(f"n{c}") / size).alias(f"c{c}") for c in "xyz"))
         around = left
         for d in ("dx", "dy", "dz"):
             around = around.withColumn(d, F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
         around = around.select("id", "x", "y", "z", (F.floor(F.col("x") / size) + F.col("dx")).alias("cx"), (F.floor(F.col("y") / size) + F.col("dy")).alias("cy"), (F.floor(F.col("z") / size) + F.col("dz")).alias("cz"))
         met = around.join(grid, ["cx", "cy", "cz"]).withColumn("away", away).where(F.col("away") >= least_mm)
-        best = met.groupBy("id").agg(F.min(F.struct("away", "ord", "name")).alias("best")).where(F.col("best.away") <= size)
+        best = met.groupBy("id").agg(F.min(F.struct("away", "ord", "name")).alias("best"))
+        best = best.where(F.col("best.away") <= size) if size <= span else best
         best = stored(best.select("id", F.col("best.name").alias("name")), "nearest")
         settled = best if settled is None else settled.union(best)
         left = stored(left.join(best, "id", "left_anti"), "left")
-        if left.isEmpty():
+        if size > span or left.isEmpty():
             return settled
         size *= 2
-    met = left.join(renamed, away >= least_mm, "inner")
-    rest = met.groupBy("id").agg(F.min(F.struct(away.alias("away"), "ord", "name")).alias("best"))
-    return settled.union(rest.select("id", F.col("best.name").alias("name")))
 
 
 def file_overlaps(items: DataFrame) -> DataFrame:
@@ -74,9 +76,19 @@ def file_overlaps(items: DataFrame) -> DataFrame:
     return met.select("a", "b", "shared", (F.col("shared") / (F.col("ka") + F.col("kb") - F.col("shared"))).alias("jaccard"), (F.col("both") / (F.col("ta") + F.col("tb") - F.col("both"))).alias("multiset"))
 
 
-def file_groups(overlaps: DataFrame, least: float = GUID_OVERLAP) -> DataFrame:
-    """(node, component) of files joined by an overlap of at least ``least``; ``overlaps`` has long a and b."""
-    return connected(overlaps.where(F.col("jaccard") >= least).select("a", "b"))
+def file_groups(overlaps: DataFrame, least: float = GUID_OVERLAP, contents: DataFrame | None = None, least_content: float = CONTENT_OVERLAP) -> DataFrame:
+    """(node, component) of files joined by an overlap of identifiers of at least ``least``.
+
+    With ``contents``, overlaps of what the files hold, files that no
+    identifiers join are joined by a multiset overlap of ``least_content``.
+    """
+    found = connected(overlaps.where(F.col("jaccard") >= least).select("a", "b"))
+    if contents is None:
+        return found
+    alone = contents.where(F.col("multiset") >= least_content)
+    for c in ("a", "b"):
+        alone = alone.join(found.select(F.col("node").alias(c)), c, "left_anti")
+    return found.union(connected(alone.select("a", "b")))
 
 
 def version_pairs(files: DataFrame) -> DataFrame:

@@ -30,17 +30,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def least_reachable(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(node, least): the least node reached from each node along directed edges (a, b), itself included."""
+def placed(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``position`` from 1 in the given order, numbered within ranges.
+
+    Rows are dealt to tasks by sampled ranges of the order, counted and sorted
+    there; no task sorts more than its range, however ids are spelled, and
+    only the number of rows of each range reaches the driver.
+    """
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The id that Spark gives a row: the task in the upper bits, the place within it in the lower 33.
+    ranged = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    counts = ranged.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("_n")).collect()
+    before, total = [], 0
+    for r in sorted(counts, key=lambda r: r["_range"]):
+        before.append((r["_range"], total))
+        total += r["_n"]
+    starts = F.broadcast(spark.createDataFrame(before, "_range long, _before long"))
+    out = ranged.withColumn("_range", F.shiftright("_at", 33)).join(starts, "_range")
+    return out.select(*rows.columns, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("position"))
+
+
+def least_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, least): the least node reached from each node along directed edges (a, b), itself included.
+
+    Each round takes the least label over edges and then that label's own
+    label, which is reached too, until no label changes.
+    """
     state = stored(nodes.select("node", F.col("node").alias("least")), "least")
-    for _ in range(max_rounds):
+    while True:
         offers = edges.join(state.select(F.col("node").alias("b"), "least"), "b").groupBy("a").agg(F.min("least").alias("offer"))
-        moved = state.join(offers, state["node"] == offers["a"], "left")
-        moved = stored(moved.select("node", F.least("least", "offer").alias("least"), (F.col("offer") < F.col("least")).alias("changed")), "least")
+        moved = state.join(offers, state["node"] == offers["a"], "left").select("node", "least", F.least("least", "offer").alias("to"))
+        jump = state.select(F.col("node").alias("to"), F.col("least").alias("further"))
+        moved = moved.join(jump, "to", "left").select("node", F.least("to", "further").alias("least"), (F.least("to", "further") < F.col("least")).alias("changed"))
+        moved = stored(moved, "least")
         state = moved.select("node", "least")
         if moved.where("changed").isEmpty():
-            break
-    return state
+            return state
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -246,7 +246,7 @@ def wl_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ITEMS = ("Orders", "Lineitem")
 
 
-@query(_with(graph_sql(("old",), _ITEMS), f"x AS (SELECT source_step AS line, target_step AS o FROM r WHERE path = '/Order' AND target_step IN (SELECT step_id FROM e))", select="SELECT step_id AS node, coalesce((SELECT min(o) FROM x WHERE line = step_id), step_id) AS component FROM e"))
+@query(_with(graph_sql(("old",), _ITEMS), f"x AS (SELECT source_step AS line, target_step AS o FROM r WHERE path = '/Order' AND target_step IN (SELECT step_id FROM e))", "m AS (SELECT line, min(o) AS o FROM x GROUP BY line)", select="SELECT step_id AS node, coalesce(m.o, step_id) AS component FROM e LEFT JOIN m ON m.line = step_id"))
 def scc_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strong components of orders and their lines, which refer to each other."""
     entities, refs = graph(spark, sf_dir, kinds=_ITEMS)

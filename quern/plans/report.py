@@ -52,3 +52,27 @@ def scene_summary(elements: DataFrame, top: int = 5) -> list[str]:
     ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("storey").orderBy(F.desc("n"), "category"))).where(F.col("rank") <= top)
     listed = ranked.groupBy("storey").agg(F.array_sort(F.collect_list(F.struct("rank", "category", "n"))).alias("c")).orderBy(F.col("storey").asc_nulls_first())
     return [f"{r.storey or '(none)'}: " + ", ".join(f"{x.n} {x.category}" for x in r.c) for r in listed.collect()]
+
+
+def folder_report(pairs: list[tuple[str, str, str]], reports: list[str], title: str = "Versions") -> str:
+    """Reports of the pairs (old, new, kind) of a folder as one text, with a list of them first."""
+    lines = [f"# {title}", "", *(f"{i}. {old} to {new} ({kind})" for i, (old, new, kind) in enumerate(pairs, 1)), ""]
+    for (old, new, _), text in zip(pairs, reports):
+        lines += [f"## {old} to {new}", "", *(f"#{x}" if x.startswith("#") else x for x in text.split("\n")[1:])]
+    return "\n".join(lines)
+
+
+def change_summary(changes: DataFrame, shown: int = 10) -> list[str]:
+    """Console lines: counts by operation, then the most common types of each."""
+    counts = {r["op"]: r["n"] for r in changes.groupBy("op").agg(F.count("*").alias("n")).collect()}
+    lines = [", ".join(f"{n} {op}" for op, n in sorted(counts.items())) or "no changes"]
+    for op in sorted(counts):
+        rows = class_breakdown(changes.where(F.col("op") == op), "entity_type", shown).collect()
+        lines.append(f"{op}: " + ", ".join(f"{r.n} {r.entity_type}" for r in rows))
+    return lines
+
+
+def inspection(entities: DataFrame, top: int = 15) -> dict[str, list[tuple[str, int]]]:
+    """The most common types of a graph, and of its relationships."""
+    relation = F.col("entity_type").startswith("IfcRel")
+    return {name: [(r.entity_type, r.n) for r in class_breakdown(entities.where(test), "entity_type", top).collect()] for name, test in (("types", ~relation), ("relations", relation))}

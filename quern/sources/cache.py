@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quern import __version__
 from quern.operators.hashing import profiled
-from quern.sources.step import read_step
+from quern.sources.schema import Schema
+from quern.sources.step import File, read_graph, read_step
 
 #: Entries that are kept; the ones written first go.
 MAX_ENTRIES = 64
@@ -26,7 +27,7 @@ def _fs(spark: SparkSession, folder: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def cached_graph(spark: SparkSession, path: str, cache: str, profile: str = "semantic_stable", attribute_names: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def cached_graph(spark: SparkSession, path: str, cache: str, profile: str = "semantic_stable", schema: Schema | None = None) -> tuple[DataFrame, DataFrame]:
     """The graph of a file as the profile sees it, from the cache folder if it has been read before.
 
     Tables are written beside and renamed, so a reader never sees half of one.
@@ -34,7 +35,7 @@ def cached_graph(spark: SparkSession, path: str, cache: str, profile: str = "sem
     place = f"{cache.rstrip('/')}/{content_key(spark, path, profile)}"
     target, fs = _fs(spark, place)
     if not fs.exists(target):
-        entities, refs = profiled(*read_step(spark, path, attribute_names), profile)
+        entities, refs = profiled(*read_step(spark, path, schema), profile)
         entities.write.mode("overwrite").parquet(f"{place}.part/entities")
         refs.write.mode("overwrite").parquet(f"{place}.part/refs")
         part, _ = _fs(spark, f"{place}.part")
@@ -54,3 +55,20 @@ def evict(spark: SparkSession, cache: str, most: int = MAX_ENTRIES) -> None:
 def clear_cache(spark: SparkSession, cache: str) -> None:
     path, fs = _fs(spark, cache)
     fs.delete(path, True)
+
+
+#: Graphs read by this process, by path, time and length of the file; the first ones read go.
+_KEPT: dict[tuple, File] = {}
+MOST_KEPT = 32
+
+
+def kept_graph(spark: SparkSession, path: str, schema: Schema | None = None) -> File:
+    """The graph of a file, parsed once in a process as long as the file stays as it is."""
+    status = _fs(spark, path)
+    status = status[1].getFileStatus(status[0])
+    key = status.getPath().toString(), status.getModificationTime(), status.getLen(), spark.sparkContext.applicationId
+    if key not in _KEPT:
+        _KEPT[key] = read_graph(spark, path, schema)
+        for old in [*_KEPT][: max(0, len(_KEPT) - MOST_KEPT)]:
+            del _KEPT[old]
+    return _KEPT[key]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.plans.loops import placed
+
 _JSON = {"ignoreNullFields": "false"}
 
 
@@ -37,28 +39,17 @@ def ndjson(changes: DataFrame, markers: DataFrame, change: Column, marker: Colum
 
 
 def serialized(rows: DataFrame, id_col: str, record: Column) -> DataFrame:
-    """(position, record): text records in order of tier (G, H, C, other) and id.
-
-    Tiers and the first characters of ids are ranges in that order; rows are
-    numbered within a range, after the rows of the ranges before.
-    """
-    from pyspark.sql import Window as W
-
+    """(position, record): text records in order of tier (G, H, C, other) and id."""
     tier = F.when(F.col(id_col).startswith("G:"), 0).when(F.col(id_col).startswith("H:"), 1).when(F.col(id_col).startswith("C:"), 2).otherwise(3)
-    keyed = rows.select(tier.alias("t"), F.col(id_col).alias("i"), record.alias("record")).withColumn("r", F.concat(F.col("t").cast("string"), F.substring("i", 1, 5)))
-    counts = keyed.groupBy("r").agg(F.count("*").alias("c"))
-    before = counts.select("r", (F.sum("c").over(W.orderBy("r")) - F.col("c")).alias("before"))
-    at = F.col("before") + F.row_number().over(W.partitionBy("r").orderBy("i", "record"))
-    return keyed.join(before, "r").select(at.cast("long").alias("position"), "record")
+    keyed = rows.select(tier.alias("tier"), F.col(id_col).alias("id"), record.alias("record"))
+    return placed(keyed, "tier", "id", "record").select("position", "record")
 
 
 def sections(report: DataFrame, item: Column) -> DataFrame:
-    """(section, position, value) of a signature report: added, deleted, modified, unchanged, each in order of class and steps."""
-    from pyspark.sql import Window as W
-
+    """(section, position, value) of a signature report: added, deleted, modified, unchanged, each in order of class and steps; positions run through all."""
     rank = F.create_map(*(F.lit(x) for kv in (("added", 0), ("deleted", 1), ("modified", 2), ("unchanged", 3)) for x in kv))[F.col("section")]
-    order = W.partitionBy("section", "canonical_class").orderBy("old_step", "new_step")
-    return report.select(rank.alias("rank"), "section", "canonical_class", F.row_number().over(order).alias("position"), F.to_json(item).alias("value"))
+    rows = report.select(rank.alias("rank"), "section", "canonical_class", "old_step", "new_step", F.to_json(item, _JSON).alias("value"))
+    return placed(rows, "rank", "canonical_class", "old_step", "new_step").select("section", "position", "value")
 
 
 def chunks(rows: DataFrame, position: str, item: Column, chunk_size: int = 1000, clamp: bool = False) -> DataFrame:
@@ -76,6 +67,42 @@ def chunks(rows: DataFrame, position: str, item: Column, chunk_size: int = 1000,
     return grouped.select((F.col("chunk") * chunk_size).alias("offset"), "count", F.concat(F.lit("["), F.array_join("items", ","), F.lit("]")).alias("items"))
 
 
+def change_payload() -> Column:
+    """What a line says of a change; snapshots are left out of streams."""
+    found = F.struct(F.col("stability_tier"), F.col("match_method"), F.col("match_confidence"))
+    owners = F.struct(F.col("owner_sample").alias("sample"), F.col("owner_total").alias("total"))
+    classes = F.when(F.col("class_id").isNotNull(), F.struct(F.col("class_id").alias("id"), "old_count", "new_count"))
+    return F.struct("change_id", "op", "old_entity_id", "new_entity_id", found.alias("identity"), "field_ops", owners.alias("rooted_owners"), "change_categories", classes.alias("equivalence_class"))
+
+
+def replay(found, mode: str = "ndjson", chunk_size: int = 1000) -> DataFrame:
+    """A finished comparison as lines (rank, position, value): header, changes, markers and the end; or header and chunks of either kind."""
+    if mode not in ("ndjson", "chunked_json"):
+        raise ValueError(f"Unknown stream mode: {mode}")
+    if chunk_size <= 0:
+        raise ValueError("chunk_size must be positive")
+    from quern.plans.diff import header_json
+
+    spark = found.changes.sparkSession
+    head = spark.createDataFrame([(0, 0, '{"event":"header","header":' + header_json(found) + "}")], "rank int, position long, value string")
+    order = [c for c in ("relation_type", "child_id") if c in found.markers.columns]
+    markers = placed(found.markers, *order)
+    marker = F.struct(*found.markers.columns)
+    if mode == "ndjson":
+        parts = [event_lines("base_change", found.changes, "position", change_payload()), event_lines("derived_marker", markers, "position", marker), end_line(found.changes)]
+    else:
+        parts = []
+        for kind, rows, item in (("base_changes", found.changes, change_payload()), ("derived_markers", markers, marker)):
+            listed = chunks(rows, "position", F.to_json(item, _JSON), chunk_size)
+            text = F.concat(F.lit(f'{{"event":"{kind}","offset":'), F.col("offset").cast("string"), F.lit(',"count":'), F.col("count").cast("string"), F.lit(',"items":'), "items", F.lit("}"))
+            parts.append(listed.select(F.lit(kind).alias("section"), (F.col("offset") + 1).cast("long").alias("position"), text.alias("value")))
+        parts.append(end_line(found.changes))
+    out = head
+    for rank, part in enumerate(parts, 1):
+        out = out.unionByName(part.select(F.lit(rank).alias("rank"), F.col("position").cast("long").alias("position"), "value"))
+    return out
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """The feed as text files; range-partitioned by place, so files in name order are the feed in order."""
     lines.repartitionByRange("rank", "position").sortWithinPartitions("rank", "position").select("value").write.text(path)

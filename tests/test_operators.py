@@ -350,17 +350,129 @@ END-ISO-10303-21;
 def test_step_source(spark, tmp_path):
     path = tmp_path / "a.ifc"
     path.write_text(STEP)
-    entities, refs = read_step(spark, str(path), {"IFCWALL": ["GlobalId", "OwnerHistory", "Name"]})
+    entities, refs = read_step(spark, str(path))
     rows = {r.step_id: r for r in entities.collect()}
-    assert rows[1].global_id == "GUID1" and rows[1].attributes["Name"] == '{"kind":"string","value":"It\'s; a wall"}'
-    assert rows[1].attributes["arg6"] == '{"kind":"simple","type":"IFCLABEL","value":{"kind":"string","value":"x"}}'
+    assert rows[1].entity_type == "IfcWall" and rows[1].global_id == "GUID1" and rows[1].attributes["Name"] == '{"kind":"string","value":"It\'s; a wall"}'
+    assert rows[1].attributes["ObjectType"] == '{"kind":"ref","id":2}'.replace('"kind":"ref","id":2', '"id":2,"kind":"ref"')
+    assert rows[1].attributes["Representation"] == '{"kind":"simple","type":"IfcLabel","value":{"kind":"string","value":"x"}}'
     assert rows[1].time_stamp == "2024-05-01T10:00:00" and rows[2].ord == 1
-    assert {(r.source_step, r.path, r.target_step, r.target_type) for r in refs.collect()} == {(1, "/arg4", 2, "IFCOWNERHISTORY"), (2, "/arg1/0", 1, "IFCWALL"), (2, "/arg1/1", 3, None)}
-    assert set(step_index(STEP)) == {1, 2}
+    assert {(r.source_step, r.path, r.target_step, r.target_type) for r in refs.collect()} == {(1, "/ObjectType", 2, "IfcOwnerHistory"), (2, "/OwningApplication/0", 1, "IfcWall"), (2, "/OwningApplication/1", 3, None)}
+    assert {r.step_id: r.offset for r in step_index(spark, str(path)).collect()} == {1: STEP.index("#1="), 2: STEP.index("#2=")}
     with pytest.raises(ValueError, match="Unsupported schema"):
         parse_step(STEP.replace("IFC4", "IFC9"))
 
 
+def test_express_schema():
+    from quern.sources.schema import core_schema, express_schema
+
+    schema = express_schema("""SCHEMA X; TYPE IfcLabel = STRING; END_TYPE;
+    ENTITY IfcRoot ABSTRACT SUPERTYPE OF (ONEOF (IfcThing)); GlobalId : IfcGloballyUniqueId; Name : OPTIONAL IfcLabel; UNIQUE UR1 : GlobalId; END_ENTITY;
+    ENTITY IfcThing SUBTYPE OF (IfcRoot); Parts : SET [1:?] OF IfcRoot; Line : LIST OF REAL; INVERSE Up : SET OF IfcRoot FOR Parts; WHERE WR1 : TRUE; END_ENTITY; END_SCHEMA;""")
+    assert schema.attributes("IFCTHING") == [("GlobalId", None), ("Name", None), ("Parts", "set"), ("Line", "list")]
+    assert schema.name("IFCTHING") == "IfcThing" and schema.name("IFCLABEL") == "IfcLabel" and ("IfcThing", "IfcRoot") in schema.closure()
+    core = core_schema()
+    assert [n for n, _ in core.attributes("IFCWALLSTANDARDCASE")][-2:] == ["Tag", "PredefinedType"] and ("IfcDoor", "IfcProduct") in core.closure()
+    assert core.attributes("IFCNEWTHING", "0" * 22)[0] == ("GlobalId", None) and core.attributes("IFCNEWTHING", "no id") == []
+    assert core.name("IFCLENGTHMEASURE") == "IfcLengthMeasure" and core.name("IFCPLANEANGLEMEASURE") == "IfcPlaneAngleMeasure"
+
+
+MODEL = """ISO-10303-21;
+HEADER;
+FILE_NAME('m.ifc','2024-05-01T10:00:00',(''),(''),'','','');
+FILE_SCHEMA(('IFC4'));
+ENDSEC;
+DATA;
+#1=IFCOWNERHISTORY($,$,$,.ADDED.,$,$,$,{stamp});
+#2=IFCUNITASSIGNMENT((#3,#4));
+#3=IFCSIUNIT(*,.LENGTHUNIT.,.MILLI.,.METRE.);
+#4=IFCCONVERSIONBASEDUNIT(*,.PLANEANGLEUNIT.,'DEGREE',#5);
+#5=IFCMEASUREWITHUNIT(IFCPLANEANGLEMEASURE(0.0174532925),#6);
+#6=IFCSIUNIT(*,.PLANEANGLEUNIT.,$,.RADIAN.);
+#10=IFCBUILDINGSTOREY('0000000000000000000001',#1,'EG',$,$,$,$,$,.ELEMENT.,0.);
+#11=IFCBUILDINGSTOREY('0000000000000000000002',#1,'OG',$,$,$,$,$,.ELEMENT.,3.);
+#20=IFCWALL('0000000000000000000003',#1,'{name}',$,$,#30,#40,'T',$);
+#21=IFCRELCONTAINEDINSPATIALSTRUCTURE('0000000000000000000004',#1,$,$,(#20),#{storey});
+#30=IFCLOCALPLACEMENT($,#31);
+#31=IFCAXIS2PLACEMENT3D(#32,$,$);
+#32=IFCCARTESIANPOINT(({x},0.,0.));
+#40=IFCPRODUCTDEFINITIONSHAPE($,$,(#41));
+#41=IFCSHAPEREPRESENTATION($,'Body','{form}',({items}));
+#50=IFCPOLYLINE((#51,#52));
+#51=IFCCARTESIANPOINT((0.,0.));
+#52=IFCCARTESIANPOINT((1.,2.));
+#60=IFCPROPERTYSINGLEVALUE('Height',$,IFCLENGTHMEASURE({height}),$);
+{more}
+ENDSEC;
+END-ISO-10303-21;
+"""
+
+
+def model(path, **changed):
+    values = {"stamp": 1, "name": "Wall", "storey": 10, "x": "5.", "form": "Curve", "items": "#50", "height": "2500.", "more": ""} | changed
+    path.write_text(MODEL.format(**values))
+    return str(path)
+
+
+def test_units_and_measures(spark, tmp_path):
+    from quern.sources.step import read_graph, unit_table
+
+    path = model(tmp_path / "m.ifc")
+    entities, _ = read_step(spark, path)
+    assert {r.unit_type: r.factor for r in unit_table(entities).collect()} == {"LENGTHUNIT": 0.001, "PLANEANGLEUNIT": pytest.approx(0.0174532925)}
+    by = {r.step_id: r for r in entities.collect()}
+    assert by[60].attributes["NominalValue"] == '{"kind":"simple","type":"IfcLengthMeasure","value":{"kind":"real","value":"2.5"}}'
+    assert '"kind":"set"' in by[21].attributes["RelatedElements"] and '"kind":"list"' in by[50].attributes["Points"]
+    file = read_graph(spark, path, quantised=True)
+    assert file.schema == "IFC4" and file.units["LENGTHUNIT"] == 0.001
+    assert {r.attributes["Coordinates"] for r in file.graph[0].where("step_id = 52").collect()} == {'{"items":[{"kind":"real_q","value":1000000},{"kind":"real_q","value":2000000}],"kind":"list"}'}
+
+
+def test_files_from_end_to_end(spark, tmp_path, capsys, monkeypatch):
+    import json
+
+    from quern import __main__ as command
+
+    monkeypatch.setattr(command, "ship", lambda spark: None)
+    old, new = model(tmp_path / "a.ifc"), model(tmp_path / "b.ifc", stamp=2, name="Wall 2", storey=11)
+    assert command.main([old, new, "--stream", "ndjson"]) == 0
+    lines = [json.loads(x) for x in capsys.readouterr().out.strip().split("\n")]
+    assert [x["event"] for x in lines] == ["header", "base_change", "base_change", "derived_marker", "end"]
+    # The owner history differs, which the profile leaves out; the wall has another name and storey.
+    assert lines[0]["header"]["schema_policy"]["old_schema"] == "IFC4" and lines[0]["header"]["stats"]["matched"] == 19
+    assert [f["path"] for f in lines[1]["data"]["field_ops"]] == ["/attributes/Name/value"]
+    assert [f["path"] for f in lines[2]["data"]["field_ops"]] == ["/attributes/RelatingStructure/id", "/refs/1/target"]
+    assert lines[3]["data"]["marker_type"] == "REPARENT" and lines[3]["data"]["old_parent_id"].endswith("1") and lines[3]["data"]["source_change_ids"] == ["chg-000001", "chg-000002"]
+    assert command.main([old, old]) == 0 and capsys.readouterr().out == "no changes\n"
+    assert command.main([old, model(tmp_path / "c.ifc", more="#70=IFCDOOR('0000000000000000000003',$,$,$,$,$,$,$,$,$,$,$,$);")]) == 1 and "GUID policy" in capsys.readouterr().err
+
+
+def test_model_engine(spark, tmp_path):
+    from quern.plans.model import model_diff_files, section_lines
+
+    old, new = model(tmp_path / "a.ifc"), model(tmp_path / "b.ifc", x="5.25", more="#70=IFCDOOR('0000000000000000000009',$,$,$,$,$,$,$,$,$,$,$,$);")
+    report, diagnostics = model_diff_files(spark, old, new)
+    rows = {(r.section, r.old_step, r.new_step): r for r in report.collect()}
+    assert diagnostics["sections"] == {"added": 1, "deleted": 0, "modified": 1, "unchanged": 2} and diagnostics["guid_collisions"] == {"old": 0, "new": 0}
+    moved = rows["modified", 20, 20]
+    assert moved.placement and not moved.geometry and moved.placement_delta_mm == 250.0
+    lines = section_lines(report).orderBy("position").collect()
+    assert [r.section for r in lines] == ["added", "modified", "unchanged", "unchanged"] and [r.position for r in lines] == [1, 2, 3, 4]
+
+
+def test_geometry_policy(spark, tmp_path):
+    """The same points by another form of representation are a change, or none by invariants."""
+    from quern.sources.step import read_graph
+
+    other = "#53=IFCCARTESIANPOINT((0.,0.));\n#54=IFCCARTESIANPOINT((1.,2.));\n#55=IFCTRIMMEDTHING((#53,#54));\n#42=IFCPRODUCTDEFINITIONSHAPE('other',$,(#43));\n#43=IFCSHAPEREPRESENTATION($,'Body','Other',(#55));"
+    a = read_graph(spark, model(tmp_path / "a.ifc")).graph
+    text_ = MODEL.replace("#30,#40,'T'", "#30,#42,'T'").format(stamp=1, name="Wall", storey=10, x="5.", form="Curve", items="#50", height="2500.", more=other)
+    (tmp_path / "b.ifc").write_text(text_)
+    b = read_graph(spark, str(tmp_path / "b.ifc")).graph
+    strict, probe = (graph_diff(a, b, geometry_policy=p).changes.where("op = 'MODIFY'").collect() for p in ("strict_syntax", "invariant_probe"))
+    assert [r.old_entity_id for r in strict] == ["G:0000000000000000000003"] and strict[0].change_categories == ["ATTRIBUTES", "GEOMETRY", "RELATIONSHIP"]
+    assert probe == []
+
+
 def test_cache(spark, tmp_path):
     from quern.sources.cache import cached_graph, clear_cache
 
@@ -464,3 +576,102 @@ def test_same_graph_and_report(spark):
     assert scene_summary(spark.createDataFrame([("F0", "wall"), ("F0", "wall"), (None, "door")], "storey string, category string")) == ["(none): 1 door", "F0: 2 wall"]
     assert environment_fingerprint().startswith('{"python"')
     assert scenes.group_label(["house_v1.ifc", "house_v2.ifc"]) == "house"
+
+
+# --- nothing is cut off -----------------------------------------------------------------------------
+
+
+def test_long_chains(spark):
+    from quern.operators.geometry import reachable
+
+    n = 38
+    e, r = make(spark, [(i, "IfcThing", "A" if i == 0 else None, {"k": str(i)}) for i in range(n)], [(i, "/next", i + 1) for i in range(n - 1)])
+    owners = {x.step_id: x.owner for x in refinement.rooted_owners(e, r, e.select("step_id").where("step_id IN (30, 37)")).collect()}
+    assert owners == {30: "G:A", 37: "G:A"}
+    assert reachable(e.where("step_id = 0").select("step_id"), r).count() == n
+    start = spark.createDataFrame([(0, 0)], "old_step long, new_step long")
+    assert matching.propagate(start, (e, r), (e, r)).count() == n - 1
+
+
+def test_deep_parts_are_hashed_alike(spark):
+    """Two chains of 68 parts, with other steps: their hashes are the same at every depth."""
+    n = 68
+    e, r = make(spark, [(base + i, "IfcThing", None, {"k": str(i)}) for base in (0, 1000) for i in range(n)], [(base + i, "/next", base + i + 1) for base in (0, 1000) for i in range(n - 1)])
+    found = {x.step_id: x.hash for x in hashing.merkle_hashes(e, r.select("source_step", F.col("path").alias("label"), "target_step")).collect()}
+    assert all(found[i] == found[1000 + i] for i in range(n)) and len(set(found.values())) == n
+
+
+def test_strong_components_are_brute_force(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(60)] + [(40 + i, 41 + i) for i in range(19)] + [(55, 50)]
+    reach = {v: {v} for v in range(60)}
+    for _ in range(60):
+        for a, b in edges:
+            reach[a] |= reach[b]
+    want = {v: min(x for x in reach[v] if v in reach[x]) for v in reach}
+    found = refinement.strong_components(spark.range(60).toDF("node"), spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.component for r in found.collect()} == want
+
+
+def test_numbers_of_many_changes(spark):
+    rows = spark.range(1_000_002).select(F.lit("ADD").alias("op"), F.lit(None).cast("string").alias("old_entity_id"), F.format_string("G:%09d", "id").alias("new_entity_id"), F.lit(1).alias("n"))
+    found = changes.with_change_ids(rows)
+    assert found.select("change_id").distinct().count() == 1_000_002
+    assert {(r.new_entity_id, r.change_id) for r in found.where("position IN (1, 1000000, 1000002)").collect()} == {("G:000000000", "chg-000001"), ("G:000999999", "chg-1000000"), ("G:001000001", "chg-1000002")}
+
+
+def test_counts_are_taken_anew_each_hop(spark):
+    """A target matched elsewhere no longer counts, one with an identifier does."""
+    e, r = make(spark, [(1, "A", "R1", {}), (2, "A", "R2", {}), (3, "P", None, {}), (4, "P", None, {}), (5, "B", None, {}), (6, "Q", None, {}), (7, "Q", "R7", {})], [(1, "/b", 5), (5, "/p", 3), (5, "/p", 4), (2, "/p", 3), (1, "/q", 6), (1, "/q", 7)])
+    start = spark.createDataFrame([(1, 1), (2, 2)], "old_step long, new_step long")
+    # 3 comes from 2, 5 from 1; then 4 is the only open target of 5. Of 6 and 7 none is the only one.
+    assert pairs(matching.propagate(start, (e, r), (e, r)).select("old_step", "hop")) == {(3, 1), (5, 1), (4, 2)}
+
+
+def test_deeper_likeness_and_residual_blocks(spark):
+    """Two alike entities under different grand-parents are told apart at depth 2; a row whose block key has no counterpart is tried with its family."""
+    def graph_of(swap, base):
+        a, b = (11, 10) if swap else (10, 11)
+        e = [(1, "IfcDoor", "G1", {}), (2, "IfcWindow", "G2", {}), (base + a, "IfcHolder", None, {"k": "1"}), (base + b, "IfcHolder", None, {"k": "1"}), (base + 20, "IfcProxy", None, {"t": "x"}), (base + 21, "IfcProxy", None, {"t": "x"})]
+        r = [(1, "/d", base + 10), (2, "/w", base + 11), (base + 10, "/p", base + 20), (base + 11, "/p", base + 21)]
+        return make(spark, e, r)
+
+    old, new = graph_of(False, 0), graph_of(False, 100)
+    wanted = [g[0].where("entity_type = 'IfcProxy'") for g in (old, new)]
+    rows = [matching.features(*g, w) for g, w in zip((old, new), wanted)]
+    assert matching.secondary_match(*rows).ambiguous_count == 2
+    found = matching.secondary_match(*rows, graphs=(old, new))
+    assert pairs(found.pairs.select("old_step", "new_step", "depth")) == {(20, 120, 2), (21, 121, 2)} and found.ambiguous_count == 0
+    deep = {x.step_id: x for x in matching.deep_features(*old, wanted[0]).collect()}
+    assert deep[20].ancestry2 != deep[21].ancestry2 and deep[20].depth3 == deep[21].depth3
+    a = make(spark, [(1, "IfcBeam", None, {"Tag": "b", "l": "1"}), (9, "IfcX", None, {})], [(1, "/x", 9), (1, "/y", 9), (1, "/z", 9), (1, "/z", 9)])
+    b = make(spark, [(2, "IfcBeam", None, {"Tag": "b", "l": "1"}), (9, "IfcX", None, {})], [(2, "/x", 9)])
+    rows = [matching.features(*g, g[0].where("entity_type = 'IfcBeam'")) for g in (a, b)]
+    assert [(r.block, r.old_step, r.new_step) for r in matching.secondary_match(*rows).pairs.collect()] == [("IfcBeam|residual", 1, 2)]
+
+
+def test_whole_result(spark):
+    """Field operations go down to the value; owners, identities, snapshots, header and replayed lines."""
+    import json
+
+    from quern.plans.report import change_summary, folder_report, inspection
+    from quern.streaming.feed import replay
+
+    seen = []
+    old = make(spark, [(1, "IfcWall", "A", {"Name": "x", "P": "1"}), (5, "IfcPoint", None, {"c": "9"}), *((i, "IfcWall", f"R{i}", {"Name": f"r{i}"}) for i in range(10, 16))], [(i, "/p", 5) for i in range(10, 16)])
+    new = make(spark, [(1, "IfcWall", "A", {"Name": "y", "Q": "1"}), *((i, "IfcWall", f"R{i}", {"Name": f"r{i}"}) for i in range(10, 16))])
+    found = graph_diff(old, new, progress=seen.append)
+    by = {(r.op, r.old_entity_id or r.new_entity_id): r for r in found.changes.collect()}
+    wall = by["MODIFY", "G:A"]
+    assert [(f.path, f.op, f.old, f.new) for f in wall.field_ops] == [("/attributes/Name/value", "replace", '"x"', '"y"'), ("/attributes/P", "remove", '{"kind":"string","value":"1"}', None), ("/attributes/Q", "add", None, '{"kind":"string","value":"1"}')]
+    (gone,) = [r for r in by.values() if r.op == "REMOVE"]
+    assert gone.owner_total == 6 and gone.owner_sample == [f"G:R{i}" for i in range(10, 15)] and json.loads(gone.old_snapshot)["entity_type"] == "IfcPoint"
+    assert wall.match_method == "exact_guid" and wall.match_confidence == 1.0 and wall.stability_tier == "G"
+    assert found.header["stats"]["matched_by_method"] == {"exact_guid": 7} and found.header["stats"]["guid_quality"]["old"]["unique_valid"] == 7
+    assert [e["stage"] for e in seen if e["status"] == "done"] == list(found.timings) and seen[-1]["overall_progress"] == 1.0
+    lines = [json.loads(r.value) for r in replay(found, "chunked_json", 3).orderBy("rank", "position").collect()]
+    assert lines[0]["header"]["version"] == "2" and lines[1]["count"] == 3 and lines[1]["items"][0]["change_id"] == "chg-000001"
+    with pytest.raises(ValueError):
+        replay(found, "chunked_json", 0)
+    assert change_summary(found.changes)[0] == "7 MODIFY, 1 REMOVE" and inspection(old[0])["types"] == [("IfcWall", 7), ("IfcPoint", 1)]
+    assert "1. a to b (step)" in folder_report([("a", "b", "step")], ["# t\n\ntext"])
