@@ -159,11 +159,13 @@ def graph_diff(
         remap = stored(matching.root_remap(old, new).select("old_step", "new_step"), "remap")
         ids = stored(changes_applied(ids, _with_new_ids(remap, new_ids, "root_remap")), "ids")
     for _ in clock.stage("text_fingerprint"):
-        plain = []
-        for i, g in ((ids, old), (new_ids, new)):
+        plain, none = [], ids.select("step_id", "hash", F.lit("").alias("near")).limit(0)
+        unnamed = all(not g[0].where("global_id IS NULL").isEmpty() for g in (old, new))
+        for i, g in ((ids, old), (new_ids, new)) if unnamed else ():
             hashes = i.join(g[0].where("global_id IS NULL").select("step_id"), "step_id", "left_semi").select("step_id", "hash")
             every = i.select("step_id", "hash")
             plain.append(stored(hashes.join(matching.neighbour_signature(g[0], g[1], every), "step_id"), "fingerprints"))
+        plain = plain or [none, none]
         text = matching.fingerprint_pairs(*plain).union(matching.refined_pairs(*plain))
         text = stored(_with_new_ids(text, new_ids, "text_fingerprint", "confidence"), "text_pairs")
         ids = stored(changes_applied(ids, text), "ids")
@@ -175,10 +177,14 @@ def graph_diff(
         ids = stored(changes_applied(ids, path), "ids")
     for _ in clock.stage("secondary_match"):
         resolved = stored(identity.unique_pairs(ids, new_ids, "entity_id").select("old_step", "new_step"), "resolved")
-        rest = [matching.features(*g, g[0].select("step_id").join(resolved.select(F.col(c).alias("step_id")), "step_id", "left_anti")) for g, c in ((old, "old_step"), (new, "new_step"))]
-        secondary = matching.secondary_match(*rest, policy, (old, new))
-        ids = stored(changes_applied(ids, _with_new_ids(secondary.pairs, new_ids, "secondary_match", "score")), "ids")
-        ids, new_ids = (stored(_as_classes(i, matching.ambiguous_ids(secondary.ambiguous, k)), "ids") for i, k in ((ids, "old"), (new_ids, "new")))
+        rest = [stored(g[0].where("global_id IS NULL").select("step_id").join(resolved.select(F.col(c).alias("step_id")), "step_id", "left_anti"), "rest") for g, c in ((old, "old_step"), (new, "new_step"))]
+        if any(r.isEmpty() for r in rest):
+            spark = rest[0].sparkSession
+            secondary = matching.Secondary(spark.createDataFrame([], "block string, old_step long, new_step long, score double, depth int"), spark.createDataFrame([], "block string, side string, step_id long"), 0)
+        else:
+            secondary = matching.secondary_match(*(matching.features(*g, r) for g, r in zip((old, new), rest)), policy, (old, new))
+            ids = stored(changes_applied(ids, _with_new_ids(secondary.pairs, new_ids, "secondary_match", "score")), "ids")
+            ids, new_ids = (stored(_as_classes(i, matching.ambiguous_ids(secondary.ambiguous, k)), "ids") for i, k in ((ids, "old"), (new_ids, "new")))
 
     for _ in clock.stage("class_deltas"):
         deltas = stored(changes.class_deltas(ids, new_ids), "deltas")
