@@ -8,8 +8,8 @@ them prune files.
 
 The global position of a row is its position within a small group plus the
 number of rows before that group. Groups are cells, and a cell with more than
-``run`` rows is split by a hash of the id, so no task sorts a hot cell. There
-are at most ``2 ** (bits * dimensions)`` cells, whose table is broadcast.
+``run`` rows is split by a hash of the id, so no task sorts a hot cell. The
+table of cells is broadcast where it has at most 500,000 rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.llm._store import hinted, stored, veiled
+
 #: Modulus (a prime) and factor of the hash that splits a hot cell.
 SPLIT_MODULUS, SPLIT_FACTOR = 1_048_573, 2_654_435_761
 
@@ -90,10 +92,14 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     one; slots run from 0 without gaps within a shard. Within a cell rows are
     ordered by id, size and checksum; rows equal in all of them may swap.
     Null texts count as no bytes, null ids come first, null categories are
-    values of their own. Columns of ``docs`` that already have one of the
-    five names are replaced.
+    values of their own; texts of any length are whole, and an empty table
+    stays empty. Equal texts may go to several shards: the law is that counts
+    are even, which a large group of copies kept together would break.
+    Columns of ``docs`` that already have one of the five names are replaced,
+    others pass through whatever their names.
     """
-    rows = docs.drop("size", "text_crc32", "hilbert_index", "shard", "slot")
+    docs, (id_col, text_col, *categories), restored = veiled(docs.drop("size", "text_crc32", "hilbert_index", "shard", "slot"), id_col, text_col, *categories)
+    rows = docs
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = rows.withColumn("size", F.octet_length(text).cast("long") + 1).withColumn("text_crc32", F.crc32(text))
     rows = rows.withColumn("_c0", magnitude(F.col("size"), bits))
@@ -105,7 +111,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     cells = cells.select(*axes, curve_index([F.col(c) for c in axes], bits).alias("hilbert_index"), F.ceil(F.col("n") / run).alias("_parts"))
     mixed = F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(SPLIT_MODULUS)) * SPLIT_FACTOR + F.col("text_crc32")
     part = F.floor(F.pmod(mixed, F.lit(1 << 32)) * F.col("_parts") / float(1 << 32)).cast("long")
-    rows = rows.join(F.broadcast(cells), axes).withColumn("_part", part)
+    rows = rows.join(hinted(stored(cells, "cells"), 500_000), axes).withColumn("_part", part)
     groups = rows.groupBy("hilbert_index", "_part").agg(F.count("*").alias("_n"))
     ordered = W.orderBy("hilbert_index", "_part")
     before = F.sum("_n").over(ordered) - F.col("_n")
@@ -119,7 +125,8 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     shard = F.when(F.col("_at") < long_rows, F.floor(F.col("_at") / (base + 1))).otherwise(more + F.floor((F.col("_at") - long_rows) / F.greatest(base, F.lit(1))))
     rows = rows.withColumn("shard", shard.cast("int"))
     first = F.when(F.col("shard") < more, F.col("shard") * (base + 1)).otherwise(long_rows + (F.col("shard") - more) * base)
-    return rows.withColumn("slot", (F.col("_at") - first).cast("long")).drop("_at", "_total", "_before", "_part", "_parts", *axes)
+    rows = rows.withColumn("slot", (F.col("_at") - first).cast("long"))
+    return rows.select(*restored(), "size", "text_crc32", "hilbert_index", "shard", "slot")
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
