@@ -245,7 +245,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
     ``tokenizer`` is the path of the tokenizer file, there on every machine.
     A null or empty text encodes to no ids and decodes to the empty string.
-    Repeated rows are kept, null ids stay null, other columns are ignored.
+    Texts of any length are encoded whole. Repeated rows are kept, null ids
+    stay null, other columns are ignored, and an empty table gives an empty result.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,9 +8,10 @@ replaces the best so far only if its score is greater, candidates come in
 order of their start, a character without a piece of its own may be unknown
 at the least score less 10, and an unknown character counts as its bytes.
 
-Texts are cut before each word mark as the library's Metaspace does. Scores
-are integers, so sums are exact, and a distinct word is searched once for
-each Python worker, whose memory of words is bounded.
+Texts are cut before each word mark as the library's Metaspace does. A
+distinct word is searched once for each Python worker, whose memory of words
+is bounded. Where all scores are integers, a word's score and count are one
+number and a text's are one sum.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._store import small_batches
+from quern.llm._store import lean_memory, small_batches
 
 #: Fixed values of the tokenizer: the word mark and what an unknown character costs below the least score.
 MARK = "▁"
@@ -39,22 +40,24 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 class CountingViterbi:
-    """Maps words to ``score << 32 | count`` with the (never positive) score negated, so that sums add both."""
+    """Maps words to their score and count: ``-score << 32 | count`` where scores are integers, so that sums add both."""
 
     def __init__(self, pieces: list[tuple[str, float]], remembered: int) -> None:
-        if any(s != int(s) or s > 0 for _, s in pieces):
-            raise ValueError("scores must be integers that are not positive")
+        if any(s > 0 for _, s in pieces):
+            raise ValueError("scores must not be positive")
+        self.whole = all(s == int(s) for _, s in pieces)
+        number = int if self.whole else float
         if any(MARK in p[1:] for p, _ in pieces if set(p) != {MARK}):
             raise ValueError("a piece crosses a word mark")
         self.automaton = ahocorasick.Automaton()
         for p, s in dict(reversed(pieces)).items():
-            self.automaton.add_word(p, (len(p), int(s)))
+            self.automaton.add_word(p, (len(p), number(s)))
         self.automaton.make_automaton()
-        self.unknown = int(min(s for _, s in pieces)) - _UNKNOWN_PENALTY
+        self.unknown = number(min(s for _, s in pieces)) - _UNKNOWN_PENALTY
         self.remembered = remembered
-        self.known: dict[str, int] = {}
+        self.known: dict = {}
 
-    def search(self, word: str) -> tuple[int, int]:
+    def search(self, word: str) -> tuple[float, int]:
         """Best score and piece count of one word."""
         score, count = [0] * (len(word) + 1), [0] * (len(word) + 1)
         at = 0
@@ -88,21 +91,25 @@ class CountingViterbi:
             best = single = None
         return score[-1], count[-1]
 
-    def packed(self, word: str) -> int:
+    def recalled(self, word: str):
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= self.remembered:
                 self.known.clear()
             score, count = self.search(word)
-            found = self.known[word] = -score << 32 | count
+            found = self.known[word] = -score << 32 | count if self.whole else (score, count)
         return found
 
-    def document(self, text: str | None) -> tuple[int, int]:
+    def document(self, text: str | None) -> tuple[int, float]:
         """Token count and score of a whole text."""
         if not text:
             return 0, 0
         text = text.replace(MARK, " ")
-        total = sum(map(self.packed, [MARK + w for w in (text[1:] if text[0] == " " else text).split(" ")]))
+        found = map(self.recalled, [MARK + w for w in (text[1:] if text[0] == " " else text).split(" ")])
+        if not self.whole:
+            scores, counts = zip(*found)
+            return sum(counts), sum(scores)
+        total = sum(found)
         return total & 0xFFFFFFFF, -(total >> 32)
 
 
@@ -114,17 +121,19 @@ def _counter(path: str, remembered: int) -> CountingViterbi:
 def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 500_000) -> DataFrame:
     """``(id, n_tokens, score)`` for every row of ``docs``: the best segmentation's pieces and its score.
 
-    A null or empty text has no tokens and score 0. Repeated rows are kept,
-    null ids stay null, other columns are ignored.
+    A null or empty text has no tokens and score 0; texts and words of any
+    length are searched whole. Repeated rows are kept, null ids stay null,
+    other columns are ignored, and an empty table gives an empty result.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         counter = _counter(vocabulary_path, remembered)
         for b in batches:
             rows = [counter.document(t.as_py()) for t in b.column(1)]
             n, s = zip(*rows) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s, pa.int64())], ["id", "n_tokens", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(map(float, s), pa.float64())], ["id", "n_tokens", "score"])
 
     small_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return named.mapInArrow(task, "id long, n_tokens long, score long")
+    return named.mapInArrow(task, "id long, n_tokens long, score double")
