@@ -5,17 +5,20 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import catalog
 from quern.llm._components import components
-from quern.llm.embedding_collisions import near_duplicates
+from quern.llm.embedding_collisions import _band_keys, _pairs_of, near_duplicates
+from quern.llm.language_bigru import identify_languages
 from quern.llm.line_chunks import FACTOR, MODULUS, drop_repeated_chunks, drop_repeated_passages
 from quern.llm.mixture_raking import MARGINALS, _rake_frame, mix, mixing_plan, n_words, rake, topic_of
+from quern.llm.quality_ranker import score_quality, train_ranker
 from quern.llm.sharding_hilbert import curve_index, curve_table, hilbert_shards, write_shards
-from quern.llm.topk_mih import nearest_codes, sign_code
+from quern.llm.topk_mih import _segments, nearest_codes, sign_code
 
 from ..conftest import DATA
 from ..test_catalog import TABLES
@@ -95,6 +98,25 @@ def test_longer_vectors_cost_the_others_no_links(spark):
     assert {r.id: r.n_links for r in found if r.id >= 10_000} == {10_000: 0, 10_001: 1, 10_002: 1}
 
 
+@pytest.mark.parametrize("n", [10_000, 1_000_000, 100_000_000])
+def test_pairs_at_the_bound_share_a_block_at_any_size(n):
+    """Pairs of cosine 0.9 have a key in common, and enough collisions, whatever the size of the table."""
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.9 * x + math.sqrt(0.19) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    both = np.concatenate([x, y])
+    raw = pa.array([v.tobytes() for v in both], pa.binary())
+    ones = pa.array([1] * len(both), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ones, ones, raw, pa.array([512] * len(both), pa.int32()), pa.array([n] * len(both), pa.int64())], ["node", "size", "vec", "length", "n"])
+    keys = np.array(next(_band_keys(0.9, 0.995, "<f8", 17)(iter([batch]))).column(4).to_pylist())
+    shared = (keys[:1500] == keys[1500:]).any(1)
+    enough = [len(next(_pairs_of(both[[i, 1500 + i]], 0, np.zeros((2, 0), np.int64), 0.9 - 1e-9, 17), ([], []))[0]) for i in range(1500)]
+    assert shared.mean() >= 0.99 and np.mean(enough) >= 0.997
+
+
 def test_no_vectors(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -190,9 +212,30 @@ def test_nearest_codes_are_brute_force(spark):
 def test_sign_codes(spark):
     rows = [([1.0, -1.0, 0.5],), (None,), ([],), ([1.0, None],), ([float("nan")],), ([1.0] * 64,), ([1.0] * 65,)]
     got = [r[0] for r in spark.createDataFrame(rows, "v array<double>").select(sign_code(F.col("v"))).collect()]
-    assert got == [5, None, None, None, None, -1, None]
+    assert got == [[5], None, None, None, None, [-1], [-1, 1]]
 
 
+def test_nearest_long_vectors_are_brute_force(spark):
+    """Vectors of over 64 components, of several lengths: a component that one lacks is not over zero."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(120, 100))
+    x[60:] = x[:60] + rng.normal(size=(60, 100)) * 0.3
+    vectors = [[float(c) for c in v[: (100, 70, 3)[i % 3]]] for i, v in enumerate(x)]
+    table = spark.createDataFrame([(i, v, "clash", 1) for i, v in enumerate(vectors)], "id long, v array<double>, seg string, val int").withColumn("code", sign_code(F.col("v")))
+    got = {}
+    for r in nearest_codes(table.where("id % 10 = 0"), table, k=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.distance, r.neighbor_id))
+    bits = [{j for j, c in enumerate(v) if c > 0} for v in vectors]
+    for q in range(0, 120, 10):
+        near = sorted((len(bits[q] ^ b), i) for i, b in enumerate(bits) if i != q)[:5]
+        assert sorted(got[q]) == [(k + 1, d, i) for k, (d, i) in enumerate(near)]
+
+
+def test_segments_follow_the_table():
+    widths = [{w for *_, w in _segments(n, 1)} for n in (3, 500, 51_000, 10**7, 10**9, 10**12)]
+    assert widths[0] == {8} and widths[2] == {12, 13} and widths[4] == widths[5] == {21, 22}
+    assert all(sum(w for *_, w in _segments(n, 2)) == 128 for n in (1, 500, 10**7))
+
 # --- line chunks ------------------------------------------------------------------------------------
 
 
@@ -295,6 +338,36 @@ def test_stages(spark):
     assert stages["bpe"](spark, docs.limit(5), sf).columns == ["doc_id", "ids", "decoded"]
 
 
+def test_ids_that_repeat_or_lack(spark):
+    """Rows without an id, and those that share one, are told apart by their texts in the near-duplicate stage."""
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(5000)]
+    base = [[rng.choice(words) for _ in range(300)] for _ in range(6)]
+    near = [" ".join([*b[:150], "changed", *b[151:]]) for b in base]
+    text = [" ".join(b) for b in base]
+    rows = [(1, text[0]), (None, near[0]), (None, text[1]), (None, near[1]), (None, text[1]), (2, text[2]), (2, text[3]), (3, near[3]), (4, text[4]), (4, text[4]), (5, None), (6, ""), (0, near[2])]
+    docs = spark.createDataFrame([(i, t, "en", "src0", None, "clash", 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _id string, _n int")
+    kept = dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted((99 if r.doc_id is None else r.doc_id, r.text or "") for r in kept.collect())
+    # Of the two rows without id and near-equal texts one stays; row 2 with text 2 goes for row 0, row 2 with text 3 stays for row 3.
+    assert [i for i, _ in got] == [0, 1, 2, 4, 5, 99] and got[2][1] == text[3] and got[5][1] in (text[1], near[1])
+
+
+def test_names_that_clash(spark):
+    """Columns with the names that operators use inside come back as they were, and change nothing else."""
+    texts = [f"line a\nline b\nown {i}\nline a\nline b" for i in range(6)] + [None, "", "x | y 1999"]
+    plain = docs_of(spark, texts).select("doc_id", "text", "lang", "source")
+    names = ["_id", "_key", "_text", "_new", "_gone", "_lines", "_stay", "_chunks", "_hash", "_part", "_parts", "_at", "_total", "_before", "_c0", "_c1", "_v", "_n", "_source", "_lang", "_topic", "_label", "seg", "val", "mask", "c", "n", "b", "x", "h", "rank", "span", "vec", "node", "fp", "C0"]
+    clashing = plain.select("*", *(F.lit(f"clash {n}").alias(n) for n in names))
+    model = None
+    for f in (drop_repeated_chunks, drop_repeated_passages, mix, hilbert_shards, lambda d: identify_languages(d, model), lambda d: score_quality(d, train_ranker(d, spark.createDataFrame([(1, 1), (8, 0)], "doc_id long, quality int")))):
+        want, got = f(plain), f(clashing)
+        assert [c for c in got.columns if c not in names] == want.columns
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+        assert got.select(*names).distinct().collect() == [tuple(f"clash {n}" for n in names)]
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, f"{DATA}/sf0.001")
     assert out.count() > 0 and out.where(F.size("ids") == 0).isEmpty()

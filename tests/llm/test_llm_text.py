@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import catalog
 from quern.llm.bpe_trie import WordTrieBPE, encode_documents
-from quern.llm.language_bigru import ByteBiGRU, identify_languages, train_language_model
+from quern.llm.language_bigru import ByteBiGRU, _cut, _matrix, identify_languages, train_language_model
 from quern.llm.quality_ranker import features, fit_pairs, score_quality, train_ranker
 from quern.llm.queries_text import tokenizer_path
 from quern.llm.simhash_bktree import _bits_apart, _cuts, fingerprint, grow_forest, search_forest, similar_components, simhash_components
@@ -188,32 +188,77 @@ def test_count_ties_and_scores():
     assert counter.search("▁z") == (-1 - 14, 2)
 
 
+def test_fractional_scores_are_the_librarys():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    rng = random.Random(16)
+    pieces = [("<unk>", 0.0), ("▁", -1.25), *((c, -2.0 - i / 7) for i, c in enumerate("abcd")), *(("".join(rng.choice("abcd") for _ in range(n)), -3.0 - rng.random() * n) for n in (2, 2, 2, 3, 3, 4)), ("▁ab", -2.75)]
+    pieces = list(dict(pieces).items())
+    library = Tokenizer(models.Unigram(pieces, 0, False))
+    library.pre_tokenizer = pre_tokenizers.Metaspace()
+    counter = CountingViterbi(pieces, 1000)
+    for _ in range(300):
+        t = "".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 40)))
+        assert counter.document(t)[0] == len(library.encode(t, add_special_tokens=False).ids)
+
+
 def test_count_odd_rows(spark):
-    docs = docs_of(spark, [None, "", "a b", "a b"], [1, None, 3, 3])
+    docs = docs_of(spark, [None, "", "a b", "a b", "x" * 100_000, LONG], [1, None, 3, 3, 5, 6])
     rows = count_tokens(docs, tokenizer_path("piece_bpe_32k.model")).collect()
-    assert sorted((r.id or 0, r.n_tokens) for r in rows) == [(0, 0), (1, 0), (3, 2), (3, 2)]
+    assert sorted((r.id or 0, r.n_tokens) for r in rows)[:4] == [(0, 0), (1, 0), (3, 2), (3, 2)]
+    counter = CountingViterbi(vocabulary(tokenizer_path("piece_bpe_32k.model")), 10)
+    assert {r.id: r.n_tokens for r in rows if (r.id or 0) > 4} == {5: counter.search("▁" + "x" * 100_000)[1], 6: 30_000 * counter.search("▁word")[1] + counter.search("▁")[1]}
     assert count_tokens(docs.limit(0), tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
 # --- languages ---------------------------------------------------------------------------------
 
 
-def test_gradients():
-    model = ByteBiGRU(["a", "b"], hidden=3, seed=1)
-    words, shares = ["abc", "xy", "q"], np.array([[1, 0], [0, 1], [0.5, 0.5]], np.float32)
-    weights = np.ones(3, np.float32)
+def test_gradients(monkeypatch):
+    """Every weight's gradient by back-propagation is the difference quotient of the loss."""
+    model = ByteBiGRU(["a", "b", "c"], hidden=3, seed=1)
+    spans, langs = [b"abca", b"xy", b"q"], np.array([0, 1, 2])
+    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
 
     def loss():
-        from quern.llm.language_bigru import _pieces
-
-        xs, lengths, owner = _pieces(words)
+        xs, lengths = _matrix(spans)
         p, live = model.positions(xs, lengths)
-        per = -(shares[owner][None] * np.log(p)).sum(2) * live.T
-        return float((per.sum(0) / lengths * weights[owner]).sum() / weights.sum())
-
-    before = loss()
-    model.train(words, shares, weights, epochs=60, rate=0.02)
-    assert loss() < 0.6 * before
+        return float((-np.log(p[:, np.arange(3), langs]) * live.T / lengths).sum() / 3)
+
+    before, found = {k: v.copy() for k, v in model.w.items()}, {}
+    # One step of one batch, whose moments at step 1 give the gradient back.
+    monkeypatch.setattr(np, "zeros_like", lambda v, like=np.zeros_like: found.setdefault(len(found), like(v)))
+    model.train(spans, langs, epochs=1, batch=3, least_steps=1)
+    monkeypatch.undo()
+    first = [found[2 * i] for i in range(len(before))]
+    model.w = before
+    for (k, v), m in zip(before.items(), first):
+        for at in np.ndindex(v.shape):
+            if k[0] == "x" and at[0] not in b"abcxyq":
+                continue
+            kept, quotient = v[at], 0.0
+            for sign in (1, -1):
+                v[at] = kept + sign * 1e-4
+                quotient += sign * loss() / 2e-4
+            v[at] = kept
+            assert abs(quotient - m[at] / 0.1) < 2e-4, (k, at)
+
+
+def test_spans_are_brute_force():
+    """The sums of the batched run are those of the whole distributions, one span at a time."""
+    rng = random.Random(15)
+    model = ByteBiGRU(["a", "b", "c"], hidden=4, seed=3)
+    texts = ["".join(rng.choice("ab é中\n") for _ in range(rng.randrange(1, 400))) for _ in range(40)] + ["", "x", LONG]
+    for text, (lang, score) in zip(texts, model.predict(texts, at_once=1000)):
+        total, raw = np.zeros(3), text.encode()
+        assert b"".join(_cut(raw)) == raw and all(0 < len(x) <= 128 and x.decode() for x in _cut(raw))
+        for span in _cut(raw)[: 1 << 30 if len(raw) < 5000 else 0]:
+            p, _ = model.positions(*_matrix([span]))
+            total += p[:, 0].sum(0)
+        if not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0.0)
+        elif len(raw) < 5000:
+            assert lang == model.langs[int(total.argmax())] and abs(score - total.max() / len(raw)) < 1e-4
 
 
 def test_languages_of_held_out_rows(spark):
@@ -223,7 +268,7 @@ def test_languages_of_held_out_rows(spark):
 
 
 def test_language_without_spaces(spark):
-    """Words of over 48 bytes are learned as well as predicted."""
+    """Words of any length are learned as well as predicted."""
     rng = random.Random(5)
     signs, words = [chr(0x4E00 + i) for i in range(60)], ["the", "house", "is", "near", "and", "dog"]
 
