@@ -539,7 +539,7 @@ def test_placements_and_features(spark):
 
     rows = [(1, None, shift(1.0)), (2, 1, shift(2.0)), (3, 2, shift(4.0)), (4, 3, shift(8.0)), (5, 6, shift(1.0)), (6, 5, shift(1.0)), (7, 6, shift(1.0)), (8, 99, shift(5.0))]
     rows = [(a, b, [float(x) for x in m]) for a, b, m in rows]
-    got = {r.step_id: r.matrix[3] for r in placement_matrices(spark.createDataFrame(rows, "step_id long, parent long, local array<double>"), 8).collect()}
+    got = {r.step_id: r.matrix[3] for r in placement_matrices(spark.createDataFrame(rows, "step_id long, parent long, local array<double>")).collect()}
     assert got == {1: 1.0, 2: 3.0, 3: 7.0, 4: 15.0, 8: 5.0}
     e, _ = make(spark, [(20, "IfcWall", "W", {"Name": "a"}), (21, "IfcCartesianPoint", None, {"Coordinates": "x"}), (22, "IfcDoor", "D", {"Name": "b"})])
     edges = spark.createDataFrame([(20, 21, "include", "geometry", "x")], "source_step long, target_step long, classification string, domain string, label string")
