@@ -559,7 +559,7 @@ def test_ambiguous_points_are_a_class(spark):
     new = make(spark, [wall, (2, "IfcPoint", None, {"c": "5"})], [(1, "/p", 2)])
     found = graph_diff(old, new)
     assert [(r.old_count, r.new_count, r.class_id[:2]) for r in found.class_deltas.collect()] == [(2, 1, "C:")]
-    assert not [r for r in found.changes.collect() if r.op != "MODIFY"]
+    assert [r.op for r in found.changes.collect() if r.op != "MODIFY"] == ["CLASS_DELTA"]
 
 
 def test_same_graph_and_report(spark):
