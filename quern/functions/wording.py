@@ -109,8 +109,11 @@ def plural(n: Column, word: Column) -> Column:
     return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, word).otherwise(many))
 
 
-def relative_time(seconds: Column) -> Column:
-    """``3 hours later`` and the like; halves of whole units round to even."""
+def relative_time(seconds: Column, days_only: bool = False) -> Column:
+    """``3 hours later`` and the like; halves of whole units round to even.
+
+    With ``days_only`` days are the largest unit; otherwise months follow from 30 days on, and years.
+    """
     s = F.abs(seconds)
 
     def unit(x: Column, name: str) -> Column:
@@ -121,14 +124,14 @@ def relative_time(seconds: Column) -> Column:
     years = F.bround(days / 365.25, 1)
     whole = years == F.floor(years)
     year_text = F.concat(F.when(whole, years.cast("long").cast("string")).otherwise(years.cast("string")), F.when(years == 1, " year later").otherwise(" years later"))
-    return (
+    short = (
         F.when(s < 60, F.concat(s.cast("long").cast("string"), F.lit(" seconds later")))
         .when(minutes < 60, unit(minutes, "minute"))
         .when(hours < 24, unit(hours, "hour"))
-        .when(days < 30, unit(days, "day"))
-        .when(days / 30.44 < 12, unit(days / 30.44, "month"))
-        .otherwise(year_text)
     )
+    if days_only:
+        return short.otherwise(unit(days, "day"))
+    return short.when(days < 30, unit(days, "day")).when(days / 30.44 < 12, unit(days / 30.44, "month")).otherwise(year_text)
 
 
 def clean_field_name(field: Column, qualified: bool = False) -> Column:

@@ -91,6 +91,7 @@ def test_matrices_and_words(spark):
     assert [r[1] for r in rows] == ["dresser", "chair executive", None, "surface", "Plain Name", None, None]
     assert one(spark, wording.plural(F.lit(2), F.lit("entity")), wording.plural(F.lit(1), F.lit("box")), wording.plural(F.lit(3), F.lit("box"))) == ("2 entities", "1 box", "3 boxes")
     assert one(spark, wording.relative_time(F.lit(90.0)), wording.relative_time(F.lit(86400.0 * 400)), wording.relative_time(F.lit(5.9))) == ("2 minutes later", "1.1 years later", "5 seconds later")
+    assert one(spark, *(wording.relative_time(F.lit(86400.0 * d), days_only=True) for d in (29, 31, 400))) == ("29 days later", "31 days later", "400 days later")
     assert one(spark, wording.clean_field_name(F.lit("pset.Pset_DoorCommon.FireRating"), True), wording.clean_field_name(F.lit("pset.Other.X")), wording.clean_value(F.lit("Door: Fire Rating"))) == ("FireRating (door)", "X", "none")
     assert one(spark, wording.is_external(F.lit(None).cast("boolean"), F.lit("Yttervägg"), F.lit(None)), wording.is_external(F.lit(False), F.lit("outer"), F.lit(None))) == (True, False)
     nothing = F.lit(None).cast("string")
