@@ -1,8 +1,10 @@
 """Operators against brute force and small graphs with known results."""
 
 import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,6 +307,34 @@ def test_nearest_named(spark):
     assert pairs(got) == want
 
 
+@pytest.mark.parametrize("wide,region_names", [(300, 8), (300, 2048), (60, 8), (5_000, 3), (0, 8)])
+def test_nearest_named_in_dense_places(spark, wide, region_names):
+    """Many names within the least distance, places that repeat or tie, outliers, rows without a coordinate or not finite."""
+    rng = random.Random(wide)
+    places = [tuple(float(rng.randrange(-wide, wide + 1)) for _ in range(3)) for _ in range(120)]
+    places += places[:20] + [(10_000.0, 0.0, 0.0), (10_000.0, 0.0, 50.0), (None, 1.0, 1.0), (float("inf"), 0.0, 0.0)]
+    points = [(i, *p) for i, p in enumerate(places)] + [(3, *places[9])]
+    named = [(f"n{i % 40}" if i % 7 else f"auto#{i}", 1000 - i, *p) for i, p in enumerate(places)]
+    want = {}
+    for i, *p in points:
+        options = [(sum((a - b) ** 2 for a, b in zip(p, q)) ** 0.5, o, n) for n, o, *q in named if "#" not in n and None not in [*p, *q] and not (float("inf") in p and float("inf") in q)]
+        want[i] = min([x for x in [*options, want.get(i)] if x and x[0] >= 100], default=None)
+    got = scenes.nearest_named(spark.createDataFrame(points, "id long, x double, y double, z double"), spark.createDataFrame(named, "name string, ord long, x double, y double, z double"), region_names=region_names)
+    assert pairs(got) == {(i, x[2]) for i, x in want.items() if x}
+
+
+def test_nearest_named_searches_few_regions():
+    """Though all places lie within a few metres, a point is held against few of the regions."""
+    rng = np.random.default_rng(8)
+    regions = scenes.Regions.cut(places := rng.normal(size=(20_000, 3)) * 1250, math.ceil(20_000 / 512), 100.0)
+    own = regions.own(places)
+    ids, sizes = np.unique(own, return_counts=True)
+    assert sizes.max() < 700
+    boxes = np.array([[places[own == k].min(0), places[own == k].max(0)] for k in ids])
+    row, region, _ = regions.with_boxes(ids, boxes, False).further(places[:2000], np.full(2000, 130.0))
+    assert len(row) < 5 * 2000
+
+
 def test_chunks_and_feed(spark):
     rows = spark.range(1, 8).select(F.col("id").alias("position"), F.lit("ADD").alias("op"))
     got = feed.chunks(rows, "position", F.col("position").cast("string"), 3).orderBy("offset").collect()
