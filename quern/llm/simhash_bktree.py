@@ -22,7 +22,10 @@ shards are random choices of bits out of four fingerprints, as many as the
 wanted recall needs. Among many documents 64 bits come close by chance, so a
 pair that a tree finds must be close by all 256 bits as well. Each task then
 returns spanning forests, closest pairs first, and each of their pairs is held
-against the similarity of the two sets of shingles themselves.
+against the similarity of the two sets of shingles themselves. What the
+fingerprints miss is found exactly: two sets of the similarity share one of
+the first shingles of each in any common order, so sets of different
+components that meet there are compared too.
 """
 
 from __future__ import annotations
@@ -73,9 +76,9 @@ def _majority(hashes: np.ndarray) -> int:
 
 
 def sketch(text: str | None, shingle: int) -> list[int]:
-    """The fingerprint of the set of shingles and, from the same hashes mixed anew, ``_MORE`` others."""
+    """A hash of the set of shingles, its fingerprint and, from the same hashes mixed anew, ``_MORE`` others."""
     hashes = np.unique(_shingle_hashes(text, shingle))
-    out = [_majority(hashes)]
+    out = [xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), _SEED), _majority(hashes)]
     for _ in range(_MORE):
         hashes = hashes ^ hashes >> np.uint64(31)
         hashes = hashes * np.uint64(0x9E3779B97F4A7C15)
@@ -307,6 +310,129 @@ def similar_links(nodes: DataFrame, n: int, similarity: float, recall: float = 0
     return _in_shards(_dealt(nodes.select(columns), masks), columns, tree_size).mapInArrow(_shard_links(radius, most), "a long, b long")
 
 
+#: Buckets of shingles' hashes for their frequency, and documents that are counted for it.
+_BUCKETS, _COUNTED = 1 << 20, 20_000
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(44)).astype(np.int64)
+
+
+def _often(texts: DataFrame, n: int, shingle: int) -> np.ndarray:
+    """How many texts have a shingle of each bucket, estimated from about ``_COUNTED`` of the ``n`` texts.
+
+    The estimate only sets the order in which shingles come, rare ones first, and how finely work is dealt: whatever it is, no pair is lost.
+    """
+    every = max(1, n // _COUNTED)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
+        counts = np.zeros(_BUCKETS, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                np.add.at(counts, _bucket(np.unique(_shingle_hashes(t.as_py(), shingle))), 1)
+        found = np.flatnonzero(counts)
+        for lo in range(0, len(found), 1 << 16):
+            some = found[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bucket", "n"])
+
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    counts = some.select("text").mapInArrow(task, "bucket long, n long").groupBy("bucket").agg(F.sum("n").cast("int").alias("n")).where("n > 1").toArrow()
+    out = np.zeros(_BUCKETS, np.int32)
+    out[counts["bucket"].to_numpy()] = np.minimum(counts["n"].to_numpy().astype(np.int64) * every, (1 << 31) - 1)
+    return out
+
+
+def _first_shingles(shingle: int, similarity: float, often, chunk: int):
+    """Task over rows (text, node, component) to (key, node, component, size, at): the shingles of a set that may be the first it shares.
+
+    A set of n shingles shares at least ``similarity`` of them, so one is among
+    the first n - ceil(similarity * n) + 1, in an order that all sets use. A
+    shingle that more than ``chunk`` texts may have is dealt to pairs of
+    chunks of them: the key is of the pair too. at is the place in the order, with 1
+    for the second chunk of a pair and 2 for a pair of different chunks in its low bits.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
+        counts = often.value
+        for b in batches:
+            rows = []
+            nodes, components_ = b.column(1).to_numpy(), b.column(2).to_numpy()
+            for i, t in enumerate(b.column(0)):
+                hashes = np.unique(_shingle_hashes(t.as_py(), shingle))
+                n = len(hashes)
+                if not n:
+                    continue
+                count = counts[_bucket(hashes)]
+                first = np.lexsort((hashes, count))[: n - math.ceil(similarity * n - 1e-9) + 1]
+                parts = -(-np.maximum(count[first], 1).astype(np.int64) // chunk)
+                key, at = hashes[first].view(np.int64), 4 * np.arange(len(first))
+                if (parts > 1).any():
+                    mine = int(nodes[i]) % parts
+                    which = np.repeat(np.arange(len(first)), parts)
+                    other = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+                    mine, parts = mine[which], parts[which]
+                    pair = np.minimum(mine, other).astype(np.uint64) << np.uint64(32) | np.maximum(mine, other).astype(np.uint64)
+                    # Should two keys meet, their sets are compared anyway.
+                    mixed = (key[which].view(np.uint64) ^ (pair + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                    key = np.where(parts > 1, mixed, key[which])
+                    at = at[which] + (other < mine) + 2 * (other != mine)
+                rows.append((key, np.full(len(key), nodes[i]), np.full(len(key), components_[i]), np.full(len(key), n, np.int32), at.astype(np.int32)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["key", "node", "component", "size", "at"])
+
+    return task
+
+
+def _crossing(similarity: float, at_once: int = 1 << 18):
+    """Task over rows of ``_first_shingles`` sorted by key and component to pairs (a, b) of nodes of different components that may have the similarity."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
+        for table, starts in whole_groups(batches, ["key"]):
+            node, component = table["node"].to_numpy(), table["component"].to_numpy()
+            size, at = table["size"].to_numpy().astype(np.int64), table["at"].to_numpy()
+            place, role, crossed = at >> 2, at & 1, at & 2 > 0
+            n = len(node)
+            ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
+            new = np.zeros(n, bool)
+            new[starts] = True
+            new[1:] |= component[1:] != component[:-1]
+            runs = np.flatnonzero(new)
+            after = np.repeat(np.r_[runs[1:], n], np.diff(np.r_[runs, n]))
+            rows = np.flatnonzero(after < ends)
+            while len(rows):
+                # All rows after those of its own component, for as many rows as ``at_once`` allows, at least one.
+                count = (ends - after)[rows]
+                here = max(1, int(np.searchsorted(np.cumsum(count), at_once, side="right")))
+                x = np.repeat(rows[:here], count[:here])
+                y = np.arange(len(x)) - np.repeat(np.cumsum(count[:here]) - count[:here], count[:here]) + after[x]
+                rows = rows[here:]
+                total = size[x] + size[y]
+                # At the first shingle that two sets share, what comes before it differs and what follows is all they may share.
+                may = place[x] + place[y] <= total * (1 - similarity) / (1 + similarity) + 1e-6
+                may &= np.minimum(size[x] - place[x], size[y] - place[y]) >= total * similarity / (1 + similarity) - 1e-6
+                may &= ~crossed[x] | (role[x] != role[y])
+                if may.any():
+                    found = np.unique(np.column_stack([node[x[may]], node[y[may]]]), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T.copy()], ["a", "b"])
+
+    return task
+
+
+def _missed(nodes: DataFrame, found: DataFrame, texts: DataFrame, n: int, shingle: int, similarity: float, chunk: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components of ``found`` among which all that have the similarity are."""
+    small_batches(texts.sparkSession)
+    often = texts.sparkSession.sparkContext.broadcast(_often(texts, n, shingle))
+    one = nodes.join(found, "node", "left").select(F.col("least.id").alias("id"), F.col("least.hash").alias("hash"), "node", F.coalesce("component", "node").alias("component"))
+    one = hinted(stored(one, "compared"), 1_000_000)
+    rows = texts.withColumn("hash", F.xxhash64("text")).alias("t").join(one.alias("o"), F.expr("t.id <=> o.id AND t.hash = o.hash")).select("t.text", "o.node", "o.component")
+    rows = rows.mapInArrow(_first_shingles(shingle, similarity, often, chunk), "key long, node long, component long, size int, at int")
+    rows = rows.repartition("key").sortWithinPartitions("key", "component")
+    return rows.mapInArrow(_crossing(similarity), "a long, b long")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs whose sets of shingles have the similarity; only texts in a pair are read again."""
 
@@ -326,14 +452,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, chunk: int = 8192) -> DataFrame:
     """``(id, hash, fp, component, component_hash)``, linking texts of a Jaccard similarity.
 
     Every link is of two texts whose sets of ``shingle``-word shingles have
-    that similarity, exactly; 256 bits only tell which pairs to compare, so
-    that 95 % are found at the bound itself and more above it, at any number
-    of documents. Texts of equal 256 bits are one. Texts with fewer words than
-    a shingle are one shingle; null texts and those without words are equal.
+    that similarity, exactly, and no such pair is in two components. 256 bits
+    tell which pairs to compare first; texts that these leave in different
+    components are compared where they share one of the shingles that they
+    must. Texts of equal sets are one. Texts with fewer words than a shingle
+    are one shingle; null texts and those without words are equal.
 
     hash is that of the text; (component, component_hash) is the least (id,
     hash) that links reach, null ids first, so rows that repeat an id or have
@@ -341,21 +468,23 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Texts of any length are whole, other columns are ignored, and an empty
     table gives an empty result.
     """
-    more = [f"more{i}" for i in range(_MORE)]
+    words = ["fp", *(f"more{i}" for i in range(_MORE))]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
         for b in batches:
-            found = np.array([sketch(t.as_py(), shingle) for t in b.column(1)], np.uint64).reshape(b.num_rows, 1 + _MORE)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c.copy().view(np.int64)) for c in found.T)], ["id", "hash", "fp", *more])
+            found = np.array([sketch(t.as_py(), shingle) for t in b.column(1)], np.uint64).reshape(b.num_rows, 2 + _MORE)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c.copy().view(np.int64)) for c in found.T)], ["id", "hash", "node", *words])
 
     small_batches(docs.sparkSession)
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = ids.select("id", "text", F.xxhash64("text").alias("hash")).mapInArrow(task, "id long, hash long, fp long, " + ", ".join(f"{m} long" for m in more)).withColumn("node", F.xxhash64("fp", *more))
+    prints = ids.select("id", "text", F.xxhash64("text").alias("hash")).mapInArrow(task, "id long, hash long, node long, " + ", ".join(f"{w} long" for w in words))
     prints = stored(prints, "sketches")
-    nodes = stored(prints.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("least"), F.min("hash").alias("hash"), *(F.first(c).alias(c) for c in ("fp", *more))), "nodes")
-    pairs = similar_links(nodes, nodes.count(), similarity)
-    found = components(_verified(pairs, nodes, ids.select("text"), shingle, similarity))
+    nodes = stored(prints.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("least"), F.min("hash").alias("hash"), *(F.first(c).alias(c) for c in words)), "nodes")
+    n = nodes.count()
+    found = components(_verified(similar_links(nodes, n, similarity), nodes, ids.select("text"), shingle, similarity))
+    more = _verified(_missed(nodes, found, ids, n, shingle, similarity, chunk), nodes, ids.select("text"), shingle, similarity)
+    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = _named(prints, nodes.select("node", "least"), found)
     return named.select("id", "hash", "fp", F.col("component.id").alias("component"), F.col("component.hash").alias("component_hash"))
 

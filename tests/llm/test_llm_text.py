@@ -118,6 +118,30 @@ def test_similar_texts_meet_at_the_bound_and_none_below(spark):
     assert all(found[700 + i] == 700 + i for i in range(100))
 
 
+@pytest.mark.parametrize("chunk", [8192, 3])
+def test_similar_texts_are_brute_force(spark, chunk):
+    """No pair at the bound or above is in two components and none below joins any, short texts and shared lines included."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    shared = [word() for _ in range(12)]
+    texts = []
+    for _ in range(400):
+        n = rng.choice([6, 8, 13, 40, 200, 400])
+        base = shared + [word() for _ in range(n)]
+        cut = len(base) - 4 - round((len(base) - 4) * rng.choice([0.08, 0.1, 0.105, 0.11, 0.115, 0.13, 0.2])) + 4
+        texts += [base, base[:cut] + [word() for _ in range(len(base) - cut)], base[: -rng.randrange(1, max(2, len(base) // 4))]]
+    sets = [frozenset(zip(*(t[i:] for i in range(5)))) for t in texts]
+    where, label = {}, list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in {j for g in x for j in where.get(g, ())}:
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                label = [min(label[i], label[j]) if k in (label[i], label[j]) else k for k in label]
+        for g in x:
+            where.setdefault(g, []).append(i)
+    found = {r.id: r.component for r in similar_components(docs_of(spark, [" ".join(t) for t in texts]), chunk=chunk).collect()}
+    assert [found[i] for i in range(len(texts))] == label
+
+
 @pytest.mark.parametrize("n", [10_000, 1_000_000, 30_000_000])
 def test_similar_recall_holds_at_any_size(n):
     """Pairs at the bound: some mask agrees, the tree's bits are within its radius and all bits within theirs."""
