@@ -332,6 +332,32 @@ def test_ranker_orders_pairs():
     assert fit_pairs(x, np.ones(600, bool)).score(x).min() >= 0.3 and fit_pairs(x, np.zeros(600, bool)).score(x).max() < 0.3
 
 
+def test_ranker_takes_all_pairs():
+    """The gradient over every pair, listed here, is nothing at the weights; the threshold is the quantile of all scores."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 4)) * [1, 5, 0.1, 1]
+    x[0, 3] = 400.0
+    good = x @ np.array([1.0, -0.2, 0, 0]) + rng.normal(size=300) > -0.5
+    ranker = fit_pairs(x, good)
+    z = (x - x.mean(0)) / x.std(0)
+    d = (z[good][:, None] - z[~good][None]).reshape(-1, 4)
+    gradient = d.T @ (1 / (1 + np.exp(d @ ranker.weights))) / len(d) - 1e-3 * ranker.weights
+    assert np.abs(gradient).max() < 1e-7 and np.abs(ranker.weights).max() > 0.5
+    assert ranker.threshold == pytest.approx(np.quantile(z @ ranker.weights, (~good).mean()), abs=1e-12)
+
+
+def test_ranker_takes_all_labels(spark):
+    """Spark's sums over all labelled documents are those of one array, and every label counts."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["calm", "LOUD!!", "7", "line\n", "wörd"]) for _ in range(rng.randrange(40))) for _ in range(300)]
+    good = [t.count("!") < 8 for t in texts]
+    docs = docs_of(spark, texts).repartition(5)
+    ids = [r.doc_id for r in docs.orderBy("doc_id").collect()]
+    ranker = train_ranker(docs, spark.createDataFrame(list(zip(ids, map(int, good))), "doc_id long, quality int"))
+    plain = fit_pairs(np.array([features(t) for t in texts]), np.array(good))
+    assert ranker.mean == pytest.approx(plain.mean) and ranker.weights == pytest.approx(plain.weights, abs=1e-6) and ranker.threshold == pytest.approx(plain.threshold, abs=1e-6)
+
+
 def test_quality_of_held_out_rows(spark):
     found = catalog.QUERIES["op6_quality"](spark, f"{DATA}/sf0.01").where("held_out").join(spark.read.parquet(f"{DATA}/sf0.01/labels.parquet"), "doc_id")
     right, n = found.agg(F.sum((F.col("predicted") == F.col("quality")).cast("int")), F.count("*")).first()
