@@ -310,12 +310,47 @@ def similar_links(nodes: DataFrame, n: int, similarity: float, recall: float = 0
     return _in_shards(_dealt(nodes.select(columns), masks), columns, tree_size).mapInArrow(_shard_links(radius, most), "a long, b long")
 
 
+def _paired(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b), each once and a < b, and (node, text) of the nodes in them."""
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = hinted(stored(nodes.select("node", "hash").join(wanted, "node", "left_semi"), "paired_nodes"), 500_000)
+    return pairs, texts.select(F.xxhash64("text").alias("hash"), "text").join(wanted, "hash").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs without those that can't have the similarity by how many shingles fall into each of 256 bins.
+
+    The counts of two sets are no further apart than the sets, so no pair with the similarity goes.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
+        for b in batches:
+            sets = [np.unique(_shingle_hashes(t.as_py(), shingle)) for t in b.column(1)]
+            bins = [np.minimum(np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(bins, pa.binary())], ["node", "size", "bins"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
+        for b in batches:
+            x, y = (np.array([np.frombuffer(v.as_py(), np.uint8) for v in b.column(c)], np.int16).reshape(-1, 256) for c in (3, 5))
+            total = b.column(2).to_numpy() + b.column(4).to_numpy()
+            keep = pa.array(np.abs(x - y).sum(1) <= total * (1 - similarity) / (1 + similarity) + 1e-6)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+
+    pairs, texts = _paired(pairs, nodes, texts)
+    bins = stored(texts.mapInArrow(task, "node long, size long, bins binary"), "bins")
+    both = pairs.join(bins.toDF("a", "n", "x"), "a").join(bins.toDF("b", "m", "y"), "b")
+    return both.select("a", "b", "n", "x", "m", "y").mapInArrow(near, "a long, b long")
+
+
 #: Buckets of shingles' hashes for their frequency, and documents that are counted for it.
-_BUCKETS, _COUNTED = 1 << 20, 20_000
+_BUCKETS, _COUNTED = 1 << 21, 20_000
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(44)).astype(np.int64)
+    return (hashes >> np.uint64(43)).astype(np.int64)
 
 
 def _often(texts: DataFrame, n: int, shingle: int) -> np.ndarray:
@@ -327,14 +362,14 @@ def _often(texts: DataFrame, n: int, shingle: int) -> np.ndarray:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
-        counts = np.zeros(_BUCKETS, np.int64)
+        counts = np.zeros(_BUCKETS, np.int32)
         for b in batches:
             for t in b.column(0):
                 np.add.at(counts, _bucket(np.unique(_shingle_hashes(t.as_py(), shingle))), 1)
         found = np.flatnonzero(counts)
         for lo in range(0, len(found), 1 << 16):
             some = found[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some].astype(np.int64))], ["bucket", "n"])
 
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
     counts = some.select("text").mapInArrow(task, "bucket long, n long").groupBy("bucket").agg(F.sum("n").cast("int").alias("n")).where("n > 1").toArrow()
@@ -442,10 +477,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
             sets = [np.unique(_shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
 
-    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = hinted(stored(nodes.select("node", "hash").join(wanted, "node", "left_semi"), "paired_nodes"), 500_000)
-    texts = texts.select(F.xxhash64("text").alias("hash"), "text").join(wanted, "hash").groupBy("node").agg(F.first("text").alias("text"))
+    pairs, texts = _paired(pairs, nodes, texts)
     sets = stored(texts.mapInArrow(task, "node long, grams array<long>"), "shingles")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -483,7 +515,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = stored(prints.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("least"), F.min("hash").alias("hash"), *(F.first(c).alias(c) for c in words)), "nodes")
     n = nodes.count()
     found = components(_verified(similar_links(nodes, n, similarity), nodes, ids.select("text"), shingle, similarity))
-    more = _verified(_missed(nodes, found, ids, n, shingle, similarity, chunk), nodes, ids.select("text"), shingle, similarity)
+    more = _plausible(_missed(nodes, found, ids, n, shingle, similarity, chunk), nodes, ids.select("text"), shingle, similarity)
+    more = _verified(more, nodes, ids.select("text"), shingle, similarity)
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = _named(prints, nodes.select("node", "least"), found)
     return named.select("id", "hash", "fp", F.col("component.id").alias("component"), F.col("component.hash").alias("component_hash"))
