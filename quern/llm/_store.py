@@ -6,15 +6,20 @@ read again, column by column, as often as needed. It survives lost executors.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _written: list[str] = []
+_per_worker: list = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -64,7 +69,20 @@ def veiled(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str], Callabl
     return docs.toDF(*hidden), at, restored
 
 
-def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a DataFrame.
+
+    Spark reads a list that ``createDataFrame`` gets in Python workers of
+    another kind than those of ``mapInArrow``: each executor then holds a
+    second daemon and as many workers again. Arrow rows need none.
+    """
+    kinds = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kinds)
+    columns = zip(*rows) if rows else ((),) * len(arrow)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), kinds)
+
+
+def small_batches(spark: SparkSession, most: int = 1 << 20) -> None:
     """Let Arrow batches of whole texts end at ``most`` bytes, on this session, unless they already end sooner.
 
     By rows alone, a batch of long documents could be larger than a task's memory.
@@ -75,9 +93,42 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
-def lean_memory() -> None:
-    """In a Python worker: let Arrow give freed buffers back to the system instead of keeping them."""
+def per_worker(most: int) -> Callable:
+    """As ``lru_cache``, of what the tasks of one operator share in a Python worker; :func:`lean_memory` ends it."""
+
+    def of(make: Callable) -> Callable:
+        made = lru_cache(most)(make)
+        _per_worker.append(made)
+        return made
+
+    return of
+
+
+@lru_cache(1)
+def _allocator() -> ctypes.CDLL | None:
+    """The C library, told to map blocks of a megabyte or more by themselves and to keep little that is free; None if it is not glibc."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD; by itself it follows the largest block freed, to 32 MB
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+        return libc if libc.malloc_trim else None
+    except (AttributeError, OSError):
+        return None
+
+
+def lean_memory(used: Callable | None = None) -> None:
+    """In a Python worker, as a task begins: give back to the system what earlier tasks left.
+
+    Workers outlive their stage, so what operators
+    keep :func:`per_worker` goes as well, but for ``used``, which this task's operator uses. Arrow and
+    the C library return freed buffers instead of keeping them.
+    """
     pa.set_memory_pool(pa.system_memory_pool())
+    for made in _per_worker:
+        if made is not used:
+            made.cache_clear()
+    if _allocator():
+        _allocator().malloc_trim(0)
 
 
 def mark() -> int:

@@ -19,7 +19,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quern.llm._store import lean_memory, small_batches
+from quern.llm._store import lean_memory, per_worker, small_batches
 
 #: Unicode's White_Space, at which the tokenizer's \s cuts.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -235,7 +234,7 @@ class WordTrieBPE:
             yield " ".join(map(self.decimal.__getitem__, ids)), self.decode(ids)
 
 
-@lru_cache(2)
+@per_worker(2)
 def _encoder(path: str, remembered: int) -> WordTrieBPE:
     return WordTrieBPE(path, remembered)
 
@@ -250,7 +249,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean_memory()
+        lean_memory(_encoder)
         encoder = _encoder(tokenizer, remembered)
         for b in _slices(batches):
             ids, ends, decoded = [], [0], []
@@ -268,7 +267,7 @@ def encoding_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     """``(id, n_tokens, ids_sha256, decoded_sha256)``: digests made where the ids are, which are not shipped."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean_memory()
+        lean_memory(_encoder)
         encoder = _encoder(tokenizer, remembered)
         for b in _slices(batches):
             rows = [(i.count(" ") + 1 if i else 0, hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest()) for i, d in encoder.encode_batch([t or "" for t in b.column(1).to_pylist()])]

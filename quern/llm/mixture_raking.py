@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._store import stored, veiled
+from quern.llm._store import local_rows, stored, veiled
 
 MARGINALS = ("source", "lang", "topic")
 _WORDS = "[^ \\t\\n\\x0B\\f\\r]+"
@@ -75,7 +75,7 @@ def _rake_frame(cells: DataFrame, power: float, keep: float, rounds: int, target
     goals = {}
     for k in MARGINALS:
         if targets and k in targets:
-            goal = spark.createDataFrame([(v, float(x)) for v, x in targets[k].items()], "v string, g double")
+            goal = local_rows(spark, [(v, float(x)) for v, x in targets[k].items()], "v string, g double")
         else:
             goal = shares.groupBy(F.col(k).alias("v")).agg(F.pow(F.sum("tokens") / total, F.lit(power)).alias("g"))
             goal = goal.withColumn("g", F.col("g") / goal.agg(F.sum("g")).first()[0]) if total else goal
@@ -105,7 +105,7 @@ def mixing_plan(cells: DataFrame, power: float = 0.7, keep: float = 0.5, rounds:
         return _rake_frame(stored(cells, "cells"), power, keep, rounds, targets)
     keys, tokens = [tuple(r[k] for k in MARGINALS) for r in rows], np.array([r.tokens for r in rows], float)
     if not rows:
-        return spark.createDataFrame([], schema)
+        return local_rows(spark, [], schema)
     wanted = []
     for i, k in enumerate(MARGINALS):
         shares: dict = {}
@@ -114,7 +114,7 @@ def mixing_plan(cells: DataFrame, power: float = 0.7, keep: float = 0.5, rounds:
         wanted.append((targets or {}).get(k) or tempered(shares, power))
     chance = rake(keys, tokens, wanted, keep, rounds) / tokens
     # Bounded by max_cells rows, so documents are not shuffled to meet it.
-    return F.broadcast(spark.createDataFrame([(*k, float(p)) for k, p in zip(keys, chance)], schema))
+    return F.broadcast(local_rows(spark, [(*k, float(p)) for k, p in zip(keys, chance)], schema))
 
 
 def draw(id_col: Column, text_col: Column, seed: str) -> Column:

@@ -17,14 +17,13 @@ number and a text's are one sum.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._store import lean_memory, small_batches
+from quern.llm._store import lean_memory, per_worker, small_batches
 
 #: Fixed values of the tokenizer: the word mark and what an unknown character costs below the least score.
 MARK = "▁"
@@ -113,7 +112,7 @@ class CountingViterbi:
         return total & 0xFFFFFFFF, -(total >> 32)
 
 
-@lru_cache(2)
+@per_worker(2)
 def _counter(path: str, remembered: int) -> CountingViterbi:
     return CountingViterbi(vocabulary(path), remembered)
 
@@ -127,7 +126,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean_memory()
+        lean_memory(_counter)
         counter = _counter(vocabulary_path, remembered)
         for b in batches:
             rows = [counter.document(t.as_py()) for t in b.column(1)]

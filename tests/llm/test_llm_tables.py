@@ -144,6 +144,16 @@ def test_both_ways_of_raking_agree(spark):
     assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=1e-9) for k in a)
 
 
+
+def test_plan_of_cells_needs_no_python_workers(spark):
+    cells = spark.createDataFrame([("a", "x", None, 3.0), (None, "y", "prose", 1.0)], "source string, lang string, topic string, tokens double")
+    for some in (cells, cells.limit(0)):
+        plan = mixing_plan(some)
+        assert "LogicalRDD" not in plan._jdf.queryExecution().analyzed().toString()
+        assert {tuple(r)[:3] for r in plan.collect()} == {tuple(r)[:3] for r in some.collect()}
+        assert plan.schema.simpleString() == "struct<source:string,lang:string,topic:string,probability:double>"
+
+
 def test_mixture_of_odd_rows(spark):
     docs = docs_of(spark, ["some words here", None, "", "more words", "more words", LONG], [1, 2, 3, 4, 4, None]).withColumn("lang", F.when(F.col("doc_id") != 1, F.col("lang"))).withColumn("mix_topic", F.lit("clash"))
     rows = mix(docs, keep=1.0).collect()

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -373,3 +375,35 @@ def test_quality_of_odd_rows(spark):
     assert {r.quality_score for r in rows if not r.text}.__len__() == 1
     assert score_quality(docs.limit(0), train_ranker(docs, labels.limit(0))).count() == 0
     assert len(features(None)) == len(features("x y")) and np.isfinite(features("")).all()
+
+
+def test_workers_give_back_what_earlier_tasks_left():
+    code = """
+import re
+from pathlib import Path
+from quern.llm import bpe_trie, token_count
+from quern.llm._store import lean_memory
+from quern.llm.queries_text import tokenizer_path
+
+def mb():
+    return sum(map(int, re.findall(r"Anonymous:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+lean_memory()
+began = mb()
+used = [bytes(100_000) for _ in range(3000)] + [bytearray(i % 100 + 30_000) for i in range(2000)]
+for b in used[3000:]:
+    b[0] = 1
+pins = used[::50]
+del used, b
+path = tokenizer_path("word_bpe_49k.json")
+assert bpe_trie._encoder(path, 9) is bpe_trie._encoder(path, 9)
+lean_memory(bpe_trie._encoder)
+assert bpe_trie._encoder.cache_info().currsize == 1
+lean_memory(token_count._counter)
+assert bpe_trie._encoder.cache_info().currsize == 0
+print(began, mb())
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert not said.returncode, said.stderr
+    began, after = map(float, said.stdout.split())
+    assert after < began + 60
