@@ -72,18 +72,18 @@ class WordTrieBPE:
         ids = self.ids
         self.rank = {(ids[a], ids[b]): r for r, (a, b) in enumerate(merges)}
         made = {ids[a + b]: (ids[a], ids[b], r) for r, (a, b) in reversed([*enumerate(merges)])}
-        # The tokens that stand at a token's right (left) border while it is being built, each with the rank of the merge that replaces it.
+        # The tokens that stand at a token's right (left) border while it is being built, each followed by the rank of the merge that replaces it.
         self.right: dict[int, tuple] = {}
         self.left: dict[int, tuple] = {}
         # A token is real if its own string encodes to it.
         real = set()
         for t in ids.values():
             if t not in made:
-                self.right[t] = self.left[t] = ((t, _NEVER),)
+                self.right[t] = self.left[t] = (t, _NEVER)
                 real.add(t)
         for t, (a, b, r) in sorted(made.items(), key=lambda x: x[1][2]):
-            self.right[t] = (*self.right[b][:-1], (b, r), (t, _NEVER))
-            self.left[t] = (*self.left[a][:-1], (a, r), (t, _NEVER))
+            self.right[t] = (*self.right[b][:-1], r, t, _NEVER)
+            self.left[t] = (*self.left[a][:-1], r, t, _NEVER)
             if a in real and b in real and self._apart(a, b, whole=False):
                 real.add(t)
         names = {i: s for s, i in ids.items()}
@@ -95,16 +95,16 @@ class WordTrieBPE:
         """Whether no merge crosses the border of a and b; not ``whole``: before both are complete."""
         xs, ys, i, j = self.right[a], self.left[b], 0, 0
         while True:
-            (x, next_x), (y, next_y) = xs[i], ys[j]
+            x, next_x, y, next_y = xs[i], xs[i + 1], ys[j], ys[j + 1]
             if next_x == _NEVER and next_y == _NEVER:
                 return not whole or (x, y) not in self.rank
             r = self.rank.get((x, y), _NEVER)
             if r < next_x and r <= next_y and r != _NEVER:  # on a tie the merge further left goes first
                 return False
             if next_x <= next_y:
-                i += 1
+                i += 2
             else:
-                j += 1
+                j += 2
 
     def _fits(self, a: int, b: int) -> bool:
         key = a << 32 | b
@@ -282,7 +282,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a slice's texts have about ``most`` bytes or are one row."""
     for b in batches:
         step = max(1, int(b.num_rows * most / max(most, b.nbytes)))
